@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Broadcast sides of up to so many thin rows; beyond it the same join shuffles.
 BROADCAST_ROWS = 500_000
@@ -69,6 +69,9 @@ def thin(side: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def arrow_schema(ddl: str):
-    from pyspark.sql.pandas.types import to_arrow_schema
+    """The Arrow schema of flat DDL such as "a long, b array<long>"; needs no session, so tasks can call it."""
+    import pyarrow as pa
 
-    return to_arrow_schema(T._parse_datatype_string(ddl))
+    plain = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    plain |= {f"array<{k}>": pa.list_(v) for k, v in plain.items()}
+    return pa.schema([(name, plain[kind]) for name, kind in (x.split(" ") for x in ddl.split(", "))])

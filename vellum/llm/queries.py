@@ -7,6 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identified
+
+    return identified(table(spark, sf_dir, "documents"))
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_features
+
+    return media_features(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
 
@@ -19,7 +37,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_packing, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_language_id, op6_media_columns, op8_packing, op9_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
