@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +18,9 @@ DIMS = 4096
 #: Labelled rows that a model is fitted on, at most so many of each language and so many bytes of each text's n-gram counts.
 FIT_ROWS = 600
 CENTROIDS = 4
-#: A document whose cosine with its nearest centroid is below the centroid's own lowest cosine in fitting, less this, is rejected.
-MARGIN = 0.25
+#: A document is rejected if its cosine with its nearest centroid is below the centroid's own lowest hundredth in fitting, less
+#: this.  Short texts have few n-grams and so low cosines anywhere: below so many n-grams the bound falls in proportion.
+MARGIN, ENOUGH = 0.25, 600
 ROUNDS = 12
 
 PREDICTED = "doc_id long, lang_pred string, score double, rejected boolean"
@@ -79,14 +79,12 @@ class Model:
     owner: np.ndarray  # a centroid's language
     floor: np.ndarray  # a centroid's least cosine that isn't rejected
 
-    def vectors(self, texts: list[str]) -> np.ndarray:
-        return vectors(counts(texts), self.idf)
-
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        near = self.vectors(texts) @ self.centroids.T
+        grams = counts(texts)
+        near = vectors(grams, self.idf) @ self.centroids.T
         best = near.argmax(axis=1)
         score = near[np.arange(len(best)), best]
-        return [self.languages[k] for k in self.owner[best]], np.clip(score, 0.0, 1.0), score < self.floor[best]
+        return [self.languages[k] for k in self.owner[best]], np.clip(score, 0.0, 1.0), score < self.floor[best] * np.minimum(1.0, grams.sum(axis=1) / ENOUGH)
 
 
 def vectors(grams: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -184,10 +182,6 @@ def identified(docs: DataFrame) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-def _held_out_py(doc_id: int) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 3 == 1
-
-
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language isn't rejected, with all their columns.
 
