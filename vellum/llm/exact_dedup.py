@@ -37,10 +37,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         salts = spark.createDataFrame([(r["h"], -(-r["count"] // limit)) for r in hot], "h long, runs long")
         keyed = keyed.join(F.broadcast(salts), "h", "left").withColumn("salt", F.when(F.col("runs").isNotNull(), F.pmod(F.xxhash64("id"), "runs")).otherwise(0))
     else:
-        keyed = keyed.withColumn("salt", F.lit(0).cast("long")).withColumn("runs", F.lit(None).cast("long"))
-    key = [F.substring("norm", 1, 16).alias("head"), "h", "salt"]
-    dealt = keyed.select("id", "norm", "runs", *key).repartitionByRange("head", "h", "salt")
-    run = Window.partitionBy("head", "h", "salt", "norm")
+        keyed = keyed.withColumn("runs", F.lit(None).cast("long"))
+    # the window's keys include the splitters', so that it needs no exchange of its own; a constant salt would be folded away
+    key = ["head", "h", *["salt"] * bool(hot)]
+    dealt = keyed.withColumn("head", F.substring("norm", 1, 16)).select("id", "norm", "runs", *key).repartitionByRange(*key)
+    run = Window.partitionBy(*key, "norm")
     order = run.orderBy(F.col("id").asc_nulls_last())
     runs = dealt.select(
         "id", "h", (F.col("runs").isNotNull()).alias("hot"), F.sha2("norm", 256).alias("sha"),
