@@ -19,6 +19,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_duplicates(table(spark, sf_dir, "documents"), size=35)
 
 
+def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_binary import encoded_tokens
+
+    return encoded_tokens(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identified
 
@@ -43,7 +49,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op5_language_id, op6_media_columns, op8_packing, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op4_token_binary, op5_language_id, op6_media_columns, op8_packing, op9_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
