@@ -49,7 +49,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op4_token_binary, op5_language_id, op6_media_columns, op8_packing, op9_exact_dedup)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op4_token_binary, op5_language_id, op6_media_columns, op8_packing, op9_exact_dedup, op10_pii)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
