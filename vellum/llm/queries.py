@@ -19,6 +19,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_duplicates(table(spark, sf_dir, "documents"), size=35)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_codec import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_binary import encoded_tokens
 
@@ -37,6 +43,12 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judged
+
+    return judged(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
 
@@ -55,9 +67,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op4_token_binary, op5_language_id, op6_media_columns, op8_packing, op9_exact_dedup, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op3_sentencepiece, op4_token_binary, op5_language_id, op6_media_columns, op7_url_filter, op8_packing, op9_exact_dedup, op10_pii)}
 
 ORACLE_SQL = {
+    "op7_url_filter": r"""
+        WITH rules(rhost, rpath, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'),
+                                               ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+        p AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)) AS host,
+                     regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        f AS (SELECT page_id, host, path, rhost || rpath AS r, v,
+                     row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC NULLS LAST) AS k
+              FROM p LEFT JOIN rules ON (host = rhost OR suffix(host, '.' || rhost)) AND prefix(path, rpath))
+        SELECT page_id, host, path, r AS rule, coalesce(v, 'allow') AS verdict FROM f WHERE k = 1""",
     "op9_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
