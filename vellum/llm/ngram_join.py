@@ -39,26 +39,59 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list,
         yield ids, list(shingles(words(texts, lower=True), size))
 
 
+def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of (tok, cnt), ascending, and their counts: HOT_SHINGLES of them at most, the most frequent."""
+    counts = cut(counts.groupBy("tok").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= HOT_FROM), "hot-shingles")
+    least = HOT_FROM
+    while counts.where(F.col("cnt") >= least).count() > HOT_SHINGLES:
+        least *= 2
+    got = counts.where(F.col("cnt") >= least).toArrow()
+    tok = got["tok"].to_numpy().view(np.uint64)
+    order = np.argsort(tok)
+    return tok[order], got["cnt"].to_numpy()[order]
+
+
+def _counts_in(hot: tuple[np.ndarray, np.ndarray], s: np.ndarray) -> np.ndarray:
+    """How frequent each shingle of ``s`` is; 0 if it isn't among the frequent ones."""
+    tok, cnt = hot
+    if not len(tok):
+        return np.zeros(len(s), np.int64)
+    at = np.minimum(np.searchsorted(tok, s), len(tok) - 1)
+    return np.where(tok[at] == s, cnt[at], 0)
+
+
 def _hot(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles and their counts, counted over twice every document's prefix in order of hashes.
+    """Frequent shingles and their counts.
 
-    Any order gives right results; this one keeps the lists that are joined short.
+    They are first counted over twice every document's prefix in order of hashes.  Where so many of those are frequent that
+    fewer than a prefix is left, as in large groups of near copies, the document's other shingles are counted too.
+    Any order gives right results; this one keeps the lists that are joined short, as what sets a copy apart comes first.
     """
+    counted = "tok long, cnt long"
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema("tok long, cnt long")
+    def summed(some: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if some:
+            tok, cnt = np.unique(np.concatenate(some), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(cnt.astype(np.int64))], schema=arrow_schema(counted))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _sets(batches, size):
-            tok, cnt = np.unique(np.concatenate([s[: 2 * prefix_length(len(s), percent)] for s in sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(cnt.astype(np.int64))], schema=schema)
+            yield from summed([s[: 2 * prefix_length(len(s), percent)] for s in sets])
 
-    found = cut(docs.mapInArrow(task, "tok long, cnt long").groupBy("tok").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= HOT_FROM), "hot-shingles")
-    least = HOT_FROM
-    while found.where(F.col("cnt") >= least).count() > HOT_SHINGLES:
-        least *= 2
-    got = found.where(F.col("cnt") >= least).toArrow()  # HOT_SHINGLES rows at most
-    tok = got["tok"].to_numpy().view(np.uint64)
-    order = np.argsort(tok)
-    return tok[order], got["cnt"].to_numpy()[order]
+    found = _most_frequent(docs.mapInArrow(first, counted))
+    sent = docs.sparkSession.sparkContext.broadcast(found)
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _sets(batches, size):
+            some = []
+            for s in sets:
+                p = prefix_length(len(s), percent)
+                if np.count_nonzero(_counts_in(sent.value, s[: 2 * p]) == 0) < p < len(s) / 2:
+                    some.append(s[2 * p :])
+            yield from summed(some)
+
+    known = docs.sparkSession.createDataFrame(pa.table({"tok": found[0].view(np.int64), "cnt": found[1]}, schema=arrow_schema(counted)))
+    return _most_frequent(docs.mapInArrow(rest, counted).unionByName(known)) if len(found[0]) else found
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -66,16 +99,12 @@ def _prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(_hot(docs, size, percent))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, (hot, count) = arrow_schema(PREFIXES), sent.value
+        schema, hot = arrow_schema(PREFIXES), sent.value
         for ids, sets in _sets(batches, size):
             sdig, pdig, prefix = [], [], []
             for s in sets:
                 p = prefix_length(len(s), percent)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    first = s[np.argsort(np.where(hot[at] == s, count[at], 0), kind="stable")[:p]]
-                else:
-                    first = s[:p]
+                first = s[np.argsort(_counts_in(hot, s), kind="stable")[:p]]
                 sdig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 pdig.append(hashlib.blake2b(first.tobytes(), digest_size=16).digest())
                 prefix.append(first.view(np.int64))
@@ -200,3 +229,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     label = members.select("rep", "root").join(top.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("rep", F.coalesce("top", "root").alias("component"))
     out = x.join(reps, node, "left").join(label, "rep", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that have the smallest id of their class.
+
+    Rows without id stay.  Where rows share an id, they stay together if one of them represents its class, else they go.
+    """
+    found = cut(near_duplicates(docs, shingle, percent, id_col, text_col), "classes").where("doc_id is not null")
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct().join(kept, "doc_id", "left_anti").select(F.col("doc_id").alias("__gone"))
+    return docs.join(thin(cut(gone, "gone")), docs[f"`{id_col}`"].cast("long") == F.col("__gone"), "left_anti")
