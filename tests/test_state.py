@@ -151,7 +151,10 @@ def test_store(spark, tmp_path):
 
 
 def test_calendar(spark):
-    rows = [("m", "k1", 1, 1, 0, "date_event", {"kind": "deadline", "label": "Pay\; now\\, " in e.event and "Pay\; now\\, " in e.event and all(len(x.encode()) <= 75 for x in e.event.split("\r\n"))
+    label = "Pay; now, " + "é" * 80
+    rows = [("m", "k1", 1, 1, 0, "date_event", {"kind": "deadline", "label": label}, "s", "confirmed", "2024-05-01"), ("m", "k2", 1, 1, 1, "date_event", {"kind": "deadline", "label": "x"}, "s", None, None), ("m", "k3", 1, 1, 2, "date_event", {"kind": "event", "label": "x"}, "s", "confirmed", "2024-05-01")]
+    (e,) = sinks.calendar_events(spark.createDataFrame(rows, "matter_slug string, fact_key string, doc_id long, page long, char_start long, fact_type string, value map<string,string>, span string, status string, confirmed_date string")).collect()
+    assert "DTSTART;VALUE=DATE:20240501" in e.event and "Pay\; now\\, " in e.event and all(len(x.encode()) <= 75 for x in e.event.split("\r\n"))
 
 
 def test_golden_and_latency(spark):
