@@ -31,7 +31,7 @@ _FOLD = np.array([b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 e
 
 
 def _grams(texts: list[bytes]) -> np.ndarray:
-    """Counts of hashed 1-, 2- and 3-grams, one row for each text."""
+    """Counts of hashed 1-, 2- and 3-grams of each text and a space, one row for each."""
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
     b = _FOLD[np.frombuffer(b" ".join([*texts, b""]), np.uint8)].astype(np.uint32)
     row = np.repeat(np.arange(len(texts), dtype=np.int64) * DIMS, lengths)
@@ -42,7 +42,8 @@ def _grams(texts: list[bytes]) -> np.ndarray:
             break
         code = (code[: len(b) - n + 1] << 8) | b[n - 1 :]
         mixed = (code * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(20)
-        total += np.bincount(row[: len(mixed)] + mixed, minlength=len(total))
+        whole = row[: len(mixed)] == row[n - 1 :]  # not across two texts
+        total += np.bincount((row[: len(mixed)] + mixed)[whole], minlength=len(total))
     return total.reshape(len(texts), DIMS)
 
 
