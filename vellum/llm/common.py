@@ -68,6 +68,13 @@ def thin(side: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(side) if n <= BROADCAST_ROWS else side
 
 
+def slices(batches, rows: int = 64):
+    """Arrow batches in small pieces, so that few texts are Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def arrow_schema(ddl: str):
     """The Arrow schema of flat DDL such as "a long, b array<long>"; needs no session, so tasks can call it."""
     import pyarrow as pa
