@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, cut, id_text, thin
+from .common import arrow_schema, cut, id_text, slices, thin
 from .wordhash import _power, encoded, grouped, mix, words
 
 SIZE, GRAM = 35, 8
@@ -96,7 +96,7 @@ def _windows(rows: DataFrame, size: int) -> DataFrame:
     """The windows of phrases: of rows (id, text, places, ms), whose places lie in the text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for i, t, places, ms in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = t.encode("utf-8", "replace")
                 mark, p = _mark(text), _Parsed([text], size)
@@ -175,7 +175,7 @@ def without_duplicates(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id"
     names = KEPT + ", kept string" * keep_text
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for i, t, copied in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = (t or "").encode("utf-8", "replace")
