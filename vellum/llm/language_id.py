@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_schema, id_text
+from .common import arrow_schema, id_text, slices
 
 UNKNOWN = "und"
 #: Hashed n-gram dimensions; n-grams are of 1, 2 and 3 bytes of the lower-cased UTF-8 text.
@@ -22,6 +22,8 @@ CENTROIDS = 4
 #: this.  Short texts have few n-grams and so low cosines anywhere: below so many n-grams the bound falls in proportion.
 MARGIN, ENOUGH = 0.25, 600
 ROUNDS = 12
+#: Texts judged at once: each takes DIMS numbers.
+ROWS = 128
 
 PREDICTED = "doc_id long, lang_pred string, score double, rejected boolean"
 
@@ -123,7 +125,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, centroids: int = CENTROIDS, t
         share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, rows / n) * (1 << 32)))).otherwise(share)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, ROWS):
             if b.num_rows:
                 grams = np.minimum(counts(b.column(1).to_pylist()), 2**31 - 1).astype("<i4")
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tobytes() for g in grams], pa.binary())], schema=arrow_schema("lang string, grams binary"))
@@ -158,7 +160,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, schema = sent.value, arrow_schema(PREDICTED)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             known = [i for i, t in enumerate(texts) if m.languages and _LETTER.search(t)]
             lang, score, out = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
@@ -194,7 +196,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             keep = np.zeros(len(texts), bool)
             known = [i for i, t in enumerate(texts) if m.languages and _LETTER.search(t)]
