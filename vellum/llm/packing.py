@@ -6,7 +6,6 @@ import heapq
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -30,41 +29,38 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """
     if not sizes:
         return [[] for _ in range(k)]
-    # A part is a node of a binary forest: 0 is empty, 1..n are items, later ones join two nodes.
-    left, right, nodes = [], [], len(sizes) + 1
-    first = nodes
-    heap = []
-    for i, s in enumerate(sizes):
-        sums, part = np.zeros(k, np.int64), np.zeros(k, np.int64)
-        sums[0], part[0] = s, i + 1  # descending
-        heap.append((-s, i, sums, part))
+    # A part is its sum and, in the low bits, a node of a binary forest: 1..n are items, later nodes join two.  Empty parts are
+    # left out; a partial partition is the list of the others, the fullest first.
+    low, joined = (2 * len(sizes)).bit_length(), []
+    mask, nodes = (1 << low) - 1, len(sizes) + 1
+    heap = [(-s, i, [s << low | i + 1]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     ties = len(sizes)
     while len(heap) > 1:
-        _, _, a, pa_ = heapq.heappop(heap)
-        _, _, b, pb = heapq.heappop(heap)
-        sums = a + b[::-1]
-        left.append(pa_)
-        right.append(pb[::-1])
-        part = np.arange(nodes, nodes + k)
-        nodes += k
-        order = np.argsort(-sums, kind="stable")
-        sums, part = sums[order], part[order]
-        sums -= sums[-1]  # only differences matter
-        heapq.heappush(heap, (-int(sums[0]), ties, sums, part))
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        alone = k - len(b)  # so many of the fullest parts of a meet empty ones
+        parts = a[:alone] + b[: k - len(a)]
+        for x, y in zip(a[alone:], b[k - len(a) :][::-1] if len(a) + len(b) > k else (), strict=True):
+            parts.append(((x >> low) + (y >> low)) << low | nodes)
+            joined.append((x & mask, y & mask))
+            nodes += 1
+        parts.sort(reverse=True)
+        if len(parts) == k and (least := parts[-1] >> low << low):
+            parts = [x - least for x in parts]  # only differences matter
+        heapq.heappush(heap, (-(parts[0] >> low), ties, parts))
         ties += 1
-    l, r = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
     out = []
-    for root in heap[0][3].tolist():
-        items, todo = [], [root]
+    for root in heap[0][2]:
+        items, todo = [], [root & mask]
         while todo:
             n = todo.pop()
-            if n >= first:
-                todo += [int(r[n - first]), int(l[n - first])]
-            elif n:
+            if n > len(sizes):
+                todo += joined[n - len(sizes) - 1][::-1]
+            else:
                 items.append(n - 1)
         out.append(items)
-    return out
+    return out + [[] for _ in range(k - len(out))]
 
 
 def balanced(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -139,11 +135,11 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPA
                 packer.rows = []
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 128):
-                for doc, b in zip(ids[at : at + 128], enc.ids(texts[at : at + 128].to_pylist()), strict=True):
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
+                for doc, b in zip(some.column(0).to_pylist(), enc.ids(some.column(1)), strict=True):
                     packer.add(doc, b + end)
-                yield from ready(50_000)
+                    yield from ready(50_000)
         packer.flush()
         yield from ready(0)
 
