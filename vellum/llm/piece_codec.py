@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -22,7 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import arrow_schema, id_text
 
 SPACE = "▁"
+#: Segments that a worker keeps (at twice as many the older half goes), and the longest that it keeps.
 CACHE, LONG = 300_000, 64
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 ENCODED = "doc_id long, n_ids long, ids binary, sha256 string"
 
 
@@ -49,16 +52,26 @@ class Pieces:
                 self.ids[p], self.score[p] = k, sp.get_score(k)
                 self.out.append(p.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.ids), default=1)
+        # lengths of the pieces that end in three given characters, the longest first
+        ends: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                ends.setdefault(p[-3:], set()).add(len(p))
+        self.lengths = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
         # a segment ends where white space starts, unless a piece goes on across such a place
         self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids) else re.compile(r"(?s).+")
+        self.piece = {k: p for p, k in self.ids.items()}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.stable = lru_cache(1 << 19)(self._stable)
-        self.alone = lru_cache(1 << 16)(lambda p: self.merged(p) == [p])
+        self.built = lru_cache(1 << 16)(self._built)
 
-    def merged(self, text: str) -> list[str]:
-        """Pieces of a short text by the definition: the pair whose union scores highest merges first, the leftmost of equals."""
-        parts = list(text)
+    def _built(self, piece: str) -> tuple[bool, list[tuple[float, str, str]]]:
+        """Whether merging a piece's characters gives it back, and each merge: its score, and the first and last part after it.
+
+        The pair whose union scores highest merges first, the leftmost of equals.
+        """
+        parts, merges = list(piece), []
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -68,25 +81,46 @@ class Pieces:
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            merges.append((best, parts[0], parts[-1]))
+        return parts == [piece], merges
 
     def _stable(self, left: str, right: str) -> bool:
-        return self.merged(left + right) == [left, right]
+        """Whether merging the characters of both gives these two pieces: no union across their border may come first.
+
+        Both are built side by side, the better merge first; the left one wins ties, as merges go from left to right.
+        """
+        (one, a), (two, b) = self.built(left), self.built(right)
+        if not (one and two):
+            return False
+        x, y, i, j = left[-1], right[0], 0, 0
+        while True:
+            over = self.score.get(x + y)
+            p, q = a[i][0] if i < len(a) else None, b[j][0] if j < len(b) else None
+            if over is not None and (p is None or over > p) and (q is None or over >= q):
+                return False
+            if p is None and q is None:
+                return True
+            if q is None or (p is not None and p >= q):
+                x, i = a[i][2], i + 1
+            else:
+                y, j = b[j][1], j + 1
 
     def stream(self, text: str) -> Iterator[int]:
         """Ids of a segment, each as soon as it is certain."""
         last: dict[int, str] = {0: ""}  # the window: a place's last piece; places that are missing have none
-        done, ids = 0, self.ids
+        done, ids, lengths, stable = 0, self.ids, self.lengths, self.stable
         for i in range(1, len(text) + 1):
-            for n in range(min(self.longest, i), 0, -1):
+            for n in (*lengths.get(text[max(0, i - 3) : i], ()), 2):
                 before = last.get(i - n)
-                if before is None:
-                    continue
-                piece = text[i - n : i]
-                if piece in ids or n == 1:
-                    if (self.stable(before, piece) if before else self.alone(piece)) or (n == 1 and piece not in ids):
+                if before is not None:
+                    piece = text[i - n : i]
+                    if piece in ids and (stable(before, piece) if before else self.built(piece)[0]):
                         last[i] = piece
                         break
+            else:
+                before, piece = last.get(i - 1), text[i - 1]
+                if before is not None and (piece not in ids or not before or stable(before, piece)):
+                    last[i] = piece
             if i - done > 4 * self.longest:
                 # the paths of all places that a later piece can start from
                 ends = {p for p in range(i - self.longest + 1, i + 1) if p in last}
@@ -115,11 +149,23 @@ class Pieces:
                     yield self.byte.get(b, self.unknown)
 
     def _segment(self, s: str) -> bytes:
-        b = self.old.get(s)
+        """A segment that is in neither half of the cache: streamed, or made of a stem and its marks if their pieces are stable side by side."""
+        stem = s.rstrip(MARKS)
+        if stem is not s and stem[-1:].isalpha() and len(s) <= LONG:
+            head, tail = self._known(stem), self._known(s[len(stem) :])
+            left, right = (self.piece.get(struct.unpack_from("<I", b, at)[0]) for b, at in ((head, len(head) - 4), (tail, 0)))
+            if left and right and self.stable(left, right):
+                return head + tail
+        return array("I", self.stream(s)).tobytes()
+
+    def _known(self, s: str) -> bytes:
+        b = self.new.get(s)
         if b is None:
-            b = array("I", self.stream(s)).tobytes()
-        if len(s) <= LONG:
-            self.new[s] = b
+            b = self.old.get(s)
+            if b is None:
+                b = self._segment(s)
+            if len(s) <= LONG:
+                self.new[s] = b
         return b
 
     def encode(self, text: str | None) -> bytes:
@@ -129,7 +175,7 @@ class Pieces:
         parts = self.segments.findall((" " + text).replace(" ", SPACE))
         got = list(map(self.new.get, parts))
         if None in got:
-            got = [self._segment(p) if b is None else b for p, b in zip(parts, got, strict=True)]
+            got = [self._known(p) if b is None else b for p, b in zip(parts, got, strict=True)]
             if len(self.new) > CACHE:
                 self.old, self.new = self.new, {}
         return b"".join(got)
