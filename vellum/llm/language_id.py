@@ -55,7 +55,8 @@ def counts(texts: list[str], at_once: int = 1 << 20) -> np.ndarray:
     some, size, first = [], 0, 0
     for i, t in enumerate(texts):
         data = t.lower().encode("utf-8", "replace")
-        if len(data) > at_once:  # one very long text: in overlapping slices, so that no n-gram is lost
+        if len(data) > at_once:  # one very long text: in overlapping slices, so that no n-gram is lost; its row below is empty
+            out[i] -= _grams([b""])[0]
             for k in range(0, len(data), at_once):
                 tail = data[max(0, k - 2) : k]
                 out[i] += _grams([data[max(0, k - 2) : k + at_once]])[0] - (_grams([tail])[0] if tail else 0)

@@ -132,9 +132,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _reported(table: DataFrame, new: DataFrame) -> DataFrame:
+    new = cut(new, "pii-new")
     more = new.groupBy(F.col("id").alias("nid"), F.col("mark").alias("nmark")).agg(F.collect_set(F.struct("kind", "s", "e")).alias("new"))
     no = F.array().cast("array<struct<kind:string,s:int,e:int>>")
-    rows = table.join(thin(more), F.col("id").eqNullSafe(F.col("nid")) & (F.col("mark") == F.col("nmark")), "left")
+    rows = table.join(thin(more, new.count()), F.col("id").eqNullSafe(F.col("nid")) & (F.col("mark") == F.col("nmark")), "left")
     base = F.concat(*[_numbered(k, i) for i, k in enumerate(KINDS)])
     number = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     every = F.array_sort(F.array_union(base, F.transform(F.coalesce("new", no), lambda x: F.struct(number[x["kind"]].alias("k"), x["s"].alias("s"), x["e"].alias("e")))))
@@ -156,6 +157,8 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     table = cut(found(docs, id_col, text_col), "pii-found")
     spans = _reported(table, bootstrap(table)).where(F.size("all") > 0).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.array_sort(F.transform("all", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))).alias("__all")).dropDuplicates(["__id", "__mark"])
+    spans = cut(spans, "pii-spans")
+    size = spans.agg(F.sum(F.size("__all"))).first()[0] or 0  # of all spans, as rows have as many as their texts
     text = F.col(f"`{text_col}`")
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
 
@@ -167,5 +170,5 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     done = F.aggregate("__all", first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
     keyed = docs.withColumn("__m", F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))))
-    rows = keyed.join(thin(spans), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")), "left")
+    rows = keyed.join(thin(spans, size), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")), "left")
     return rows.withColumn(text_col, F.when(F.col("__all").isNotNull(), done).otherwise(text)).select(*[f"`{c}`" for c in docs.columns])

@@ -19,13 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, cut, id_text, slices, thin
+from .common import arrow_schema, cut, id_text, slices
 from .wordhash import _power, encoded, grouped, mix, words
 
 SIZE, GRAM = 35, 8
 #: A place is first word << 26 | windows less one << 20 | 20 bits of the text's hash, which tells apart rows that share an id.
 _TEXT, _RUN = 20, 26
 
+#: Places in phrases that are broadcast at most, about 16 bytes each; with more the texts are shuffled to them.
+PLACES = 1_500_000
+
 PHRASES = "anchor long, phrase long, id long, place long"
 WINDOWS = "win long, m long, id long, place long"
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long"
@@ -136,7 +139,8 @@ def pieces(docs: DataFrame, size: int = SIZE) -> DataFrame:
     # phrases of one anchor that aren't equal can still share windows
     mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
     asked = cut(kinds.join(mixed, "anchor", "left_semi").groupBy(F.col("lo.id").alias("rid")).agg(F.collect_list("lo.place").alias("places"), F.collect_list("m").alias("ms")), "mixed")
-    rows = docs.where("text is not null").join(thin(asked), F.col("id").eqNullSafe(F.col("rid")))
+    places = asked.agg(F.sum(F.size("places"))).first()[0] or 0
+    rows = docs.where("text is not null").join(F.broadcast(asked) if places <= PLACES else asked, F.col("id").eqNullSafe(F.col("rid")))
     wins = cut(_windows(rows.select("id", "text", "places", "ms"), size), "windows")
     again = wins.groupBy("win").agg(F.sum("m").alias("all"), F.min(where).alias("lo"), F.max(where).alias("hi")).where("all > 1")
     single = wins.where("m = 1").join(again, "win").select("id", "place", F.when(where == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("ref"))
