@@ -1,5 +1,6 @@
 """Queries against their SQL on the smallest tables."""
 
+import numbers
 import os
 
 import duckdb
@@ -22,7 +23,9 @@ def db():
 
 def rows(df):
     def plain(v):
-        return None if v is None or v is pd.NaT or v != v else round(float(v), 6) if isinstance(v, float) else v
+        if pd.isna(v):
+            return None
+        return round(float(v), 6) if isinstance(v, numbers.Number) and not isinstance(v, bool) else v
 
     return sorted((tuple(plain(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=repr)
 
