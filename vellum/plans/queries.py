@@ -263,7 +263,9 @@ def rejected_reasons(spark, d):
 @query()
 def fuzzy_hints(spark, d):
     answers, chunks = _claimed(spark, d)
-    near = chunks.withColumn("text", F.when(F.col("qid") % 2 == 1, F.lit("That andd onesen erblest itt hein ti inenan eranenes")).otherwise(F.col("text")))
+    # chunks with one letter of the quote changed: not verified, but near
+    text = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("whole"))
+    near = chunks.join(text, "qid").withColumn("text", F.concat(F.substring("whole", 1, 29), F.lit("#"), F.substring("whole", 31, 1000))).drop("whole")
     return verification.fuzzy_hints(verification.verified_claims(answers, near), near)
 
 
