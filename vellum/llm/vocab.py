@@ -23,10 +23,10 @@ _PIECE = re.compile(f"[{WS}]*[^{WS}]+|[{WS}]+")
 #: After a letter a run of these is a pre-token of its own.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Distinct pieces kept by a Python worker; at twice as many the older half goes.
-CACHE = 400_000
+CACHE = 160_000
 LONG = 80
 #: Bytes of text encoded at once, where texts are shorter: the more, the fewer pieces are looked up.
-PORTION = 4 << 20
+PORTION = 2 << 20
 #: Texts that have other white space than single spaces and line ends between words, or a character that marks pieces.
 _ODD = f"\\A[ \\n]|[ \\n]\\z|[ \\n][ \\n]|[\\x00-\\x09\\x0b-\\x1f{WS[4:]}]"
 
