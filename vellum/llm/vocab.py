@@ -2,16 +2,15 @@
 
 The vocabulary's pre-tokeniser never joins what stands on the two sides of the point between a
 character that is not white space and white space after it.  So the ids of a text are those of its
-pieces "white space, then other characters", in order, and a piece that was met before needs no second call.
+pieces "white space, then other characters", in order, and a piece that was met before isn't encoded again.
+Known pieces and their ids are columns, and looking up a portion's distinct pieces is one Arrow call.
 """
 
 from __future__ import annotations
 
-import gc
 import os
-import re
-from array import array
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +18,52 @@ import pyarrow.compute as pc
 
 #: Unicode's White_Space, as the pre-tokeniser's \\s has it.
 WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PIECE = re.compile(f"[{WS}]*[^{WS}]+|[{WS}]+")
-#: After a letter a run of these is a pre-token of its own.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Distinct pieces kept by a Python worker; at twice as many the older half goes.
-CACHE = 160_000
-LONG = 80
+#: Bytes of pieces and ids kept by a Python worker; beyond it those go that weren't met for longest.
+CACHE = 12 << 20
 #: Bytes of text encoded at once, where texts are shorter: the more, the fewer pieces are looked up.
 PORTION = 2 << 20
+#: Pieces that make one text for the library.
+JOINED = 256
 #: Texts that have other white space than single spaces and line ends between words, or a character that marks pieces.
 _ODD = f"\\A[ \\n]|[ \\n]\\z|[ \\n][ \\n]|[\\x00-\\x09\\x0b-\\x1f{WS[4:]}]"
 
 
+class _Known:
+    """Keys that were met, and their ids."""
+
+    def __init__(self, ask):
+        self.ask, self.now = ask, 0
+        self.keys = pa.array([], pa.string())
+        self.ids, self.starts, self.lengths, self.met = np.zeros(0, np.uint32), *(np.zeros(0, np.int32) for _ in range(3))
+
+    def find(self, keys: pa.Array) -> np.ndarray:
+        """Places of distinct keys, which are learned if they are new."""
+        at = pc.index_in(keys, value_set=self.keys)
+        place = at.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        if at.null_count:
+            new = keys.filter(at.is_null())
+            ids, lengths = self.ask(new.to_pylist())
+            place[place < 0] = np.arange(len(self.keys), len(self.keys) + len(new), dtype=np.int32)
+            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths, dtype=np.int32) - lengths))
+            self.lengths, self.ids = np.concatenate((self.lengths, lengths)), np.concatenate((self.ids, ids))
+            self.keys, self.met = pa.concat_arrays([self.keys, new]), np.concatenate((self.met, np.zeros(len(new), np.int32)))
+        self.now += 1
+        self.met[place] = self.now
+        return place
+
+    def forget(self) -> None:
+        """Keep the half that was met last, or nothing if that is too much as well."""
+        if self.keys.nbytes + self.ids.nbytes <= CACHE:
+            return
+        kept = np.sort(np.argsort(self.met, kind="stable")[len(self.met) // 2 :])
+        many = self.lengths[kept]
+        starts = np.cumsum(many, dtype=np.int32) - many
+        self.ids = self.ids[np.repeat(self.starts[kept] - starts, many) + np.arange(int(many.sum()))]
+        self.keys, self.starts, self.lengths, self.met = self.keys.take(pa.array(kept)), starts, many, self.met[kept]
+        if self.keys.nbytes + self.ids.nbytes > CACHE:
+            self.__init__(self.ask)
+
+
 class Encoder:
     """``ids(texts)`` gives each text's ids as little-endian unsigned 32-bit integers."""
 
@@ -40,84 +73,74 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.new: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _ask(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _of(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces: known ones, a stem's and its marks', or what the library says."""
-        new, old = self.new, self.old
-        out = list(map(new.get, pieces))
-        if None in out:
-            missing = {p for p, b in zip(pieces, out, strict=True) if b is None}
-            again = missing & old.keys()
-            new.update(zip(again, map(old.__getitem__, again), strict=True))
-            missing -= again
-            stems = [(p, s) for p in missing if (s := p.rstrip(MARKS)) is not p and s[-1:].isalpha()]
-            missing.difference_update([p for p, _ in stems])
-            parts = {s for _, s in stems}.union([p[len(s) :] for p, s in stems]).difference(new)
-            again = parts & old.keys()
-            new.update(zip(again, map(old.__getitem__, again), strict=True))
-            asked = list(missing | (parts - again))
-            new.update(zip(asked, self._ask(asked), strict=True))
-            for p, s in stems:
-                new[p] = new[s] + new[p[len(s) :]]
-            out = [new[p] if b is None else b for p, b in zip(pieces, out, strict=True)]
-            for p in asked:
-                if len(p) > LONG:
-                    del new[p]
-        if len(new) > CACHE:
-            self.old, self.new = new, {"": b""}
-        return out
+        # a piece that starts with a space or line end starts with a token that does, and no other token of it does
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.starts[[i for token, i in vocabulary.items() if token[0] in "\u0120\u010a"]] = True
+        self.usual, self.other = _Known(self._ask_usual), _Known(self._ask)
+
+    def _ask(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts, and how many each has, from the library."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int32, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def _ask_usual(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys are told apart by their first character: \\1 before a text's first word, a line end, or else a space that is left out."""
+        first = np.fromiter((k[:1] == "\1" for k in keys), bool, len(keys))
+        joined = [k if k[:1] == "\n" else " " + k for k in keys if k[:1] != "\1"]
+        ids, lengths = self._ask(["".join(joined[a : a + JOINED]) for a in range(0, len(joined), JOINED)])
+        starts = np.flatnonzero(self.starts[ids])
+        if len(starts) != len(joined):
+            raise RuntimeError("the vocabulary's pre-tokeniser joins words with the space after them")
+        alone, alone_lengths = self._ask([k[1:] for k in keys if k[:1] == "\1"])
+        out = np.zeros(len(keys), np.int32)
+        out[first], out[~first] = alone_lengths, np.diff(starts, append=len(ids))
+        owner, every = np.repeat(first, out), np.zeros(len(ids) + len(alone), np.uint32)
+        every[owner], every[~owner] = alone, ids
+        return every, out
 
     def ids(self, texts) -> list[bytes]:
         """Of a list or Arrow array of strings; null is empty."""
-        collecting = gc.isenabled()
-        gc.disable()  # no cycles are made here, and looking for them through many strings takes a fifth of the time
-        try:
-            return self._ids(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _ids(self, column: pa.Array) -> list[bytes]:
-        column = column.cast(pa.string()).fill_null("")
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.string()).fill_null("")
         out: list[bytes] = []
         for part in _portions(column):
-            odd = pc.match_substring_regex(part, _ODD)
-            rest = iter(self._usual(part.filter(pc.invert(odd))))
-            other = iter(self._unusual(part.filter(odd).to_pylist()))
-            out += [next(other) if o else next(rest) for o in odd.to_pylist()]
+            kind = np.where(pc.match_substring_regex(part, _ODD).to_numpy(zero_copy_only=False), np.where(pc.match_substring(part, "\1").to_numpy(zero_copy_only=False), 2, 1), 0)
+            ways = (self._usual, self._unusual, self._marked)
+            found = [iter(way(part.filter(pa.array(kind == k))) if (kind == k).any() else ()) for k, way in enumerate(ways)]
+            out += [next(found[k]) for k in kind.tolist()]
         return out
 
     def _usual(self, texts: pa.Array) -> list[bytes]:
         """Texts with one space or line end between words: each word, with what is before it, is a piece."""
-        if not len(texts):
-            return []
-        # a text's first piece is told by a \1; others have lost their space, or start with their line end
-        cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\1"), texts, pa.scalar("")), "\n", " \n"), " ")
-        every = cut.flatten().dictionary_encode()
-        keys = every.dictionary.to_pylist()
-        found = self._of([k if k[:1] == "\n" else k[1:] if k[:1] == "\1" else " " + k for k in keys])
-        ids = np.frombuffer(b"".join(found), "<u4")
-        lengths = np.fromiter(map(len, found), np.int32, len(found)) >> 2
-        starts = np.cumsum(lengths, dtype=np.int32) - lengths
-        index = every.indices.to_numpy()
-        many = lengths[index]
-        ends = np.cumsum(many, dtype=np.int32)  # a portion has far fewer than 2^31 ids, but for one text of gigabytes
-        place = np.repeat(starts[index] - (ends - many), many)
-        place += np.arange(len(place), dtype=np.int32)
-        flat = ids[place].tobytes()
-        bounds = np.concatenate(([0], ends))[cut.offsets.to_numpy()] * 4
-        return [flat[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-
-    def _unusual(self, texts: list[str]) -> list[bytes]:
-        cut = [_PIECE.findall(t) for t in texts]
-        every = list(set().union(*cut))
-        known = dict(zip(every, self._of(every), strict=True))
-        return [b"".join(map(known.__getitem__, p)) for p in cut]
+        marked = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\1"), texts, pa.scalar("")), "\n", " \n")
+        return _joined(pc.split_pattern(marked, " "), self.usual)
+
+    def _unusual(self, texts: pa.Array) -> list[bytes]:
+        return _joined(pc.split_pattern(pc.replace_substring_regex(texts, f"([^{WS}])([{WS}])", "\\1\1\\2"), "\1"), self.other)
+
+    def _marked(self, texts: pa.Array) -> list[bytes]:
+        """Texts that have the character which would mark their pieces."""
+        ids, lengths = self._ask(texts.to_pylist())
+        return _cut(ids, np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))))
+
+
+def _joined(cut: pa.ListArray, known: _Known) -> list[bytes]:
+    """The ids of each text from those of its pieces."""
+    every = cut.flatten().dictionary_encode()
+    place = known.find(every.dictionary)[every.indices.to_numpy()]
+    many = known.lengths[place]
+    ends = np.cumsum(many, dtype=np.int32)  # a portion has far fewer than 2^31 ids, but for one text of gigabytes
+    source = np.repeat(known.starts[place] - (ends - many), many)
+    source += np.arange(len(source), dtype=np.int32)
+    out = _cut(known.ids[source], np.concatenate(([0], ends))[cut.offsets.to_numpy()])
+    known.forget()
+    return out
+
+
+def _cut(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    flat, bounds = ids.astype("<u4", copy=False).tobytes(), (bounds * 4).tolist()
+    return [flat[a:z] for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _portions(column: pa.Array):
