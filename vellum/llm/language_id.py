@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -93,7 +94,10 @@ class Model:
 
 def vectors(grams: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Unit TF-IDF rows, with logarithmic term frequency."""
-    return _unit(np.log1p(grams) * idf)
+    x = np.log1p(grams)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+    return x
 
 
 def _cluster(x: np.ndarray, k: int) -> np.ndarray:
@@ -114,7 +118,8 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, centroids: int = CENTROIDS, t
     """Centroids from at most about ``rows`` labelled rows of each language.
 
     The bounded sample takes the rows whose hash of the id lies below a threshold that each language's whole count sets;
-    tasks turn the sampled texts into n-gram counts, and only those vectors (DIMS numbers each) reach the driver.
+    tasks turn the sampled texts into n-gram counts, and only those vectors (DIMS numbers each, compressed) reach the driver,
+    which unpacks one language's at a time.
     Rows without text, language or letters are not learned from.  Without any, the model knows no language.
     """
     base = labelled.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
@@ -129,19 +134,23 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, centroids: int = CENTROIDS, t
         for b in slices(batches, ROWS):
             if b.num_rows:
                 grams = np.minimum(counts(b.column(1).to_pylist()), 2**31 - 1).astype("<i4")
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tobytes() for g in grams], pa.binary())], schema=arrow_schema("lang string, grams binary"))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(g.tobytes(), 1) for g in grams], pa.binary())], schema=arrow_schema("lang string, grams binary"))
 
-    got = base.where(place < share).select("lang", "text").mapInArrow(featurise, "lang string, grams binary").collect()
-    got.sort(key=lambda r: (r["lang"], bytes(r["grams"])))
-    languages = tuple(sorted({r["lang"] for r in got}))
+    got: dict[str, list[bytes]] = {}
+    for r in base.where(place < share).select("lang", "text").mapInArrow(featurise, "lang string, grams binary").collect():
+        got.setdefault(r["lang"], []).append(bytes(r["grams"]))
+    languages = tuple(sorted(got))
     if not got:
         return Model((), np.ones(DIMS), np.zeros((0, DIMS)), np.zeros(0, int), np.zeros(0))
-    grams = np.stack([np.frombuffer(r["grams"], "<i4") for r in got])
-    idf = np.log((1 + len(grams)) / (1 + (grams > 0).sum(axis=0))) + 1
-    x, lang = vectors(grams, idf), np.array([languages.index(r["lang"]) for r in got])
+
+    def unpacked(lang: str) -> np.ndarray:
+        return np.stack([np.frombuffer(zlib.decompress(g), "<i4") for g in sorted(got[lang])])
+
+    seen = sum((unpacked(lang) > 0).sum(axis=0) for lang in languages)
+    idf = np.log((1 + sum(map(len, got.values()))) / (1 + seen)) + 1
     cs, owner, floor = [], [], []
-    for k in range(len(languages)):
-        own = x[lang == k]
+    for k, lang in enumerate(languages):
+        own = vectors(unpacked(lang), idf)
         c = _cluster(own, centroids)
         part = (own @ c.T).max(axis=1)
         cs.append(c)
