@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Broadcast sides of up to so many thin rows; beyond it the same join shuffles.
 BROADCAST_ROWS = 500_000
+#: Rows of an Arrow batch of whole texts.
+BATCH_ROWS = 2048
 
 _made: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
 
@@ -57,8 +59,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python BATCH_ROWS at a time, so that buffers on both sides stay small; a session's lower number stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, as ``id`` and ``text``; other columns can't clash with its own names."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 

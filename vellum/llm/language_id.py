@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_schema, id_text, slices
+from .common import arrow_schema, id_text, slices, small_batches
 
 UNKNOWN = "und"
 #: Hashed n-gram dimensions; n-grams are of 1, 2 and 3 bytes of the lower-cased UTF-8 text.
@@ -122,6 +122,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, centroids: int = CENTROIDS, t
     which unpacks one language's at a time.
     Rows without text, language or letters are not learned from.  Without any, the model knows no language.
     """
+    small_batches(labelled.sparkSession)
     base = labelled.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     base = base.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["count"] for r in labelled.select(F.col(f"`{lang_col}`").alias("lang")).where("lang is not null").groupBy("lang").count().collect()}
