@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import tokenizers
 from hypothesis import given, settings, strategies as st
 
 from vellum.llm import media, packing, piece_codec, token_binary, vocab
@@ -36,6 +37,21 @@ def test_cached_ids_are_the_library_s(texts):
     assert e.ids(texts) == reference(e.tokenizer, texts)
 
 
+def test_added_tokens_are_the_file_s():
+    fresh = tokenizers.Tokenizer.from_file(vocab.byte_bpe())
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} it's", mark, mark * 3, f"a{mark}b {mark}c\n{mark}\nd", f" {mark}  {mark}\t\n x  {mark} ", f"{mark} \u3000{mark}\xa0y", f"\1{mark} z", "<|endof text|>", "plain"]
+    texts += [r[1] for r in odd.rows(4)]
+    got = vocab.Encoder(vocab.byte_bpe()).ids(texts)
+    assert got == reference(fresh, texts) and np.frombuffer(got[0], "<u4").tolist() == [64, 220, 50256, 340, 338]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|", "|>", " ", "\n", "\t", "\x01", "\u3000", "a", "'s", "1"]), max_size=12).map("".join), max_size=8))
+def test_added_tokens_among_white_space(texts):
+    assert vocab.encoder(vocab.byte_bpe()).ids(texts) == reference(tokenizers.Tokenizer.from_file(vocab.byte_bpe()), texts)
+
+
 def test_cache_turns_over(monkeypatch, library):
     monkeypatch.setattr(vocab, "CACHE", 20)
     monkeypatch.setattr(vocab, "PORTION", 100)

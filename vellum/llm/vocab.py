@@ -3,12 +3,14 @@
 The vocabulary's pre-tokeniser never joins what stands on the two sides of the point between a
 character that is not white space and white space after it.  So the ids of a text are those of its
 pieces "white space, then other characters", in order, and a piece that was met before isn't encoded again.
+An added token in a text, such as '<|endoftext|>', is one id, as the library gives it; it must hold and strip no white space.
 Known pieces and their ids are columns, and looking up a portion's distinct pieces is one Arrow call.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import cache
 from itertools import chain
 
@@ -72,7 +74,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if any(a.lstrip or a.rstrip or re.search(f"[{WS}]", a.content) for a in self.tokenizer.get_added_tokens_decoder().values()):
+            raise RuntimeError("an added token of the vocabulary reaches across white space")
         # a piece that starts with a space or line end starts with a token that does, and no other token of it does
         vocabulary = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
