@@ -201,3 +201,79 @@ def test_boxes():
     (t,) = media.parse(wide)
     assert list(t.ranges()) == [(9, 3), (12, 5)] == t.keyframes()
     assert media.parse(data[:40]) == [] and media.describe(b"")["payload"] == b""
+
+
+def two_tracks(first, second):
+    """A file of the tracks of two built ones, whose data lie in the same order."""
+    boxes = []
+    for payload in (first, second):
+        data = media.build(payload)
+        found = {path: (at, end) for path, at, end in media.walk(memoryview(data))}
+        at, end = found[b"moov", b"trak"]
+        boxes.append((bytearray(data[at - 8 : end]), found[(b"mdat",)][0]))
+    lead = 8 + sum(len(b) for b, _ in boxes) + 8
+    for (b, start), to in zip(boxes, (lead, lead + len(first)), strict=True):
+        at = bytes(b).index(b"stco") + 8
+        n = struct.unpack_from(">I", b, at)[0]
+        struct.pack_into(f">{n}I", b, at + 4, *(x - start + to for x in struct.unpack_from(f">{n}I", b, at + 4)))
+    return media.box(b"moov", *(bytes(b) for b, _ in boxes)) + media.box(b"mdat", first, second)
+
+
+def fragmented():
+    """Two tracks without tables, and two fragments; also each track's ranges and keyframes."""
+
+    def trak(number):
+        hdlr = media.full(b"hdlr", bytes(4), b"vide", bytes(12))
+        mdhd = media.full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 10, 0, 0, 0))
+        stsd = media.full(b"stsd", struct.pack(">I", 1), media.box(b"raw ", bytes(8)))
+        return media.box(b"trak", media.full(b"tkhd", struct.pack(">III", 0, 0, number)), media.box(b"mdia", mdhd, hdlr, media.box(b"minf", media.box(b"stbl", stsd))))
+
+    trex = [media.full(b"trex", struct.pack(">5I", k, 1, 5, 4, 0x10000)) for k in (1, 2)]
+    moov = media.box(b"moov", trak(1), trak(2), media.box(b"mvex", *trex))
+
+    def moof(offset):
+        # track 1: a run with sizes and first flags, and right after it one with a duration and flags
+        one = media.box(
+            b"traf", media.full(b"tfhd", struct.pack(">I", 1), flags=0x20000),
+            media.full(b"trun", struct.pack(">IiI3I", 3, offset, 0, 3, 4, 5), flags=0x205),
+            media.full(b"trun", struct.pack(">3I", 1, 7, 0x10000), flags=0x500),
+        )
+        # track 2: sizes, durations and flags of tfhd, data after those of track 1
+        two = media.box(b"traf", media.full(b"tfhd", struct.pack(">4I", 2, 8, 6, 0), flags=0x38), media.full(b"trun", struct.pack(">I", 2)))
+        return media.box(b"moof", media.full(b"mfhd", struct.pack(">I", 1)), one, two)
+
+    n = len(moof(0))
+    part = moof(n + 8) + media.box(b"mdat", bytes(range(1, 29)))
+    data, want = moov + part + part, ([], [], [], [])
+    for start in (len(moov) + n + 8, len(moov) + len(part) + n + 8):
+        want[0].extend([(start, 3), (start + 3, 4), (start + 7, 5), (start + 12, 4)])
+        want[1].append((start, 3))
+        want[2].extend([(start + 16, 6), (start + 22, 6)])
+        want[3].extend([(start + 16, 6), (start + 22, 6)])
+    return data, want
+
+
+def test_fragments():
+    data, want = fragmented()
+    one, two = media.parse(data)
+    assert (list(one.ranges()), one.keyframes(), list(two.ranges()), two.keyframes()) == want
+    assert (one.samples, two.samples, one.deltas, two.deltas) == (8, 4, ([(1, 5)] * 3 + [(1, 7)]) * 2, [(1, 8)] * 4)
+    assert media.describe(data, one)["payload"] == bytes(range(1, 17)) * 2 and media.describe(data, two)["payload"] == bytes(range(17, 29)) * 2
+
+
+def test_all_keyframes_and_tracks(spark, tmp_path):
+    text = "many keyframes " * 700
+    media.store(odd.frame(spark, [(1, text, None, None, None)]), str(tmp_path / "m"))
+    (stored,) = spark.read.parquet(str(tmp_path / "m")).collect()
+    (got,) = media.read(spark, str(tmp_path / "m")).collect()
+    payload, start = media.padded(text)[0], len(stored.media) - len(media.padded(text)[0])
+    at = list(range(start, start + len(payload), 192 * media.KEY_EVERY))
+    assert len(at) == 4 and (got.track, got.keyframe_starts, got.keyframe_lengths, got.keyframes) == (0, at, [192] * 4, 4)
+    first, second = bytes(range(192)) * 40, bytes(range(191, -1, -1)) * 20
+    files = [(7, 0, bytearray(two_tracks(first, second))), (8, 0, bytearray(fragmented()[0])), (9, 0, bytearray(b"no media"))]
+    spark.createDataFrame(files, media.STORED).write.parquet(str(tmp_path / "t"))
+    rows = {(r.doc_id, r.track): r for r in media.read(spark, str(tmp_path / "t")).collect()}
+    assert set(rows) == {(7, 0), (7, 1), (8, 0), (8, 1), (9, None)}
+    for k, part in enumerate((first, second)):
+        assert rows[7, k].payload_sha256 == hashlib.sha256(part).hexdigest() and rows[7, k].keyframes == len(rows[7, k].keyframe_starts) == -(-len(part) // 3072)
+    assert list(zip(rows[8, 1].keyframe_starts, rows[8, 1].keyframe_lengths, strict=True)) == fragmented()[1][3] and rows[9, None].keyframe_starts == []

@@ -1,4 +1,8 @@
-"""ISO base media files in a column: building, storing, and reading their sample tables without decoding payloads."""
+"""ISO base media files in a column: building, storing, and reading their sample tables without decoding payloads.
+
+Samples of every track are read, those of sample tables (stsz) first and then those of movie fragments (trun).  Compact
+sample sizes (stz2) and edit lists aren't read.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +23,7 @@ FRAME, PER_CHUNK, KEY_EVERY, RATE = 192, 32, 16, 8000
 NESTED = frozenset({b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"})
 
 STORED = "doc_id long, n_bytes long, media binary"
-READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, keyframes long, first_keyframe string, last_keyframe string"
+READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, keyframes long, first_keyframe string, last_keyframe string, track long, keyframe_starts array<long>, keyframe_lengths array<long>"
 
 
 def box(kind: bytes, *content: bytes) -> bytes:
@@ -82,13 +86,22 @@ class Track:
     runs: list[tuple[int, int]] = field(default_factory=list)  # (first chunk, samples in it)
     offsets: list[int] = field(default_factory=list)
     sync: list[int] | None = None  # None: every sample
+    fragments: list[tuple[int, int, bool]] = field(default_factory=list)  # (start, length, is a keyframe) of fragments' samples
 
     @property
-    def samples(self) -> int:
+    def tabled(self) -> int:
         return self.sizes[1] if isinstance(self.sizes, tuple) else len(self.sizes)
 
+    @property
+    def samples(self) -> int:
+        return self.tabled + len(self.fragments)
+
     def ranges(self) -> Iterator[tuple[int, int]]:
         """Start and length in the file of every sample, in order."""
+        yield from self._tabled()
+        yield from ((at, n) for at, n, _ in self.fragments)
+
+    def _tabled(self) -> Iterator[tuple[int, int]]:
         fixed = self.sizes[0] if isinstance(self.sizes, tuple) else None
         k = 0
         for i, (first, per) in enumerate(self.runs):
@@ -96,7 +109,7 @@ class Track:
             for c in range(first, last):
                 at = self.offsets[c - 1]
                 for _ in range(per):
-                    if k == self.samples:
+                    if k == self.tabled:
                         return
                     size = fixed if fixed is not None else self.sizes[k]
                     yield at, size
@@ -104,8 +117,9 @@ class Track:
                     k += 1
 
     def keyframes(self) -> list[tuple[int, int]]:
-        every = list(self.ranges())
-        return every if self.sync is None else [every[s - 1] for s in self.sync if 0 < s <= len(every)]
+        every = list(self._tabled())
+        tabled = every if self.sync is None else [every[s - 1] for s in self.sync if 0 < s <= len(every)]
+        return tabled + [(at, n) for at, n, key in self.fragments if key]
 
 
 def walk(data: memoryview, at: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
@@ -126,17 +140,75 @@ def walk(data: memoryview, at: int = 0, end: int | None = None, path: tuple[byte
         at += size
 
 
+class _Fragments:
+    """Adds the samples of moof boxes to their tracks."""
+
+    def __init__(self):
+        self.tracks: dict[int, Track] = {}
+        self.defaults: dict[int, tuple[int, int, int]] = {}  # of a track: duration, size and flags of a sample
+        self.track: Track | None = None
+        self.own, self.moof, self.base, self.at = (0, 0, 0), 0, 0, 0
+
+    def box(self, view: memoryview, kind: bytes, at: int, end: int) -> None:
+        if kind == b"trex":
+            number, _, *own = struct.unpack_from(">5I", view, at + 4)
+            self.defaults[number] = tuple(own)
+        elif kind == b"moof":
+            short = struct.unpack_from(">I4s", view, at - 8) in ((end - at + 8, kind), (0, kind))
+            self.moof = self.at = at - (8 if short else 16)
+        elif kind == b"traf":
+            self.track = None
+        elif kind == b"tfhd":
+            flags, number = struct.unpack_from(">II", view, at)
+            self.track, at = self.tracks.get(number), at + 8
+            # without a base of its own a track's data follow those of the track before, in the first one they count from moof
+            self.base = self.moof if flags & 0x20000 else self.at
+            if flags & 1:
+                self.base, at = struct.unpack_from(">Q", view, at)[0], at + 8
+            at += 4 * bool(flags & 2)
+            own = list(self.defaults.get(number, (0, 0, 0)))
+            for k, bit in enumerate((8, 16, 32)):
+                if flags & bit:
+                    own[k], at = struct.unpack_from(">I", view, at)[0], at + 4
+            self.own, self.at = tuple(own), self.base
+        elif kind == b"trun":
+            self.run(view, at)
+
+    def run(self, view: memoryview, at: int) -> None:
+        flags, n = struct.unpack_from(">II", view, at)
+        flags, at, first = flags & 0xFFFFFF, at + 8, None
+        if flags & 1:
+            self.at, at = self.base + struct.unpack_from(">i", view, at)[0], at + 4
+        if flags & 4:
+            first, at = struct.unpack_from(">I", view, at)[0], at + 4
+        given = [bool(flags & bit) for bit in (0x100, 0x200, 0x400, 0x800)]
+        for k in range(n):
+            values = iter(struct.unpack_from(f">{sum(given)}I", view, at))
+            at += 4 * sum(given)
+            duration, size, marks = (next(values) if g else d for g, d in zip(given[:3], self.own, strict=True))
+            if k == 0 and first is not None:
+                marks = first
+            if self.track is not None:
+                self.track.fragments.append((self.at, size, not marks & 0x10000))
+                self.track.deltas.append((1, duration))
+            self.at += size
+
+
 def parse(data: bytes) -> list[Track]:
-    """The tracks of a file, from its sample tables alone."""
-    view, tracks = memoryview(data), []
+    """The tracks of a file, from its sample tables and its fragments' runs alone."""
+    view, tracks, fragments = memoryview(data), [], _Fragments()
     for path, at, end in walk(view):
         kind = path[-1]
         if kind == b"trak":
             tracks.append(Track())
+        if path[0] == b"moof" or kind == b"trex":
+            fragments.box(view, kind, at, end)
         if b"trak" not in path or end - at < 8:
             continue
         t = tracks[-1]
-        if kind == b"mdhd":
+        if kind == b"tkhd":
+            fragments.tracks[struct.unpack_from(">I", view, at + (20 if view[at] else 12))[0]] = t
+        elif kind == b"mdhd":
             t.timescale, t.duration = struct.unpack_from(">IQ" if view[at] else ">II", view, at + (20 if view[at] else 12))
         elif kind == b"hdlr":
             t.handler = bytes(view[at + 8 : at + 12]).decode("latin-1")
@@ -183,12 +255,11 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     id_text(docs, id_col, text_col).mapInArrow(task, STORED).write.option("compression", "zstd").parquet(path)
 
 
-def describe(media: bytes) -> dict:
-    """What a stored file holds: its first track's table, and its payload as the table's samples lie in the file."""
-    tracks = parse(media)
-    if not tracks:
+def describe(media: bytes, track: Track | None = None) -> dict:
+    """What a track of a file holds, its first one if none is given: codec, keyframes, and its samples' bytes as they lie in the file."""
+    t = track or next(iter(parse(media)), None)
+    if t is None:
         return {"payload": b"", "codec": None, "duration": None, "keys": [], "feature": ""}
-    t = tracks[0]
     payload, keys = b"".join([media[at : at + n] for at, n in merged(t.ranges())]), t.keyframes()
     seconds = sum(n * d for n, d in t.deltas) / t.timescale if t.timescale else 0.0
     ranges = hashlib.sha256(",".join(f"{at}+{n}" for at, n in keys).encode()).hexdigest()[:16]
@@ -209,16 +280,23 @@ def merged(ranges: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Features of a stored table's files; codec, duration and keyframes' byte ranges come from the boxes alone."""
+    """Features of a stored table's files, a row for each track; codec, duration and keyframes' byte ranges come from the boxes alone.
+
+    ``track`` counts from 0, and payload_bytes to keyframe_lengths are that track's.  keyframe_starts and keyframe_lengths are
+    the ranges of all keyframes in the file, in the order of samples.  A file without a track is one row, its track null.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(READ)
         for batch in slices(batches):
             rows = []
             for doc, n, media in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                d = describe(media)
-                p, keys = d["payload"], [f"{at}+{k}" for at, k in d["keys"]]
-                rows.append((doc, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(media), hashlib.sha256(media).hexdigest(), d["feature"], d["codec"], d["duration"], len(keys), keys[0] if keys else None, keys[-1] if keys else None))
+                whole = hashlib.sha256(media).hexdigest()
+                for k, t in enumerate(parse(media) or [None]):
+                    d = describe(media, t)
+                    p, keys = d["payload"], [f"{at}+{size}" for at, size in d["keys"]]
+                    starts, lengths = [at for at, _ in d["keys"]], [size for _, size in d["keys"]]
+                    rows.append((doc, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(media), whole, d["feature"], d["codec"], d["duration"], len(keys), keys[0] if keys else None, keys[-1] if keys else None, None if t is None else k, starts, lengths))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
