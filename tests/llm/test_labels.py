@@ -122,6 +122,29 @@ def test_contexts_find_more(spark):
     assert text[100] == "his account <card>, closed" and text[101] == data[41][1] and text[0] == "some words account <card> and more"
 
 
+def test_identifiers_of_several_tokens(spark):
+    rng = random.Random(8)
+    spaced = lambda d: " ".join(d[k : k + 4] for k in range(0, 16, 4))
+    data = [(i, f"words account {spaced(card(rng))} and more", None, None, 1) for i in range(40)]
+    data += [(50 + i, f"my phone +1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)} is", None, None, 1) for i in range(40)]
+    texts = ["his account 1234 5678 1234 5678, closed", "my phone (555) 123-4567.", "a total 1234 5678 1234 5678 was (555) 123-4567", "my account 1234 5678 1234 5678 12 times", "phone (555) 123-456x"]
+    data += [(100 + i, t, None, None, 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.spans for r in pii.personal_data(odd.frame(spark, data)).collect() if r.doc_id >= 100}
+    assert got == {100: "card:12:31", 101: "phone:9:23", 102: "", 103: "card:11:30", 104: ""}
+    text = {r.doc_id: r.text for r in pii.masked(odd.frame(spark, data)).collect()}
+    assert text[100] == "his account <card>, closed" and text[101] == "my phone <phone>." and text[102] == texts[2]
+
+
+def test_found_instances_make_patterns(spark):
+    rng = random.Random(9)
+    wrong = [f"12345678{k:02}345678" for k in range(90) if not luhn(f"12345678{k:02}345678")][:12]
+    data = [(i, f"some account {card(rng)} and", None, None, 1) for i in range(200)]
+    data += [(300 + i, f"an account {w} or konto {w} too", None, None, 1) for i, w in enumerate(wrong[:11])]
+    data += [(400, f"only konto {wrong[11]} here", None, None, 1)]
+    got = {r.doc_id: r.spans for r in pii.personal_data(odd.frame(spark, data)).collect()}
+    assert got[300] == "card:11:27,card:37:53" and got[400] == "card:11:27"
+
+
 def test_masks_keep_rows(spark):
     df = odd.frame(spark)
     masked = pii.masked(df)

@@ -4,6 +4,8 @@ What the base patterns find are the seeds.  A lexical pattern is the word to the
 kind.  Patterns and the identifiers (instances) that they stand before form a graph: a pattern's confidence in a kind is the
 mean score of its distinct instances, and an instance that is no seed scores by the patterns it follows, if it also has a
 shape that seeds of the kind have.  After ROUNDS rounds what follows a confident pattern and scores high is a new span.
+A candidate is a token or the longest of several tokens of digits that has a seed's shape; a phone's may lack the country.
+What scores high in a round counts as the seeds do for the words that can be patterns in the next one.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ PATTERNS = {
 }
 #: What could be an identifier: a run without white space that has a digit or an @.
 TOKEN = r"(?:\G|(?<!\S))[^\s0-9@]*+[0-9@]\S*+"
+_EDGE = r"""\s,;:!?\[\]"'<>&%$#*|"""
+#: Tokens of digits with spaces between them, of which the first few can be one identifier of MANY digits.
+RUN = rf"(?<![^{_EDGE}])[+(]{{0,2}}[0-9][0-9().-]{{0,23}}+(?:\x20{{1,2}}\(?[0-9][0-9().-]{{0,23}}+){{0,18}}(?![^{_EDGE}])"
+MANY = (7, 19)
 _MARKS = r"""[.,;:!?()\[\]"'<>&%$#*|]"""
 
 
@@ -75,12 +81,13 @@ def _shape(m: Column) -> Column:
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, mark, email, ip, card, phone, other): the base spans of each row, and tokens beside them that could be identifiers."""
+    """(id, mark, email, ip, card, phone, other, runs): the base spans of each row, tokens beside them that could be identifiers,
+    and runs of several tokens, whose e is where they meet a base span."""
     rows = id_text(docs, id_col, text_col).select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     digit = F.col("text").rlike("[0-9]")
     gate = {"email": F.col("text").contains("@"), "ip": digit, "card": digit, "phone": F.col("text").contains("+") & digit}
-    raw = rows.select("id", "mark", *[_matches(F.col("text"), PATTERNS[k], gate[k]).alias(k) for k in KINDS], _matches(F.col("text"), TOKEN, digit | F.col("text").contains("@")).alias("token"))
-    kept = raw.select("id", "mark", *[_valid(k).alias(k) for k in KINDS], "token")
+    raw = rows.select("id", "mark", *[_matches(F.col("text"), PATTERNS[k], gate[k]).alias(k) for k in KINDS], _matches(F.col("text"), TOKEN, digit | F.col("text").contains("@")).alias("token"), _matches(F.col("text"), RUN, digit).alias("run"))
+    kept = raw.select("id", "mark", *[_valid(k).alias(k) for k in KINDS], "token", F.filter("run", lambda x: x["m"].contains(" ") | x["m"].startswith("(")).alias("run"))
     base = F.concat(*KINDS)
 
     def trimmed(x: Column) -> Column:
@@ -88,7 +95,40 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         return F.struct((x["s"] + lead).alias("s"), F.greatest(x["e"] - tail, x["s"] + lead).alias("e"), F.regexp_replace(x["m"], f"^{_MARKS}+|{_MARKS}+$", "").alias("m"), x["l"].alias("l"))
 
     other = F.filter(F.transform("token", trimmed), lambda x: (x["e"] > x["s"]) & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return kept.select("id", "mark", *KINDS, other.alias("other"))
+
+    def stopped(x: Column) -> Column:
+        met = F.transform(F.filter(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])), lambda b: b["s"])
+        return F.struct(x["s"].alias("s"), F.coalesce(F.array_min(met), x["e"]).alias("e"), x["m"].alias("m"), x["l"].alias("l"))
+
+    runs = F.filter(F.transform("run", stopped), lambda x: x["e"] > x["s"])
+    return kept.select("id", "mark", *KINDS, other.alias("other"), runs.alias("runs"))
+
+
+def _shapes(seeds: DataFrame) -> DataFrame:
+    """(kind, shape, bare): shapes of enough seeds, and bare ones, which are a phone's without the country."""
+    full = seeds.groupBy("kind", "shape").agg(F.count_distinct("instance").alias("c")).where(F.col("c") >= SUPPORT).select("kind", "shape", F.lit(False).alias("bare"))
+    bare = full.where("kind = 'phone'").select("kind", F.regexp_replace("shape", r"^\+9[\x20.-]*", "").alias("shape"), F.lit(True).alias("bare"))
+    return full.unionByName(bare.where(F.col("shape").rlike("[^9]"))).groupBy("kind", "shape").agg(F.min("bare").alias("bare"))
+
+
+def _shaped(rows: DataFrame, shapes: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose instance has a shape of ``shapes``; a bare one needs a phone's count of digits."""
+    fits = ~F.col("bare") | F.length(_digits(F.col("instance"))).between(MANY[0], 15)
+    return rows.join(shapes, keys).where(fits).drop("bare")
+
+
+def _candidates(table: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(id, mark, s, e, pattern, instance, shape): at each place the longest run of tokens that has a seed's shape, or else the token."""
+    runs = table.select("id", "mark", F.explode("runs").alias("x")).where("x.l <> ''")
+    pieces = F.split("x.m", "(?<=[^ ])(?= )")
+    begun = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda j: F.regexp_replace(F.array_join(F.slice(pieces, 1, j), ""), "[().-]+$", ""))
+    runs = runs.select("id", "mark", "x", F.explode(begun).alias("m")).where(F.length(_digits(F.col("m"))).between(*MANY) & (F.col("m").contains(" ") | F.col("m").startswith("(")))
+    runs = runs.select("id", "mark", (F.col("x.s") + F.length(F.regexp_extract("m", r"^\(+", 0))).alias("at"), "x.s", (F.col("x.s") + F.length("m")).alias("e"), F.col("x.e").alias("stop"), F.col("x.l").alias("pattern"), F.lower("m").alias("instance"), _shape(F.col("m")).alias("shape"))
+    whole = _shaped(runs.where("e <= stop"), shapes, ["shape"]).groupBy("id", "mark", "at", "s", "pattern").agg(F.max_by(F.struct("e", "instance", "shape"), "e").alias("x"))
+    whole = cut(whole.select("id", "mark", "at", "s", "x.e", "pattern", "x.instance", "x.shape"), "pii-runs")
+    tokens = table.select("id", "mark", F.explode("other").alias("x")).select("id", "mark", "x.s", "x.e", F.col("x.l").alias("pattern"), F.lower("x.m").alias("instance"), _shape(F.col("x.m")).alias("shape"))
+    places = whole.select("mark", F.col("at").alias("s")).distinct()
+    return tokens.join(thin(places), ["mark", "s"], "left_anti").select("id", "mark", "s", "e", "pattern", "instance", "shape").unionByName(whole.drop("at"))
 
 
 def bootstrap(table: DataFrame) -> DataFrame:
@@ -96,26 +136,30 @@ def bootstrap(table: DataFrame) -> DataFrame:
     kinds = reduce(DataFrame.unionByName, [table.select("id", "mark", F.lit(k).alias("kind"), F.explode(k).alias("x")) for k in KINDS])
     seeds = kinds.select("kind", F.col("x.l").alias("pattern"), F.lower("x.m").alias("instance"), _shape(F.col("x.m")).alias("shape")).where("pattern <> ''").distinct()
     seeds = cut(seeds, "pii-seeds")
-    others = table.select("id", "mark", F.explode("other").alias("x")).select("id", "mark", "x.s", "x.e", F.col("x.l").alias("pattern"), F.lower("x.m").alias("instance"), _shape(F.col("x.m")).alias("shape"))
-    # only words that stand before enough seeds can become patterns; their count is bounded by the seeds', not by the texts
-    able = seeds.groupBy("kind", "pattern").agg(F.count_distinct("instance").alias("seeds")).where(F.col("seeds") >= SUPPORT)
-    able = cut(able, "pii-patterns")
-    words = able.select("pattern").distinct()
-    others = cut(others.join(thin(words), "pattern", "left_semi"), "pii-candidates")
-    edges = cut(seeds.select("pattern", "instance", "shape").unionByName(others.select("pattern", "instance", "shape")).distinct().join(thin(words), "pattern", "left_semi"), "pii-graph")
-    totals = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("all"))
-    shapes = seeds.groupBy("kind", "shape").agg(F.count_distinct("instance").alias("c")).where(F.col("c") >= SUPPORT).select("kind", "shape")
+    shapes = cut(_shapes(seeds), "pii-shapes")
+    every = _candidates(table, shapes)
     sure = seeds.select("kind", "instance").distinct().withColumn("score", F.lit(1.0))
-    scores = sure
-    for _ in range(ROUNDS):
+    scores, links, words = sure, seeds.select("kind", "pattern", "instance"), None
+    for k in range(ROUNDS):
+        if k:
+            fresh = scores.where(F.col("score") >= SURE).join(sure, ["kind", "instance"], "left_anti").select("kind", "instance")
+            links = seeds.select("kind", "pattern", "instance").unionByName(every.where("pattern <> ''").join(thin(fresh), "instance").select("kind", "pattern", "instance"))
+        # only words that stand before enough seeds or accepted instances can be patterns; their count is bounded by those, not by the texts
+        able = links.groupBy("kind", "pattern").agg(F.count_distinct("instance").alias("seeds")).where(F.col("seeds") >= SUPPORT)
+        able = cut(able.select("kind", "pattern"), "pii-patterns")
+        if words is None or not able.join(words, "pattern", "left_anti").isEmpty():
+            words = able.select("pattern").distinct()
+            others = cut(every.join(thin(words), "pattern", "left_semi"), "pii-candidates")
+            edges = cut(seeds.select("pattern", "instance", "shape").unionByName(others.select("pattern", "instance", "shape")).distinct().join(thin(words), "pattern", "left_semi"), "pii-graph")
+            totals = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("all"))
         patterns = edges.select("pattern", "instance").distinct().join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"))
-        patterns = patterns.join(totals, "pattern").join(able.select("kind", "pattern"), ["kind", "pattern"], "left_semi").select("pattern", "kind", (F.col("sum") / F.col("all")).alias("conf"))
+        patterns = patterns.join(totals, "pattern").join(able, ["kind", "pattern"], "left_semi").select("pattern", "kind", (F.col("sum") / F.col("all")).alias("conf"))
         patterns = cut(patterns.where(F.col("conf") >= CONFIDENT), "pii-scored")
         doubt = F.sum(F.log(F.greatest(F.lit(0.01), 1 - F.col("conf"))))
-        new = edges.join(patterns, "pattern").join(shapes, ["kind", "shape"], "left_semi").groupBy("kind", "instance").agg((1 - F.exp(doubt)).alias("score"))
+        new = _shaped(edges.join(patterns, "pattern"), shapes, ["kind", "shape"]).groupBy("kind", "instance").agg((1 - F.exp(doubt)).alias("score"))
         scores = cut(sure.unionByName(new.join(sure, ["kind", "instance"], "left_anti")), "pii-scores")
     good = scores.where(F.col("score") >= SURE).join(sure.select("kind", "instance"), ["kind", "instance"], "left_anti")
-    hits = others.join(patterns, "pattern").join(shapes, ["kind", "shape"], "left_semi").join(good, ["kind", "instance"])
+    hits = _shaped(others.join(patterns, "pattern"), shapes, ["kind", "shape"]).join(good, ["kind", "instance"])
     best = hits.groupBy("id", "mark", "s", "e").agg(F.max_by("kind", F.struct("conf", "kind")).alias("kind"))
     return best.select("id", "mark", "kind", "s", "e")
 
