@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from vellum.llm import exact_dedup, ngram_join, substring_dedup
+from vellum.llm import common, exact_dedup, ngram_join, substring_dedup
 
 from . import odd
 
@@ -66,17 +66,22 @@ def brute_near(data, k, percent):
         return x
 
     for a, (i, x) in enumerate(sets):
-        for j, y in sets[:a]:
+        for b, (j, y) in enumerate(sets[:a]):
             if x and y and i is not None and j is not None and 100 * len(x & y) >= percent * len(x | y):
-                parent[max(root(i), root(j))] = min(root(i), root(j))
-    return ordered((i, len(x), None if i is None else root(i)) for i, x in sets)
+                parent[root(a)] = root(b)
+    least = {}
+    for a, (i, _) in enumerate(sets):
+        if i is not None:
+            least[root(a)] = min(i, least.get(root(a), i))
+    return ordered((i, len(x), None if i is None else least[root(a)]) for a, (i, x) in enumerate(sets))
 
 
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80), (1, 50)])
 def test_near(spark, monkeypatch, k, percent):
     monkeypatch.setattr(ngram_join, "HOT_FROM", 3)
-    ids = collections.Counter(r[0] for r in odd.rows())
-    data = [r for r in odd.rows(k) if ids[r[0]] == 1 or r[0] is None]
+    monkeypatch.setattr(ngram_join, "PARTNERS", 4)
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    data = odd.rows(k)
     rng = random.Random(k)
     base = [f"w{rng.randrange(500)}" for _ in range(80)]
     for i in range(40):
@@ -84,6 +89,11 @@ def test_near(spark, monkeypatch, k, percent):
         for _ in range(rng.randint(0, 5)):
             w[rng.randrange(len(w))] = f"z{rng.randrange(9999)}"
         data.append((5000 + i, " ".join(w), None, None, 1))
+    # one prefix and size, far less in common than links need; rows that share an id with texts of other classes
+    common_words = [f"a{j}" for j in range(12)]
+    data += [(6000 + i, " ".join(common_words + [f"q{rng.randrange(40)}" for _ in range(50)]), None, None, 1) for i in range(12)]
+    data += [(5000, " ".join(base[:40]), None, None, 1), (5000, "quite another text", None, None, 1), (1, "quite another text", None, None, 1)]
+    data += [data[-3]] * 9
     got = ngram_join.near_duplicates(odd.clashing(odd.frame(spark, data)), k, percent)
     assert ordered(got.collect()) == brute_near(data, k, percent)
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Broadcast sides of up to so many thin rows; beyond it the same join shuffles.
 BROADCAST_ROWS = 500_000
+#: A join key with more than one in so many of the rows it meets, and more than so many, is split over tasks.
+HOT_KEYS, HOT_LEAST = 1024, 512
 #: Rows of an Arrow batch of whole texts.
 BATCH_ROWS = 2048
 
@@ -47,6 +49,12 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def free(spark: SparkSession, table: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` wrote, once what was made of it is written itself."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        _delete(spark, path)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages survive lost executors without recomputing it."""
     spark = df.sparkSession
@@ -78,6 +86,23 @@ def thin(side: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(side) if n <= BROADCAST_ROWS else side
 
 
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], matches: str, how: str = "inner", by: str = "id") -> DataFrame:
+    """``rows`` joined with ``side``, whose rows have distinct keys and say in ``matches`` how many of ``rows`` they meet; that column goes.
+
+    A key that meets more than 1/HOT_KEYS of all is split over tasks by a hash of the column ``by``: there are fewer than
+    HOT_KEYS such keys, so they are broadcast whatever the input.  ``side`` is read twice and should be a written table.
+    """
+    most = max(HOT_LEAST, (side.agg(F.sum(matches)).first()[0] or 0) // HOT_KEYS)
+    parts = F.ceil(F.col(matches) / most).cast("int")
+    hot = side.where(F.col(matches) > most).select(*keys, parts.alias("__parts"))
+    if hot.isEmpty():
+        return rows.join(side.drop(matches), keys, how)
+    salt = F.pmod(F.xxhash64(by), F.coalesce("__parts", F.lit(1))).cast("int")
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__parts")
+    other = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(matches)
+    return salted.join(other, [*keys, "__salt"], how).drop("__salt")
+
+
 def slices(batches, rows: int = 64):
     """Arrow batches in small pieces, so that few texts are Python objects at once."""
     for b in batches:

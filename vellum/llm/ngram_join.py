@@ -5,10 +5,12 @@ Two documents link when the Jaccard similarity of their shingle sets reaches a t
 1. A document's shingles are put in one order for all documents: frequent ones last.  Documents that link share a shingle
    of their prefixes, the first few in that order.
 2. Documents with equal sets collapse into one, and those with equal prefix and size into a group.  Only groups are
-   joined on prefix shingles, with the bounds that sizes and places in the prefix give.
-3. Groups' pairs are expanded to members and verified on whole sets.  First each document is compared with one partner (of
-   its group, or the group that shares most of its prefix); what links forms trees.  Then all pairs that share a prefix
-   shingle and are not in one tree yet are compared, so no link between two classes is missed and no pair within one is made.
+   joined on prefix shingles, and pairs of groups are filtered by the bounds that sizes and places in the prefix give.
+3. What is left of groups' pairs is expanded to members and verified on whole sets.  First each document is compared with one
+   partner (of its group, or the group that shares most of its prefix); what links forms trees.  Then pairs of groups are
+   joined that don't lie in one tree, and expanded to members of different trees, so no link between two classes is missed
+   and no pair within one is made.  Members of one group that lie in different trees must share one of the next few
+   shingles after the prefix as well, so they are joined on those and not all with all.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, cut, id_text, thin
+from .common import arrow_schema, cut, id_text, spread_join, thin
 from .wordhash import encoded, grouped, shingles, words
 
+#: Partners of one set that meet in a task, and entries of a list.
+PARTNERS = 256
 #: Shingles that are put last, by how many documents have them; at most so many, the most frequent ones.
 HOT_SHINGLES, HOT_FROM = 1 << 19, 16
 
-PREFIXES = "id long, n long, sdig binary, pdig binary, prefix array<long>"
+PREFIXES = "id long, mark long, n long, sdig binary, pdig binary, prefix array<long>, second array<long>"
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -94,51 +98,80 @@ def _hot(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarray, np.ndarr
     return _most_frequent(docs.mapInArrow(rest, counted).unionByName(known)) if len(found[0]) else found
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _lists(some: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in some]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*some, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows whose first two columns are id and text, and their sets."""
+    for b in batches:
+        at = 0
+        for _, sets in _sets(iter([b.select([0, 1])]), size):
+            yield b.slice(at, len(sets)), sets
+            at += len(sets)
+
+
 def _prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Each document's set size, digests of its set and its prefix, and the prefix."""
+    """Each document's set size, digests of its set and its prefix, the prefix, and as many shingles after it; ``mark`` is a hash of the text."""
     sent = docs.sparkSession.sparkContext.broadcast(_hot(docs, size, percent))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, hot = arrow_schema(PREFIXES), sent.value
-        for ids, sets in _sets(batches, size):
-            sdig, pdig, prefix = [], [], []
+        for b, sets in _sliced(batches, size):
+            sdig, pdig, prefix, second = [], [], [], []
             for s in sets:
                 p = prefix_length(len(s), percent)
-                first = s[np.argsort(_counts_in(hot, s), kind="stable")[:p]]
-                sdig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                pdig.append(hashlib.blake2b(first.tobytes(), digest_size=16).digest())
-                prefix.append(first.view(np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in prefix]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sdig, pa.binary()), pa.array(pdig, pa.binary()), lists.cast(schema.field(4).type)], schema=schema)
+                first = s[np.argsort(_counts_in(hot, s), kind="stable")[: 2 * p]]
+                sdig.append(_digest(s))
+                pdig.append(_digest(first[:p]))
+                prefix.append(first[:p])
+                second.append(first[p:])
+            columns = (b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(sdig, pa.binary()), pa.array(pdig, pa.binary()), _lists(prefix), _lists(second))
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(task, PREFIXES)
+    return docs.select("id", "text", "mark").mapInArrow(task, PREFIXES)
 
 
-def _with_sets(rows: DataFrame, size: int, key: str, ids: str) -> DataFrame:
-    """(key, ids, set) of rows (key, ids, text)."""
-    out = f"{key} long, {ids} long, set_{ids} array<long>"
+def _with_sets(rows: DataFrame, size: int) -> DataFrame:
+    """(a, b, set) of those rows (id, text, a, b, sdig) whose text has the set of that digest: rows that share an id and a mark are told apart."""
+    out = "a long, b long, set array<long>"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(out)
-        for b in batches:
-            at = 0
-            for _, sets in _sets(iter([b.select([1, 2])]), size):
-                offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + len(sets)], b.column(1)[at : at + len(sets)], lists.cast(schema.field(2).type)], schema=schema)
-                at += len(sets)
+        for b, sets in _sliced(batches, size):
+            own = [k for k, (s, d) in enumerate(zip(sets, b.column(4).to_pylist(), strict=True)) if _digest(s) == d]
+            if own:
+                b = b.take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), _lists([sets[k] for k in own]).cast(schema.field(2).type)], schema=schema)
+
+    return rows.select("id", "text", "a", "b", "sdig").mapInArrow(task, out)
 
-    return rows.select(key, ids, "text").mapInArrow(task, out)
 
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) of sets' numbers whose whole sets link.
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose whole sets link.  A pair's set of b moves to where a's is, once."""
+    A pair's set of b moves to where a's is, once; an a with many partners is split over tasks.
+    """
+    asked = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")), "partners")
     rows = pairs.count()
-    left = _with_sets(docs.join(thin(pairs.select("a").distinct(), rows), docs["id"] == F.col("a")).select("a", "id", "text"), size, "a", "id").select("a", F.col("set_id").alias("set_a"))
-    right = _with_sets(docs.join(thin(pairs, rows), docs["id"] == F.col("b")).select("a", "b", "text"), size, "a", "b")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return right.join(left, "a").where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b").distinct()
+
+    def fetched(wanted: DataFrame) -> DataFrame:
+        return _with_sets(docs.join(thin(wanted, rows), ["id", "mark"]), size)
+
+    where = sets.select("sid", "id", "mark", "sdig")
+    left = fetched(asked.join(where, F.col("a") == F.col("sid")).select("id", "mark", "a", F.lit(0).cast("long").alias("b"), "sdig"))
+    left = left.select("a", F.col("set").alias("set_a")).join(asked, "a")
+    right = fetched(pairs.join(where, F.col("b") == F.col("sid")).select("id", "mark", "a", "b", "sdig"))
+    hot = asked.where(F.col("c") > PARTNERS).select("a", F.ceil(F.col("c") / PARTNERS).cast("int").alias("parts"))
+    right = right.join(thin(hot), "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("c") / PARTNERS).cast("int") - 1)))
+    both = F.size(F.array_intersect("set_a", "set"))
+    return right.join(left, ["a", "salt"]).where(100 * both >= percent * (F.size("set_a") + F.size("set") - both)).select("a", "b").distinct()
 
 
 def _roots(parents: DataFrame) -> DataFrame:
@@ -172,71 +205,111 @@ def connected(links: DataFrame) -> DataFrame:
         links = nxt
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: its set's size and the smallest id that links lead to.
+def _fits(percent: int, one, two):
+    """Whether two prefixes that share a shingle at these places can belong to sets that link; ``one`` and ``two`` are (size, place)."""
+    (na, pa_), (nb, pb) = one, two
+    rest = F.least(na - pa_, nb - pb)  # from the first common shingle on
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * rest >= percent * (na + nb))
 
-    Words are runs of characters other than ASCII white space, A-Z lower-cased; a set holds the distinct shingles of
-    ``shingle`` words; a text with fewer words has one shingle of them all, one without any none, and it links with nothing.
-    Sets link when 100 * intersection >= ``percent`` * union.  Every row is judged by its own text, also where rows share an id;
-    rows without id link with nothing and have a null component; an empty table gives no rows; other columns are ignored.
+
+def _apart(postings: DataFrame, keys: list[str], which: str, percent: int | None = None) -> DataFrame:
+    """(a, b), a < b: pairs of ``which`` in one list that don't lie in one tree; ``postings`` have lo and hi, the least and greatest root of each.
+
+    The tree that most of a list lies in isn't compared with itself: one side of the join is without it.  Long lists are
+    split over tasks.
     """
-    base = id_text(docs, id_col, text_col)
+    trees = postings.groupBy(*keys, "lo").agg(F.count(F.lit(1)).alias("c"), F.max("hi").alias("hi"))
+    lists = trees.groupBy(*keys).agg(F.max_by("lo", "c").alias("top"), F.sum("c").alias("c"), F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h")
+    lists = cut(lists.select(*keys, "top", "c"), "lists")
+    mixed = cut(spread_join(postings, lists.withColumn("n_met", F.col("c")), keys, "n_met", by=which), "mixed")
+    parts = F.ceil(F.col("c") / PARTNERS).cast("int")
+    rest = ["lo", "hi", which, *["n", "pos"] * (percent is not None)]
+    one = mixed.where("lo <> hi or lo <> top").select(*keys, F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), *[F.col(c).alias(f"{c}_a") for c in rest])
+    two = mixed.select(*keys, F.pmod(F.xxhash64(which), parts).cast("int").alias("salt"), *[F.col(c).alias(f"{c}_b") for c in rest])
+    a, b = F.col(f"{which}_a"), F.col(f"{which}_b")
+    pairs = one.join(two, [*keys, "salt"]).where((a != b) & (F.least("lo_a", "lo_b") < F.greatest("hi_a", "hi_b")))
+    if percent is not None:
+        pairs = pairs.where(_fits(percent, (F.col("n_a"), F.col("pos_a")), (F.col("n_b"), F.col("pos_b"))))
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, mark, n, first) of every row: ``first`` is the id and mark of its class's least row, null for a row without id or without words."""
+    base = id_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     x = cut(_prefixes(base, shingle, percent), "prefixes")
-    node = ["n", "sdig", "pdig"]
+    node = ["n", "sdig"]
     real = x.where("n > 0 and id is not null")
-    reps = cut(real.groupBy(*node).agg(F.min("id").alias("rep")), "sets")
-    groups = cut(reps.groupBy("n", "pdig").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("members")), "groups")
+    first = F.min(F.struct("id", "mark")).alias("first")
+    # every distinct set has a number of its own, whatever ids its rows share with others
+    sets = real.groupBy(*node, "pdig").agg(first).select(F.monotonically_increasing_id().alias("sid"), *node, "pdig", "first.id", "first.mark", "first")
+    sets = cut(sets, "sets")
+    groups = cut(sets.groupBy("n", "pdig").agg(F.min("sid").alias("gid"), F.count(F.lit(1)).alias("members")), "groups")
     texts = base.where("id is not null")
 
     # what groups' prefixes have in common
-    heads = real.join(groups.select(F.col("gid").alias("id"), "n", "pdig"), ["id", "n", "pdig"], "left_semi").dropDuplicates(["id", "n", "pdig"])
-    posted = heads.select(F.col("id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "tok"))
-    lists = posted.groupBy("tok").agg(F.min(F.struct("gid", "n", "pos")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    posted = cut(posted.join(lists.select("tok", "hub"), "tok"), "postings")
-
-    def fits(na, pa_, nb, pb):
-        rest = F.least(na - pa_, nb - pb)  # from the first common shingle on
-        return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * rest >= percent * (na + nb))
+    heads = sets.join(groups.select(F.col("gid").alias("sid")), "sid", "left_semi").select("sid", "id", "mark", "sdig")
+    heads = real.select("id", "mark", "n", "sdig", "prefix").join(heads, ["id", "mark", "sdig"]).groupBy(F.col("sid").alias("gid"), "n").agg(F.first("prefix").alias("prefix"))
+    posted = cut(heads.select("gid", "n", F.posexplode("prefix").alias("pos", "tok")), "prefix-places")
+    lists = cut(posted.groupBy("tok").agg(F.min(F.struct("gid", "n", "pos")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1"), "lists")
+    posted = cut(spread_join(posted, lists, ["tok"], "c", by="gid"), "postings")
 
     hub = F.col("hub")
-    best = posted.where((F.col("gid") > hub["gid"]) & fits(F.col("n"), F.col("pos"), hub["n"], hub["pos"])).groupBy("gid", hub["gid"].alias("a")).agg(F.count(F.lit(1)).alias("c"))
+    best = posted.where((F.col("gid") > hub["gid"]) & _fits(percent, (F.col("n"), F.col("pos")), (hub["n"], hub["pos"]))).groupBy("gid", hub["gid"].alias("a")).agg(F.count(F.lit(1)).alias("c"))
     best = best.groupBy(F.col("gid").alias("b")).agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
-    own = reps.join(groups.where("members > 1"), ["n", "pdig"]).where("rep > gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
+    grouped_sets = cut(sets.select("sid", "n", "pdig").join(groups, ["n", "pdig"]).select("sid", "n", "gid", "members"), "grouped")
+    own = grouped_sets.where("sid > gid").select(F.col("gid").alias("a"), F.col("sid").alias("b"))
     asked = cut(best.unionByName(own).distinct(), "pairs")
-    links = cut(_verified(texts, asked, shingle, percent), "verified")
-    tree = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
-    roots = _roots(tree)
-
-    # pairs across trees that share a prefix shingle, or their whole prefix
-    members = reps.join(groups.where("members > 1").select("n", "pdig", "gid"), ["n", "pdig"], "left").select("rep", "n", "pdig", F.coalesce("gid", "rep").alias("gid"))
-    members = cut(members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", "gid", F.coalesce("root", "rep").alias("root")), "members")
-    ranges = members.groupBy("gid", "n").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    by_list = posted.select("tok", "pos", "gid", "n").join(ranges, ["gid", "n"])
-    mixed = by_list.groupBy("tok").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("tok")
-    spread = cut(by_list.join(mixed, "tok", "left_semi").select("tok", "pos", "gid", "n").join(members, ["gid", "n"]).select("tok", "pos", "n", "rep", "root"), "mixed")
-    one, two = spread.select("tok", *[F.col(c).alias(f"{c}_a") for c in ("pos", "n", "rep", "root")]), spread.select("tok", *[F.col(c).alias(f"{c}_b") for c in ("pos", "n", "rep", "root")])
-    across = one.join(two, "tok").where((F.col("root_a") != F.col("root_b")) & (F.col("rep_a") < F.col("rep_b")) & fits(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b")))
-    apart = members.join(ranges.where("lo < hi").select("gid", "n"), ["gid", "n"], "left_semi")
-    within = apart.select("gid", "n", F.col("rep").alias("rep_a"), F.col("root").alias("root_a")).join(apart.select("gid", "n", F.col("rep").alias("rep_b"), F.col("root").alias("root_b")), ["gid", "n"]).where("root_a <> root_b and rep_a < rep_b")
-    pairs = across.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionByName(within.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))).distinct()
-    pairs = cut(pairs.join(asked, ["a", "b"], "left_anti"), "pairs")
-    more = links.unionByName(_verified(texts, pairs, shingle, percent))
+    links = cut(_verified(texts, sets, asked, shingle, percent), "verified")
+    roots = _roots(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent")))
+
+    # pairs of groups that share a prefix shingle and don't lie in one tree, filtered, then expanded to members of different trees
+    members = grouped_sets.join(roots.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "gid", F.coalesce("root", "sid").alias("root"))
+    members = cut(members, "members")
+    ranges = cut(members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "ranges")
+    pairs = cut(_apart(posted.select("tok", "pos", "gid", "n").join(ranges, "gid"), ["tok"], "gid", percent), "group-pairs")
+    side = members.withColumnRenamed("gid", "g")
+    wide = pairs.join(side.select(F.col("g").alias("a"), F.col("sid").alias("sid_a"), F.col("root").alias("root_a")), "a").join(side.select(F.col("g").alias("b"), F.col("sid").alias("sid_b"), F.col("root").alias("root_b")), "b")
+    across = wide.where("root_a <> root_b").select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b"))
+    # members of one group in different trees share a shingle of the next few
+    split = members.join(ranges.where("lo < hi"), "gid", "left_semi").join(sets.select("sid", "id", "mark", "sdig"), "sid")
+    next_few = real.select("id", "mark", "sdig", "second").join(split, ["id", "mark", "sdig"]).groupBy("sid", "gid", "root").agg(F.first("second").alias("second"))
+    within = _apart(next_few.select("gid", "sid", F.col("root").alias("lo"), F.col("root").alias("hi"), F.explode("second").alias("tok")), ["gid", "tok"], "sid")
+    pairs = cut(across.unionByName(within).distinct().join(asked, ["a", "b"], "left_anti"), "pairs")
+    more = links.unionByName(_verified(texts, sets, pairs, shingle, percent))
+
     # links between trees, and those that the trees left out
     up = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
     down = roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
     between = more.join(up, "a", "left").join(down, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b")
     top = cut(connected(between), "classes")
-    label = members.select("rep", "root").join(top.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("rep", F.coalesce("top", "root").alias("component"))
-    out = x.join(reps, node, "left").join(label, "rep", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    label = members.select("sid", "root").join(top.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("sid", F.coalesce("top", "root").alias("top"))
+    label = cut(label.join(sets.select("sid", *node, "first"), "sid"), "labels")
+    least = label.groupBy("top").agg(F.min("first").alias("least"))
+    sized = real.groupBy(*node).agg(F.count(F.lit(1)).alias("rows"))
+    label = cut(label.join(least, "top").join(sized, node).select(*node, F.col("least").alias("first"), "rows"), "labels")
+    out = spread_join(x.select("id", "mark", *node), label, node, "rows", "left", by="mark")
+    return out.select("id", "mark", "n", F.when(F.col("id").isNotNull(), F.col("first")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: its set's size and the smallest id that links lead to.
+
+    Words are runs of characters other than ASCII white space, A-Z lower-cased; a set holds the distinct shingles of
+    ``shingle`` words; a text with fewer words has one shingle of them all, one without any none, and it links with nothing.
+    Sets link when 100 * intersection >= ``percent`` * union.  Every row is one row of the result and is judged by its own
+    text, also where rows share an id: an id that two texts share links neither.  Rows without id link with nothing and have
+    a null component; a row that links with nothing has its own id; an empty table gives no rows; other columns are ignored.
+    """
+    found = _classes(docs, shingle, percent, id_col, text_col)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("first.id", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that have the smallest id of their class.
+    """The rows of ``docs``, with all their columns, that are the least of their class: smallest id, then smallest hash of the text.
 
-    Rows without id stay.  Where rows share an id, they stay together if one of them represents its class, else they go.
+    Rows without id or without words stay.  Rows that share an id are judged by their own texts; rows that repeat an id and a text stay or go together.
     """
-    found = cut(near_duplicates(docs, shingle, percent, id_col, text_col), "classes").where("doc_id is not null")
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct().join(kept, "doc_id", "left_anti").select(F.col("doc_id").alias("__gone"))
-    return docs.join(thin(cut(gone, "gone")), docs[f"`{id_col}`"].cast("long") == F.col("__gone"), "left_anti")
+    found = _classes(docs, shingle, percent, id_col, text_col).where("first is not null")
+    gone = found.where("first.id <> id or first.mark <> mark").select(F.col("id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
+    own = (docs[f"`{id_col}`"].cast("long") == F.col("__gone")) & (F.xxhash64(docs[f"`{text_col}`"].cast("string")) == F.col("__mark"))
+    return docs.join(thin(cut(gone, "gone")), own, "left_anti")
