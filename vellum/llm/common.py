@@ -92,11 +92,12 @@ def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], matches: str,
     A key that meets more than 1/HOT_KEYS of all is split over tasks by a hash of the column ``by``: there are fewer than
     HOT_KEYS such keys, so they are broadcast whatever the input.  ``side`` is read twice and should be a written table.
     """
-    most = max(HOT_LEAST, (side.agg(F.sum(matches)).first()[0] or 0) // HOT_KEYS)
+    total, longest = side.agg(F.sum(matches), F.max(matches)).first()
+    most = max(HOT_LEAST, (total or 0) // HOT_KEYS)
+    if (longest or 0) <= most:
+        return rows.join(side.drop(matches), keys, how)
     parts = F.ceil(F.col(matches) / most).cast("int")
     hot = side.where(F.col(matches) > most).select(*keys, parts.alias("__parts"))
-    if hot.isEmpty():
-        return rows.join(side.drop(matches), keys, how)
     salt = F.pmod(F.xxhash64(by), F.coalesce("__parts", F.lit(1))).cast("int")
     salted = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__parts")
     other = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(matches)

@@ -241,7 +241,7 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     real = x.where("n > 0 and id is not null")
     first = F.min(F.struct("id", "mark")).alias("first")
     # every distinct set has a number of its own, whatever ids its rows share with others
-    sets = real.groupBy(*node, "pdig").agg(first).select(F.monotonically_increasing_id().alias("sid"), *node, "pdig", "first.id", "first.mark", "first")
+    sets = real.groupBy(*node, "pdig").agg(first, F.count(F.lit(1)).alias("rows")).select(F.monotonically_increasing_id().alias("sid"), *node, "pdig", "first.id", "first.mark", "first", "rows")
     sets = cut(sets, "sets")
     groups = cut(sets.groupBy("n", "pdig").agg(F.min("sid").alias("gid"), F.count(F.lit(1)).alias("members")), "groups")
     texts = base.where("id is not null")
@@ -283,10 +283,9 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     between = more.join(up, "a", "left").join(down, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b")
     top = cut(connected(between), "classes")
     label = members.select("sid", "root").join(top.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("sid", F.coalesce("top", "root").alias("top"))
-    label = cut(label.join(sets.select("sid", *node, "first"), "sid"), "labels")
+    label = label.join(sets.select("sid", *node, "first", "rows"), "sid")
     least = label.groupBy("top").agg(F.min("first").alias("least"))
-    sized = real.groupBy(*node).agg(F.count(F.lit(1)).alias("rows"))
-    label = cut(label.join(least, "top").join(sized, node).select(*node, F.col("least").alias("first"), "rows"), "labels")
+    label = cut(label.join(least, "top").select(*node, F.col("least").alias("first"), "rows"), "labels")
     out = spread_join(x.select("id", "mark", *node), label, node, "rows", "left", by="mark")
     return out.select("id", "mark", "n", F.when(F.col("id").isNotNull(), F.col("first")).alias("first"))
 
