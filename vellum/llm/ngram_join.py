@@ -240,8 +240,10 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     node = ["n", "sdig"]
     real = x.where("n > 0 and id is not null")
     first = F.min(F.struct("id", "mark")).alias("first")
-    # every distinct set has a number of its own, whatever ids its rows share with others
-    sets = real.groupBy(*node, "pdig").agg(first, F.count(F.lit(1)).alias("rows")).select(F.monotonically_increasing_id().alias("sid"), *node, "pdig", "first.id", "first.mark", "first", "rows")
+    # every distinct set has a number of its own, whatever ids its rows share with others; numbers ascend with ids, as an original tends
+    # to come before its copies, which link with it rather than with each other
+    sets = real.groupBy(*node, "pdig").agg(first, F.count(F.lit(1)).alias("rows")).orderBy("first")
+    sets = sets.select(F.monotonically_increasing_id().alias("sid"), *node, "pdig", "first.id", "first.mark", "first", "rows")
     sets = cut(sets, "sets")
     groups = cut(sets.groupBy("n", "pdig").agg(F.min("sid").alias("gid"), F.count(F.lit(1)).alias("members")), "groups")
     texts = base.where("id is not null")
