@@ -149,6 +149,24 @@ def test_spans_are_copies(spark):
     assert substring_dedup.without_duplicates(odd.frame(spark, []), 5).collect() == []
 
 
-def test_factors_join_what_goes_on():
-    f = substring_dedup.greedy_factors([(0, 3, 7, 10), (3, 2, 7, 13), (5, 1, 8, 0)], 4)
-    assert f == [(0, 8, 7, 10), (5, 4, 8, 0)]
+def test_factors_follow_words():
+    w = [b"%d" % i for i in range(40)]
+    near, far = w[5:20] + [b"x"] * 9, w[12:30]
+    # the longest stretch wins, and a window across the factor's end starts the next one
+    found = [(7, 0, near, [(5, 3, 0)]), (8, 0, far, [(12, 2, 0), (17, 1, 5)])]
+    assert substring_dedup.greedy_factors(w, found, 4) == [(5, 15, 7, 0), (17, 13, 8, 5)]
+    # a seed whose words aren't equal gives nothing, and its later windows still count
+    wrong = [(9, 0, [b"y", b"z", *w[2:9]], [(0, 5, 0)])]
+    assert substring_dedup.greedy_factors(w, wrong, 4) == [(2, 7, 9, 2)]
+    assert substring_dedup.greedy_factors(w, [(9, 0, [b"q"] * 30, [(0, 5, 0)])], 4) == []
+
+
+@pytest.mark.parametrize("size", [80, 6])
+def test_windows_of_any_size_and_hot_places(spark, monkeypatch, size):
+    monkeypatch.setattr(common, "HOT_LEAST", 4)
+    monkeypatch.setattr(substring_dedup, "PLACES", 10)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(100)]
+    data = odd.rows(4) + [(8000 + i, " ".join([f"n{rng.random()}"] + passage[rng.randrange(10) :] + passage[: rng.randrange(90)]), None, None, 1) for i in range(30)]
+    got = substring_dedup.without_duplicates(odd.clashing(odd.frame(spark, data)), size)
+    assert ordered(r[:4] for r in got.collect()) == brute_passages(data, size)

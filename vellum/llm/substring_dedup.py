@@ -1,41 +1,42 @@
-"""Duplicate passages by relative Lempel-Ziv parsing against an index of every document.
+"""Duplicate passages by relative Lempel-Ziv parsing against blocks of every document.
 
-Every document is a reference block.  Its index holds phrases: each window of ``size`` words chooses the least hash of its
-GRAM-word sequences as its anchor, and the neighbouring windows with one anchor form a phrase.  Equal windows have
-equal anchors, so a join on anchors' hashes over all blocks finds all that a document can be copied from.
+Every document is cut into reference blocks of BLOCK words (and so many more that a phrase which starts in a block ends in it).
+The index of blocks holds phrases: each window of ``size`` words chooses the least hash of its GRAM-word sequences as its
+anchor, and the neighbouring windows with one anchor form a phrase.  Equal windows have equal anchors, so looking up
+a document's phrases by anchor gives seeds: places of blocks at which the words may go on as they do in the document.
 
-A document is parsed against the index: a phrase that another place holds whole is copied as one piece, and pieces that go on
-at the same place of the same reference join into one factor, greedily from left to right.  Where a phrase is copied
-only in part, which happens at the boundaries of factors, its windows are compared one by one.  What factors cover
-holds every window that also starts elsewhere, and nothing else.
+A document is parsed greedily from left to right: at the first seed that no factor holds, every block that has a seed there
+is followed word by word, and the longest stretch of at least ``size`` equal words becomes a factor.  At a factor's end
+the windows across the boundary are tried in the same way, so factors overlap where both sides are copied.  What factors
+cover is removed: it holds every window that also starts elsewhere, and nothing else, as the words themselves are compared.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, cut, id_text, slices
+from .common import arrow_schema, cut, id_text, slices, spread_join
 from .wordhash import _power, encoded, grouped, mix, words
 
 SIZE, GRAM = 35, 8
-#: A place is first word << 26 | windows less one << 20 | 20 bits of the text's hash, which tells apart rows that share an id.
-_TEXT, _RUN = 20, 26
-
-#: Places in phrases that are broadcast at most, about 16 bytes each; with more the texts are shuffled to them.
+#: Words of a reference block, besides those that its last phrase goes on for.
+BLOCK = 128
+#: Places of phrases or blocks that are broadcast at most, about 16 bytes each; with more the texts are shuffled to them.
 PLACES = 1_500_000
+#: Stands in for a null id within joins, where null has no equal.
+NO_ID = -(2**63)
 
-PHRASES = "anchor long, phrase long, id long, place long"
-WINDOWS = "win long, m long, id long, place long"
+PHRASES = "anchor long, phrase long, id long, mark long, first long, windows long"
+WINDOWS = "anchor long, win long, m long, id long, mark long, first long"
+BLOCKS = "ref_key long, ref_mark long, block long, words binary"
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long"
-
-
-def _mark(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "big") & ((1 << _TEXT) - 1)
+SPANS = "doc_id long, first_word long, words long, ref_doc_id long, ref_word long"
 
 
 class _Parsed:
@@ -73,42 +74,33 @@ class _Parsed:
             yield k, value[a : z - size + 1][first], self.run(a + first, count + size - 1), first, count
 
 
-def _rows(names: str, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, list) else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns], schema=arrow_schema(names))
+def _column(c) -> pa.Array:
+    return c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64))
 
 
-def _phrases(docs: DataFrame, size: int, anchors_only: bool) -> DataFrame:
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in grouped(encoded(batches)):
-            got = list(_Parsed(texts, size).phrases())
-            if not got:
-                continue
-            anchor = np.concatenate([g[1] for g in got])
-            if anchors_only:
-                value, count = np.unique(anchor, return_counts=True)
-                yield _rows("anchor long, n long", value, count)
-            else:
-                place = np.concatenate([(g[3].astype(np.int64) << _RUN) | ((g[4] - 1).astype(np.int64) << _TEXT) | _mark(texts[g[0]]) for g in got])
-                who = pa.array([ids[g[0]] for g in got], pa.int64()).take(pa.array(np.repeat(np.arange(len(got)), [len(g[1]) for g in got])))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(np.concatenate([g[2] for g in got]).view(np.int64)), who, pa.array(place)], schema=arrow_schema(PHRASES))
-
-    return docs.mapInArrow(task, "anchor long, n long" if anchors_only else PHRASES)
+def _rows(names: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_column(c) for c in columns], schema=arrow_schema(names))
 
 
-def _windows(rows: DataFrame, size: int) -> DataFrame:
-    """The windows of phrases: of rows (id, text, places, ms), whose places lie in the text."""
+def _phrases(docs: DataFrame, size: int, anchors_only: bool) -> DataFrame:
+    """Phrases of rows (id, text, mark), or their anchors and how often each is met."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            for i, t, places, ms in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                text = t.encode("utf-8", "replace")
-                mark, p = _mark(text), _Parsed([text], size)
-                for place, m in zip(places, ms, strict=True):
-                    if place & ((1 << _TEXT) - 1) == mark:
-                        first = (place >> _RUN) + np.arange((place >> _TEXT & 63) + 1)
-                        yield _rows(WINDOWS, p.run(first, size), np.full(len(first), m), [i] * len(first), (first << _RUN) | mark)
+        for b in batches:
+            at = 0
+            for _, texts in grouped(encoded(iter([b.select([0, 1])]))):
+                ids, marks, at = b.column(0).slice(at, len(texts)), b.column(2).slice(at, len(texts)), at + len(texts)
+                got = list(_Parsed(texts, size).phrases())
+                if not got:
+                    continue
+                anchor = np.concatenate([g[1] for g in got])
+                if anchors_only:
+                    yield _rows("anchor long, n long", *np.unique(anchor, return_counts=True))
+                    continue
+                row = pa.array(np.repeat([g[0] for g in got], [len(g[1]) for g in got]))
+                yield _rows(PHRASES, anchor, np.concatenate([g[2] for g in got]), ids.take(row), marks.take(row), np.concatenate([g[3] for g in got]), np.concatenate([g[4] for g in got]))
 
-    return rows.mapInArrow(_joined(task, WINDOWS), WINDOWS)
+    return docs.mapInArrow(task, "anchor long, n long" if anchors_only else PHRASES)
 
 
 def _joined(task, names: str):
@@ -128,42 +120,161 @@ def _joined(task, names: str):
     return run
 
 
-def pieces(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(id, place, ref_id, ref_place): what is copied, and one place that it can be copied from, of rows (id, text)."""
+def _windows(rows: DataFrame, size: int) -> DataFrame:
+    """The windows of phrases: of rows (id, text, mark, asked), where asked has the phrases' anchors, first words, windows and m."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for i, t, mark, asked in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                p = _Parsed([t.encode("utf-8", "replace")], size)
+                first = np.array([x["first"] for x in asked], np.int64)
+                count = np.array([x["windows"] for x in asked], np.int64)
+                n = int(count.sum())
+                start = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(n)
+                anchor, m = (np.repeat(np.array([x[c] for x in asked], np.int64), count) for c in ("anchor", "m"))
+                yield _rows(WINDOWS, anchor, p.run(start, size), m, pa.array([i] * n, pa.int64()), pa.array([mark] * n, pa.int64()), start)
+
+    return rows.mapInArrow(_joined(task, WINDOWS), WINDOWS)
+
+
+def _key(column: str):
+    return F.coalesce(column, F.lit(NO_ID))
+
+
+def _other(there, lo="lo", hi="hi"):
+    """The least place, or the greatest for the least itself."""
+    return F.when(there == F.col(lo), F.col(hi)).otherwise(F.col(lo))
+
+
+def seeds(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """(id, mark, first, windows, ref): places of phrases or windows of rows (id, text, mark), and one other place with the same hashes.
+
+    Places are told apart by id and by ``mark``, a hash of the text.  Rows that repeat both have the same places and are counted as often.
+    """
     texts = docs.where("text is not null")
-    twice = _phrases(texts, size, anchors_only=True).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    met = cut(_phrases(texts, size, anchors_only=False).join(twice, "anchor", "left_semi"), "phrases")
-    where = F.struct("id", "place")
-    kinds = cut(met.groupBy("anchor", "phrase").agg(F.count(F.lit(1)).alias("m"), F.min(where).alias("lo"), F.max(where).alias("hi")), "kinds")
-    whole = met.join(kinds.where("m > 1"), ["anchor", "phrase"]).select("id", "place", F.when(where == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("ref"))
+    twice = cut(_phrases(texts, size, anchors_only=True).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
+    met = cut(spread_join(_phrases(texts, size, anchors_only=False), twice, ["anchor"], "n", by="first"), "phrases")
+    where = F.struct("id", "mark", "first")
+    kinds = met.groupBy("anchor", "phrase", "windows").agg(F.count(F.lit(1)).alias("m"), F.min(where).alias("lo"), F.max(where).alias("hi"))
+    kinds = cut(kinds, "kinds")
+    kind = ["anchor", "phrase", "windows"]
+    whole = spread_join(met, kinds.where("m > 1").select(*kind, "m", "lo", "hi"), kind, "m", by="first").select("id", "mark", "first", "windows", _other(where).alias("ref"))
     # phrases of one anchor that aren't equal can still share windows
-    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
-    asked = cut(kinds.join(mixed, "anchor", "left_semi").groupBy(F.col("lo.id").alias("rid")).agg(F.collect_list("lo.place").alias("places"), F.collect_list("m").alias("ms")), "mixed")
-    places = asked.agg(F.sum(F.size("places"))).first()[0] or 0
-    rows = docs.where("text is not null").join(F.broadcast(asked) if places <= PLACES else asked, F.col("id").eqNullSafe(F.col("rid")))
-    wins = cut(_windows(rows.select("id", "text", "places", "ms"), size), "windows")
-    again = wins.groupBy("win").agg(F.sum("m").alias("all"), F.min(where).alias("lo"), F.max(where).alias("hi")).where("all > 1")
-    single = wins.where("m = 1").join(again, "win").select("id", "place", F.when(where == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("ref"))
-    return whole.unionByName(single).select("id", "place", F.col("ref.id").alias("ref_id"), F.col("ref.place").alias("ref_place"))
-
-
-def greedy_factors(copied: list[tuple[int, int, int | None, int]], size: int) -> list[tuple[int, int, int | None, int]]:
-    """Factors (first word, words, reference, its word) of pieces (first word, windows, reference, its word): from left
-    to right each goes on as far as pieces go on at the same distance in the same reference."""
-    out: list[list] = []
-    for first, windows, ref, at in sorted(copied, key=lambda x: (x[0], -x[1])):
-        end = first + windows + size - 1
-        if out and out[-1][2] == ref and out[-1][3] - out[-1][0] == at - first and first <= out[-1][0] + out[-1][1]:
-            out[-1][1] = max(out[-1][1], end - out[-1][0])
+    mixed = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "mixed")
+    asked = spread_join(kinds.select(*kind, "m", "lo"), mixed, ["anchor"], "k", by="phrase")
+    asked = asked.groupBy("lo.id", "lo.mark").agg(F.collect_list(F.struct("anchor", F.col("lo.first").alias("first"), "windows", "m")).alias("asked"))
+    asked = cut(asked, "asked")
+    wins = cut(_windows(_with_text(texts, asked, "asked", ["asked"]), size), "windows")
+    again = wins.groupBy("anchor", "win").agg(F.sum("m").alias("all"), F.count(F.lit(1)).alias("c"), F.min(where).alias("lo"), F.max(where).alias("hi")).where("all > 1")
+    again = cut(again.select("anchor", "win", "c", "lo", "hi"), "again")
+    single = spread_join(wins.where("m = 1"), again, ["anchor", "win"], "c", by="first").select("id", "mark", "first", F.lit(1).cast("long").alias("windows"), _other(where).alias("ref"))
+    return whole.unionByName(single)
+
+
+def _with_text(texts: DataFrame, wanted: DataFrame, sized: str, columns: list[str]) -> DataFrame:
+    """(id, text, mark, *columns): one row for each of ``wanted``, which have id, mark and an array ``sized``; of rows that repeat id and text one is taken."""
+    places = wanted.agg(F.sum(F.size(sized))).first()[0] or 0
+    side = wanted.select(_key("id").alias("key"), "mark", *columns)
+    return texts.withColumn("key", _key("id")).join(F.broadcast(side) if places <= PLACES else side, ["key", "mark"]).select("id", "text", "mark", *columns)
+
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """(ref_key, ref_mark, block, words): blocks of rows (id, text, mark, blocks), by number; words are joined by spaces."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(BLOCKS)
+        for b in slices(batches):
+            for i, t, mark, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                w = t.encode("utf-8", "replace").split()
+                made = [b" ".join(w[k * BLOCK : (k + 1) * BLOCK + 2 * size]) for k in wanted]
+                n = len(wanted)
+                yield pa.RecordBatch.from_arrays([pa.array([NO_ID if i is None else i] * n, pa.int64()), pa.array([mark] * n, pa.int64()), pa.array(wanted, pa.int64()), pa.array(made, pa.binary())], schema=schema)
+
+    return rows.mapInArrow(_joined(task, BLOCKS), BLOCKS)
+
+
+def _stretch(a: list[bytes], i: int, b: list[bytes], j: int) -> int:
+    """How many words are equal from a[i] and b[j] on."""
+    most, n, step = min(len(a) - i, len(b) - j), 0, 32
+    while n < most:
+        step = min(step, most - n)
+        if a[i + n : i + n + step] == b[j + n : j + n + step]:
+            n, step = n + step, 2 * step
+        elif step == 1:
+            break
         else:
-            out.append([first, end - first, ref, at])
-    return [tuple(x) for x in out]
+            step = max(1, step // 2)
+    return max(n, 0)
+
+
+def greedy_factors(w: list[bytes], found: list[tuple], size: int) -> list[tuple[int, int, int | None, int]]:
+    """Factors (first word, words, reference, its word) of a document's words.
+
+    ``found`` are blocks: (reference, its number, its words, seeds), and seeds are (first word here, windows, first word there).  The factor
+    from a place is the longest of those that its blocks give; a seed that a factor holds isn't followed, one that goes on across a
+    factor's end is followed from the first window that does.
+    """
+    starts = sorted(((first, windows, there, k) for k, (_, _, _, own) in enumerate(found) for first, windows, there in own))
+    out, end, at = [], 0, 0
+    while at < len(starts):
+        first, windows, _, _ = starts[at]
+        if first + windows + size - 1 <= end:
+            at += 1
+            continue
+        place, best = max(first, end - size + 1), (0, None, 0)
+        k = at
+        while k < len(starts) and starts[k][0] <= place:
+            s, n, there, which = starts[k]
+            k += 1
+            if s + n <= place:  # none of its windows starts here
+                continue
+            ref, number, words_there, _ = found[which]
+            got = _stretch(w, place, words_there, there + place - s - number * BLOCK)
+            if got > best[0]:
+                best = (got, ref, there + place - s)
+        if best[0] >= size:
+            out.append((place, *best))
+            end = place + best[0]
+            continue
+        at += 1  # hashes were equal and words aren't: the seed's next window may do
+        if place + 1 < first + windows:
+            insort(starts, (place + 1, first + windows - place - 1, starts[at - 1][2] + place + 1 - first, starts[at - 1][3]), lo=at)
+    return out
+
+
+def _parsed(docs: DataFrame, size: int, names: str, row) -> DataFrame:
+    """``row(id, words, factors)`` gives the rows (of ``names``) for each of ``docs`` (id, text, mark)."""
+    found = cut(seeds(docs, size), "seeds")
+    block = ["ref_key", "ref_mark", "block"]
+    found = found.select(_key("id").alias("key"), "mark", "first", "windows", _key("ref.id").alias("ref_key"), F.col("ref.mark").alias("ref_mark"), F.col("ref.first").alias("there"), (F.col("ref.first") / BLOCK).cast("long").alias("block"))
+    found = cut(found.groupBy("key", "mark", *block).agg(F.collect_set(F.struct("first", "windows", "there")).alias("own")), "block-seeds")
+    wanted = cut(found.groupBy(*block).agg(F.count(F.lit(1)).alias("c")), "wanted")
+    asked = cut(wanted.groupBy(F.col("ref_key").alias("id"), F.col("ref_mark").alias("mark")).agg(F.collect_list("block").alias("blocks")), "asked-blocks")
+    blocks = _blocks(_with_text(docs.where("text is not null"), asked, "blocks", ["blocks"]), size).groupBy(*block).agg(F.first("words").alias("words"))
+    near = spread_join(found, cut(blocks.join(wanted, block), "blocks"), block, "c", by="mark")
+    near = near.groupBy("key", "mark").agg(F.collect_list(F.struct("ref_key", "block", "words", "own")).alias("found"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(names)
+        for b in slices(batches):
+            rows = []
+            for i, t, got in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                w = (t or "").encode("utf-8", "replace").split()
+                near_by = [(None if x["ref_key"] == NO_ID else x["ref_key"], x["block"], x["words"].split(), [(s["first"], s["windows"], s["there"]) for s in x["own"]]) for x in got or ()]
+                rows += row(i, w, greedy_factors(w, near_by, size))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return docs.withColumn("key", _key("id")).join(near, ["key", "mark"], "left").select("id", "text", "found").mapInArrow(task, names)
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return id_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
 
 
 def duplicate_spans(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, first_word, words, ref_doc_id, ref_word: every copied piece and one place that it can be copied from."""
-    got = pieces(id_text(docs, id_col, text_col), size)
-    return got.select(F.col("id").alias("doc_id"), F.shiftright("place", _RUN).alias("first_word"), (F.shiftright("place", _TEXT).bitwiseAND(63) + size).alias("words"), F.col("ref_id").alias("ref_doc_id"), F.shiftright("ref_place", _RUN).alias("ref_word"))
+    """doc_id, first_word, words, ref_doc_id, ref_word: the factors of every document, and where each can be copied from."""
+    return _parsed(_marked(docs, id_col, text_col), size, SPANS, lambda i, w, factors: [(i, first, n, ref, there) for first, n, ref, there in factors])
 
 
 def without_duplicates(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -174,28 +285,12 @@ def without_duplicates(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id"
     A null text has no words; a text with fewer words than a window stays; rows that repeat are copies of each other;
     rows that share an id are told apart by their texts; null ids stay null; an empty table gives no rows.
     """
-    base = id_text(docs, id_col, text_col)
-    found = pieces(base, size).groupBy(F.col("id").alias("cid")).agg(F.collect_list(F.struct("place", "ref_id", "ref_place")).alias("copied"))
-    names = KEPT + ", kept string" * keep_text
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            rows = []
-            for i, t, copied in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                text = (t or "").encode("utf-8", "replace")
-                w, mark = text.split(), _mark(text)
-                keep = np.ones(len(w), bool)
-                own = {}
-                for c in copied or ():
-                    if c["place"] & ((1 << _TEXT) - 1) == mark:
-                        own[c["place"]] = (c["place"] >> _RUN, (c["place"] >> _TEXT & 63) + 1, c["ref_id"], c["ref_place"] >> _RUN)
-                factors = greedy_factors(list(own.values()), size)
-                for first, n, _, _ in factors:
-                    keep[first : first + n] = False
-                left = b" ".join([x for x, k in zip(w, keep.tolist(), strict=True) if k]) if factors else b" ".join(w)
-                rows.append((i, len(w), len(w) - int(keep.sum()), hashlib.sha256(left).hexdigest(), len(factors), *[left.decode()] * keep_text))
-            if rows:
-                schema = arrow_schema(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    def row(i, w, factors):
+        keep = np.ones(len(w), bool)
+        for first, n, _, _ in factors:
+            keep[first : first + n] = False
+        left = b" ".join([x for x, k in zip(w, keep.tolist(), strict=True) if k]) if factors else b" ".join(w)
+        return [(i, len(w), len(w) - int(keep.sum()), hashlib.sha256(left).hexdigest(), len(factors), *[left.decode()] * keep_text)]
 
-    return base.join(found, F.col("id").eqNullSafe(F.col("cid")), "left").select("id", "text", "copied").mapInArrow(task, names)
+    return _parsed(_marked(docs, id_col, text_col), size, KEPT + ", kept string" * keep_text, row)
