@@ -5,6 +5,12 @@ neighbouring pieces are all stable, which means that merging their characters by
 prefix of a text then has exactly one last piece, so Viterbi's recursion has one backpointer at each place, and
 a window of the longest piece's length holds all that later places can point to.  What lies before the place at which
 the backpointer paths of the whole window meet can't change any more and is committed.
+
+A text goes through the lattice as a stream of characters.  Paths meet at two kinds of places: where white space starts, as no
+piece of the vocabulary goes on across such a place (tested when it is read; the window then holds one path), and
+inside a longer run, where the paths of all places in the window are followed back.  What is committed between
+two places where white space starts depends on the characters between them alone, so a worker remembers it: CACHE runs of up
+to LONG characters are looked up instead of running the lattice again.
 """
 
 from __future__ import annotations
@@ -14,8 +20,9 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -23,7 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import arrow_schema, id_text
 
 SPACE = "▁"
-#: Segments that a worker keeps (at twice as many the older half goes), and the longest that it keeps.
+#: Characters of a text that are read at once.
+PART = 1 << 14
+#: Runs that a worker keeps (at twice as many the older half goes), and the longest that it keeps.
 CACHE, LONG = 300_000, 64
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 ENCODED = "doc_id long, n_ids long, ids binary, sha256 string"
@@ -52,14 +61,11 @@ class Pieces:
                 self.ids[p], self.score[p] = k, sp.get_score(k)
                 self.out.append(p.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.ids), default=1)
-        # lengths of the pieces that end in three given characters, the longest first
-        ends: dict[str, set[int]] = {}
-        for p in self.ids:
-            if len(p) > 2:
-                ends.setdefault(p[-3:], set()).add(len(p))
-        self.lengths = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
-        # a segment ends where white space starts, unless a piece goes on across such a place
-        self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids) else re.compile(r"(?s).+")
+        # every end of a piece, and whether it is one itself
+        self.ends = {p[k:]: False for p in self.ids for k in range(1, len(p))} | dict.fromkeys(self.ids, True)
+        # all paths meet where white space starts, unless a piece goes on across such a place
+        self.meet = re.compile(f"(?<=[^{SPACE}])(?={SPACE})") if not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids) else re.compile(r"(?!)")
+        self.committed = 0
         self.piece = {k: p for p, k in self.ids.items()}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -106,37 +112,51 @@ class Pieces:
                 y, j = b[j][1], j + 1
 
     def stream(self, text: str) -> Iterator[int]:
-        """Ids of a segment, each as soon as it is certain."""
+        """Ids of characters after which paths meet, each as soon as it is certain: in a window of the longest piece's length beside what isn't committed."""
         last: dict[int, str] = {0: ""}  # the window: a place's last piece; places that are missing have none
-        done, ids, lengths, stable = 0, self.ids, self.lengths, self.stable
+        done, due, ids, ends, stable = 0, self.longest, self.ids, self.ends, self.stable
         for i in range(1, len(text) + 1):
-            for n in (*lengths.get(text[max(0, i - 3) : i], ()), 2):
-                before = last.get(i - n)
-                if before is not None:
-                    piece = text[i - n : i]
-                    if piece in ids and (stable(before, piece) if before else self.built(piece)[0]):
-                        last[i] = piece
-                        break
+            # pieces that end here: longer ones are tried only as long as what precedes is the end of a piece
+            found, at = [], i - 1
+            while at >= done:
+                piece = text[at:i]
+                whole = ends.get(piece)
+                if whole is None:
+                    break
+                if whole and at in last:
+                    found.append(piece)
+                at -= 1
+            while found:
+                piece = found.pop()
+                before = last[i - len(piece)]
+                if stable(before, piece) if before else self.built(piece)[0]:
+                    last[i] = piece
+                    break
             else:
                 before, piece = last.get(i - 1), text[i - 1]
-                if before is not None and (piece not in ids or not before or stable(before, piece)):
+                if before is not None and piece not in ids:
                     last[i] = piece
-            if i - done > 4 * self.longest:
-                # the paths of all places that a later piece can start from
-                ends = {p for p in range(i - self.longest + 1, i + 1) if p in last}
-                while len(ends) > 1:
-                    p = max(ends)
-                    ends.remove(p)
-                    ends.add(max(done, p - len(last[p])))
-                (meet,) = ends
+            if i > due:
+                meet = self._meeting(last, done, i)
                 yield from self._path(last, done, meet)
                 for p in range(done, min(meet, i - self.longest)):
                     last.pop(p, None)
-                done = meet
+                done, due = meet, max(meet + self.longest, i + self.longest // 2)
         yield from self._path(last, done, len(text))
 
+    def _meeting(self, last: dict[int, str], done: int, i: int) -> int:
+        """The place through which the paths go of all places that a later piece can start from."""
+        ends = {p for p in range(i - self.longest + 1, i + 1) if p in last}
+        while len(ends) > 1:
+            p = max(ends)
+            ends.remove(p)
+            ends.add(max(done, p - len(last[p])))
+        (meet,) = ends
+        return meet
+
     def _path(self, last: dict[int, str], start: int, end: int) -> Iterator[int]:
         back = []
+        self.committed += end > start
         while end > start:
             back.append(last[end])
             end -= len(last[end])
@@ -149,7 +169,7 @@ class Pieces:
                     yield self.byte.get(b, self.unknown)
 
     def _segment(self, s: str) -> bytes:
-        """A segment that is in neither half of the cache: streamed, or made of a stem and its marks if their pieces are stable side by side."""
+        """A run that is in neither half of the cache: streamed, or made of a stem and its marks if their pieces are stable side by side."""
         stem = s.rstrip(MARKS)
         if stem is not s and stem[-1:].isalpha() and len(s) <= LONG:
             head, tail = self._known(stem), self._known(s[len(stem) :])
@@ -168,17 +188,31 @@ class Pieces:
                 self.new[s] = b
         return b
 
+    def commits(self, parts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of a text that comes in parts, little-endian unsigned 32-bit, each time that all paths meet where white space starts."""
+        held, new = [""], self.new
+        for part in parts:
+            before = held[-1][-1:]
+            *runs, rest = self.meet.split(before + part.replace(" ", SPACE))
+            if not runs:
+                held.append(rest[len(before) :])
+                continue
+            runs[0] = "".join([*held, runs[0][len(before) :]])
+            held = [rest]
+            got = list(map(new.get, runs))
+            yield b"".join([self._known(r) if b is None else b for r, b in zip(runs, got, strict=True)] if None in got else got)
+            if len(new) > CACHE:
+                self.old, self.new = new, {}
+                new = self.new
+        rest = "".join(held)
+        if rest:
+            yield self._known(rest)
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        parts = self.segments.findall((" " + text).replace(" ", SPACE))
-        got = list(map(self.new.get, parts))
-        if None in got:
-            got = [self._known(p) if b is None else b for p, b in zip(parts, got, strict=True)]
-            if len(self.new) > CACHE:
-                self.old, self.new = self.new, {}
-        return b"".join(got)
+        return b"".join(self.commits(chain((" ",), (text[at : at + PART] for at in range(0, len(text), PART)))))
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.out.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
