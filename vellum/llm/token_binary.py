@@ -6,7 +6,7 @@ shard, block    where it stands; shards and blocks ascend with doc_id
 doc_ids         its documents
 n_tokens        ids of each document
 words           all its ids as little-endian words
-offsets         the word at which every RESTART-th id starts, so that a reader can start there
+offsets         the word at which every RESTART-th id starts: readers decode from there, so a document's ids take no more than its own parts
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .vocab import byte_bpe, encoder
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
 #: Ids of a block (a document is never cut, so a very long one makes a larger block) and between its restart points.
-BLOCK, RESTART = 1 << 17, 1 << 13
+BLOCK, RESTART = 1 << 17, 1 << 14
 
 BLOCKS = "shard long, block long, doc_ids array<long>, n_tokens array<long>, words binary, offsets array<long>"
 TOKENS = "shard long, block long, place long, doc_id long, n_tokens long, ids_crc32 long"
@@ -103,6 +103,17 @@ def block_words(ids: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), offsets.tolist() if parts else []
 
 
+def decode_range(words: np.ndarray, offsets: list[int], start: int, n: int) -> np.ndarray:
+    """``n`` ids of a block from the ``start``-th on: only the parts between restart points that hold them are decoded, each in one go."""
+    if not n:
+        return np.zeros(0, np.uint64)
+    first, last = start // RESTART, (start + n - 1) // RESTART
+    ends = [*offsets, len(words)]
+    parts = [decode(words[ends[k] : ends[k + 1]]) for k in range(first, last + 1)]
+    at = start - first * RESTART
+    return (parts[0] if len(parts) == 1 else np.concatenate(parts))[at : at + n]
+
+
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts (null: empty), each with ``end_id`` after it, into blocks in ascending order of doc_id.
 
@@ -147,8 +158,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(TOKENS)
         for batch in batches:
-            for shard, block, docs, ns, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = decode(np.frombuffer(words, "<u8")).astype("<u4").tobytes()
+            for shard, block, docs, ns, words, offsets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = decode_range(np.frombuffer(words, "<u8"), offsets, 0, sum(ns)).astype("<u4").tobytes()
                 ends = np.cumsum(ns).tolist()
                 crc = [zlib.crc32(memoryview(ids)[(e - n) * 4 : e * 4]) for e, n in zip(ends, ns, strict=True)]
                 k = len(docs)
@@ -160,21 +171,30 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     over = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = sizes.groupBy("shard").agg(F.sum("size").alias("all")).select("shard", F.coalesce(F.sum("all").over(over), F.lit(0)).alias("before"))
     blocks = sizes.join(shards, "shard").select("shard", "block", (F.col("before") + F.coalesce(F.sum("size").over(in_shard), F.lit(0))).alias("base"))
-    ids = files.select("shard", "block", "doc_ids", "n_tokens", "words").mapInArrow(task, TOKENS)
+    ids = files.select("shard", "block", "doc_ids", "n_tokens", "words", "offsets").mapInArrow(task, TOKENS)
     return ids.join(blocks, ["shard", "block"]).select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id and its ids, from the files."""
+def read_ids(spark: SparkSession, path: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
+    """doc_id and its ids, from the files; only of documents from ``lo`` to ``hi`` if given, of whose blocks only their parts are decoded."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema("doc_id long, ids array<long>")
         for batch in batches:
-            for docs, ns, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts = np.split(decode(np.frombuffer(words, "<u8")).astype(np.int64), np.cumsum(ns)[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([p.tolist() for p in parts], pa.list_(pa.int64()))], schema=schema)
+            for docs, ns, words, offsets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                inside = [k for k, d in enumerate(docs) if (lo is None or d is not None and d >= lo) and (hi is None or d is not None and d <= hi)]
+                if inside:  # documents ascend, so these are neighbours
+                    first, ns = sum(ns[: inside[0]]), ns[inside[0] : inside[-1] + 1]
+                    ids = decode_range(np.frombuffer(words, "<u8"), offsets, first, sum(ns)).astype(np.int64)
+                    parts = np.split(ids, np.cumsum(ns)[:-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[inside[0] : inside[-1] + 1], pa.int64()), pa.array([p.tolist() for p in parts], pa.list_(pa.int64()))], schema=schema)
 
-    return spark.read.schema(BLOCKS).parquet(path).select("doc_ids", "n_tokens", "words").mapInArrow(task, "doc_id long, ids array<long>")
+    files = spark.read.schema(BLOCKS).parquet(path)
+    if lo is not None:
+        files = files.where(F.element_at("doc_ids", -1) >= lo)
+    if hi is not None:
+        files = files.where(F.coalesce(F.get("doc_ids", F.lit(0)), F.lit(hi)) <= hi)
+    return files.select("doc_ids", "n_tokens", "words", "offsets").mapInArrow(task, "doc_id long, ids array<long>")
 
 
 def encoded_tokens(docs: DataFrame) -> DataFrame:
