@@ -23,7 +23,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 @pytest.fixture(scope="module")
 def library():
-    return vocab.encoder(vocab.byte_bpe()).tokenizer
+    return tokenizers.Tokenizer.from_file(vocab.byte_bpe())
 
 
 def reference(tokenizer, texts):
@@ -33,8 +33,7 @@ def reference(tokenizer, texts):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(TEXT, max_size=20))
 def test_cached_ids_are_the_library_s(texts):
-    e = vocab.encoder(vocab.byte_bpe())
-    assert e.ids(texts) == reference(e.tokenizer, texts)
+    assert vocab.encoder(vocab.byte_bpe()).ids(texts) == reference(tokenizers.Tokenizer.from_file(vocab.byte_bpe()), texts)
 
 
 def test_added_tokens_are_the_file_s():
@@ -71,6 +70,8 @@ def test_restart_points():
     words, offsets = token_binary.block_words(ids)
     for k, at in enumerate(offsets):
         assert token_binary.decode(words[at:])[:10].tolist() == ids[k * token_binary.RESTART :][:10].tolist()
+    for start, n in ((0, 0), (0, 40_000), (8191, 2), (8192, 1), (30_000, 9_999)):
+        assert token_binary.decode_range(words, offsets, start, n).tolist() == ids[start : start + n].tolist()
 
 
 def test_token_files(spark, tmp_path, library, monkeypatch):
@@ -91,6 +92,12 @@ def test_token_files(spark, tmp_path, library, monkeypatch):
     ids = {r.doc_id: r.ids for r in token_binary.read_ids(spark, str(tmp_path / "t")).collect() if r.doc_id in unique}
     text = {r[0]: r[1] for r in data}
     assert all(v == library.encode(text[k] or "", add_special_tokens=False).ids + [2] for k, v in ids.items())
+    some = sorted(unique)[5:9]
+    few = {r.doc_id: r.ids for r in token_binary.read_ids(spark, str(tmp_path / "t"), some[0], some[-1]).collect() if r.doc_id in unique}
+    assert few == {i: ids[i] for i in some}
+    token_binary.write(odd.frame(spark, odd.rows(2)), str(tmp_path / "n"), vocab.byte_bpe(), 2)
+    nulls = [tuple(r) for r in token_binary.read(spark, str(tmp_path / "n")).collect()]
+    assert len(nulls) == len(odd.rows(2)) and {r[1] for r in nulls if r[0] is None} <= set(range(200)) and sorted(r[1] for r in nulls)[0] == 0
     token_binary.write(odd.frame(spark, []), str(tmp_path / "e"), vocab.byte_bpe(), 2)
     assert token_binary.read(spark, str(tmp_path / "e")).collect() == []
 
@@ -163,7 +170,28 @@ def test_pieces_are_the_library_s(pieces, text):
 def test_a_long_run_is_streamed(pieces):
     own, lib = pieces
     for text in ("a" * 3000, "ab" * 1500, "=-" * 700):
+        before = own.committed
         assert list(own.stream("▁" + text)) == lib.encode(text)
+        assert own.committed - before > len(text) / (4 * own.longest)
+
+
+def test_ids_come_before_the_text_ends(pieces, monkeypatch):
+    own, lib = pieces
+    monkeypatch.setattr(piece_codec, "PART", 50)
+    text = "the words of  this\ntext go on, " * 40 + "x" * 400 + " and end"
+    read, out = [], []
+
+    def parts():
+        yield " "
+        for at in range(0, len(text), 50):
+            read.append(at)
+            yield text[at : at + 50]
+
+    for ids in own.commits(parts()):
+        out.append((len(read) * 50, len(ids) // 4))
+    got = np.frombuffer(own.encode(text), "<u4").tolist()
+    assert got == lib.encode(text) and sum(n for _, n in out) == len(got)
+    assert sum(n for at, n in out if at < len(text) / 2) > len(got) / 3
 
 
 def test_piece_table(spark):
@@ -277,3 +305,52 @@ def test_all_keyframes_and_tracks(spark, tmp_path):
     for k, part in enumerate((first, second)):
         assert rows[7, k].payload_sha256 == hashlib.sha256(part).hexdigest() and rows[7, k].keyframes == len(rows[7, k].keyframe_starts) == -(-len(part) // 3072)
     assert list(zip(rows[8, 1].keyframe_starts, rows[8, 1].keyframe_lengths, strict=True)) == fragmented()[1][3] and rows[9, None].keyframe_starts == []
+
+
+def test_malformed_files_are_rows(spark, tmp_path):
+    data = media.build(bytes(range(192)) * 40)
+    at = {k: data.index(k) + 4 for k in (b"stts", b"stsc", b"stsz", b"stco", b"stss")}
+    broken = {}
+    for k, where in at.items():
+        b = bytearray(data)
+        struct.pack_into(">I", b, where + (8 if k == b"stsz" else 4), 0xFFFFFFF0)
+        broken[k.decode()] = bytes(b)
+    for name, where, value in (("chunk 0", at[b"stsc"] + 8, 0), ("chunk 9", at[b"stsc"] + 20, 9), ("offset", at[b"stco"] + 8, 1 << 30), ("size", at[b"stsz"] + 4, 1 << 30)):
+        b = bytearray(data)
+        struct.pack_into(">I", b, where, value)
+        broken[name] = bytes(b)
+    deep = b""
+    for _ in range(500):
+        deep = media.box(b"moov", deep)
+    broken["deep"] = deep
+    rows = [(i, 1, b) for i, b in enumerate([data, None, b"", *broken.values()])]
+    spark.createDataFrame(rows, media.STORED).write.parquet(str(tmp_path / "m"))
+    got = {r.doc_id: r for r in media.read(spark, str(tmp_path / "m")).collect()}
+    assert len(got) == len(rows) and got[0].keyframes == 3 and got[0].payload_bytes == 7680 and got[1].track is None and got[1].payload_bytes == 0
+    assert all(got[k + 3].feature.startswith("malformed: ") and got[k + 3].payload_bytes == 0 for k in range(len(broken))), broken.keys()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 1), st.lists(st.tuples(st.integers(0, 2000), st.integers(0, 255)), max_size=6), st.integers(0, 4000))
+def test_any_bytes_are_read_or_malformed(which, changes, cut):
+    data = bytearray((media.build(bytes(192 * 3)), fragmented()[0])[which])
+    for at, value in changes:
+        data[at % len(data)] = value
+    data = bytes(data[: cut or None])
+    try:
+        tracks = media.parse(data)
+    except media.Malformed:
+        return
+    for t in tracks:
+        assert len(media.describe(data, t)["payload"]) <= len(data)
+
+
+def test_features_follow_texts(spark):
+    rows = {}
+    for r in media.media_features(odd.frame(spark)).collect():
+        rows.setdefault(r.payload_sha256, set()).add((r.feature, r.media_sha256, r.media_bytes, r.tail_crc32))
+    texts = {hashlib.sha256(media.padded(r[1])[0]).hexdigest(): media.build(media.padded(r[1])[0]) for r in odd.rows()}
+    assert rows.keys() == texts.keys()
+    for sha, found in rows.items():
+        ((feature, media_sha, n, _),) = found
+        assert media_sha == hashlib.sha256(texts[sha]).hexdigest() and n == len(texts[sha]) and feature.startswith("raw/soun/8000;samples=")

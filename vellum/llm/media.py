@@ -1,7 +1,8 @@
 """ISO base media files in a column: building, storing, and reading their sample tables without decoding payloads.
 
 Samples of every track are read, those of sample tables (stsz) first and then those of movie fragments (trun).  Compact
-sample sizes (stz2) and edit lists aren't read.
+sample sizes (stz2) and edit lists aren't read.  Counts in a file are checked against the bytes there are before anything
+is made of them; a file whose tables can't be right is ``Malformed``, which makes one row that says so and stops no job.
 """
 
 from __future__ import annotations
@@ -26,6 +27,14 @@ STORED = "doc_id long, n_bytes long, media binary"
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, keyframes long, first_keyframe string, last_keyframe string, track long, keyframe_starts array<long>, keyframe_lengths array<long>"
 
 
+#: Boxes within boxes.
+DEEPEST = 16
+
+
+class Malformed(ValueError):
+    """What a file's boxes say can't be."""
+
+
 def box(kind: bytes, *content: bytes) -> bytes:
     body = b"".join(content)
     if len(body) + 8 < 1 << 32:
@@ -136,6 +145,8 @@ def walk(data: memoryview, at: int = 0, end: int | None = None, path: tuple[byte
             return
         yield (*path, kind), at + head, at + size
         if kind in NESTED:
+            if len(path) == DEEPEST:
+                raise Malformed("boxes are nested too deep")
             yield from walk(data, at + head, at + size, (*path, kind))
         at += size
 
@@ -143,7 +154,8 @@ def walk(data: memoryview, at: int = 0, end: int | None = None, path: tuple[byte
 class _Fragments:
     """Adds the samples of moof boxes to their tracks."""
 
-    def __init__(self):
+    def __init__(self, length: int):
+        self.left = length  # samples that the file can still hold
         self.tracks: dict[int, Track] = {}
         self.defaults: dict[int, tuple[int, int, int]] = {}  # of a track: duration, size and flags of a sample
         self.track: Track | None = None
@@ -177,6 +189,9 @@ class _Fragments:
     def run(self, view: memoryview, at: int) -> None:
         flags, n = struct.unpack_from(">II", view, at)
         flags, at, first = flags & 0xFFFFFF, at + 8, None
+        self.left -= n
+        if self.left < 0:
+            raise Malformed("more samples than bytes")
         if flags & 1:
             self.at, at = self.base + struct.unpack_from(">i", view, at)[0], at + 4
         if flags & 4:
@@ -196,42 +211,73 @@ class _Fragments:
 
 def parse(data: bytes) -> list[Track]:
     """The tracks of a file, from its sample tables and its fragments' runs alone."""
-    view, tracks, fragments = memoryview(data), [], _Fragments()
-    for path, at, end in walk(view):
-        kind = path[-1]
-        if kind == b"trak":
-            tracks.append(Track())
-        if path[0] == b"moof" or kind == b"trex":
-            fragments.box(view, kind, at, end)
-        if b"trak" not in path or end - at < 8:
-            continue
-        t = tracks[-1]
-        if kind == b"tkhd":
-            fragments.tracks[struct.unpack_from(">I", view, at + (20 if view[at] else 12))[0]] = t
-        elif kind == b"mdhd":
-            t.timescale, t.duration = struct.unpack_from(">IQ" if view[at] else ">II", view, at + (20 if view[at] else 12))
-        elif kind == b"hdlr":
-            t.handler = bytes(view[at + 8 : at + 12]).decode("latin-1")
-        elif kind == b"stsd":
-            t.codec = bytes(view[at + 12 : at + 16]).decode("latin-1")
-        elif kind in (b"stts", b"stsc", b"stss", b"stco", b"co64"):
-            n = struct.unpack_from(">I", view, at + 4)[0]
-            width, letter = {b"stts": (2, "I"), b"stsc": (3, "I"), b"stss": (1, "I"), b"stco": (1, "I"), b"co64": (1, "Q")}[kind]
-            flat = struct.unpack_from(f">{n * width}{letter}", view, at + 8)
-            if kind == b"stts":
-                t.deltas = list(zip(flat[::2], flat[1::2], strict=True))
-            elif kind == b"stsc":
-                t.runs = list(zip(flat[::3], flat[1::3], strict=True))
-            elif kind == b"stss":
-                t.sync = list(flat)
-            else:
-                t.offsets = list(flat)
-        elif kind == b"stsz":
-            each, n = struct.unpack_from(">II", view, at + 4)
-            t.sizes = (each, n) if each else list(struct.unpack_from(f">{n}I", view, at + 12))
+    view, tracks, fragments = memoryview(data), [], _Fragments(len(data))
+    try:
+        for path, at, end in walk(view):
+            if path[-1] == b"trak":
+                tracks.append(Track())
+            inside = view[:end]  # so that no field is read beyond its box
+            if path[0] == b"moof" or path[-1] == b"trex":
+                fragments.box(inside, path[-1], at, end)
+            elif b"trak" in path and end - at >= 8:
+                _field(tracks[-1], fragments, inside, path[-1], at)
+    except struct.error as e:
+        raise Malformed(f"a box is shorter than its fields: {e}") from None
+    for t in tracks:
+        _check(t, len(data))
     return tracks
 
 
+#: Tables: integers of an entry, and their kind.
+TABLES = {b"stts": (2, "I"), b"stsc": (3, "I"), b"stss": (1, "I"), b"stco": (1, "I"), b"co64": (1, "Q")}
+
+
+def _field(t: Track, fragments: "_Fragments", view: memoryview, kind: bytes, at: int) -> None:
+    """What one box adds to its track."""
+    if kind == b"tkhd":
+        fragments.tracks[struct.unpack_from(">I", view, at + (20 if view[at] else 12))[0]] = t
+    elif kind == b"mdhd":
+        t.timescale, t.duration = struct.unpack_from(">IQ" if view[at] else ">II", view, at + (20 if view[at] else 12))
+    elif kind == b"hdlr":
+        t.handler = bytes(view[at + 8 : at + 12]).decode("latin-1")
+    elif kind == b"stsd":
+        t.codec = bytes(view[at + 12 : at + 16]).decode("latin-1")
+    elif kind in TABLES:
+        n, (width, letter) = struct.unpack_from(">I", view, at + 4)[0], TABLES[kind]
+        if n * width * struct.calcsize(f">{letter}") > len(view) - at - 8:
+            raise Malformed(f"{kind.decode()} has fewer entries than it says")
+        flat = struct.unpack_from(f">{n * width}{letter}", view, at + 8)
+        if kind == b"stts":
+            t.deltas = list(zip(flat[::2], flat[1::2], strict=True))
+        elif kind == b"stsc":
+            t.runs = list(zip(flat[::3], flat[1::3], strict=True))
+        elif kind == b"stss":
+            t.sync = list(flat)
+        else:
+            t.offsets = list(flat)
+    elif kind == b"stsz":
+        each, n = struct.unpack_from(">II", view, at + 4)
+        if not each and 4 * n > len(view) - at - 12:
+            raise Malformed("stsz has fewer entries than it says")
+        t.sizes = (each, n) if each else list(struct.unpack_from(f">{n}I", view, at + 12))
+
+
+def _check(t: Track, length: int) -> None:
+    """Whether a file of ``length`` bytes can hold the samples that a track's tables list."""
+    if t.tabled > length:
+        raise Malformed("more samples than bytes")
+    firsts = [first for first, _ in t.runs]
+    if t.tabled and (not firsts or firsts[0] != 1 or firsts[-1] > len(t.offsets) or any(a >= b for a, b in zip(firsts, firsts[1:]))):
+        raise Malformed("chunks don't ascend from 1 to their count")
+    count = total = 0
+    for at, n in t.ranges():
+        count, total = count + 1, total + n
+        if at + n > length or total > length:
+            raise Malformed("samples reach beyond the file")
+    if count < t.samples:
+        raise Malformed("chunks hold fewer samples than there are sizes")
+
+
 def padded(text: str | None) -> tuple[bytes, int]:
     data = (text or "").encode("utf-8", "replace")
     return data + b" " * (max(1, -(-len(data) // FRAME)) * FRAME - len(data)), len(data)
@@ -283,7 +329,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Features of a stored table's files, a row for each track; codec, duration and keyframes' byte ranges come from the boxes alone.
 
     ``track`` counts from 0, and payload_bytes to keyframe_lengths are that track's.  keyframe_starts and keyframe_lengths are
-    the ranges of all keyframes in the file, in the order of samples.  A file without a track is one row, its track null.
+    the ranges of all keyframes in the file, in the order of samples.  A file without a track is one row, its track null; so is a
+malformed one, whose feature says why and whose payload is empty.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,8 +338,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in slices(batches):
             rows = []
             for doc, n, media in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                media = media or b""
+                try:
+                    tracks = parse(media) or [None]
+                except Malformed as e:
+                    rows.append((doc, n, 0, hashlib.sha256(b"").hexdigest(), 0, len(media), hashlib.sha256(media).hexdigest(), f"malformed: {e}", None, None, 0, None, None, None, [], []))
+                    continue
                 whole = hashlib.sha256(media).hexdigest()
-                for k, t in enumerate(parse(media) or [None]):
+                for k, t in enumerate(tracks):
                     d = describe(media, t)
                     p, keys = d["payload"], [f"{at}+{size}" for at, size in d["keys"]]
                     starts, lengths = [at for at, _ in d["keys"]], [size for _, size in d["keys"]]
