@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -107,6 +108,49 @@ def test_base_spans(spark):
     assert pii.personal_data(odd.frame(spark, [])).collect() == []
 
 
+def test_a_log_of_many_addresses(spark):
+    rng = random.Random(11)
+    lines = [f"{i} GET 10.{rng.randrange(300)}.0.{i % 256} {rng.randrange(10**6)} é" for i in range(15_000)]
+    text = "\n".join(lines)
+    df = odd.frame(spark, [(1, text, None, None, 1)])
+    began = time.time()
+    (r,) = pii.personal_data(df).collect()
+    assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == brute_pii(text)[0] and r.n_ip > 10_000
+    (m,) = pii.masked(df).collect()
+    spans = [x for x in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)]
+    assert m.text.count("<ip>") >= r.n_ip and len(m.text.split("\n")) == len(lines) and len(spans) == len(lines)
+    assert time.time() - began < 120
+    long = "y" * 200_000 + " " * 70 + "z" * 60
+    (r,) = pii.personal_data(odd.frame(spark, [(1, long + " 1234567812345678 " + long, None, None, 1)])).collect()
+    assert r.n_card == brute_pii(long + " 1234567812345678 ")[0][2]
+
+
+def test_recall_on_planted_identifiers(spark):
+    """Unseen identifiers beside cue words on either side, among numbers of the same shape beside other words."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    unlike = lambda: next(x for x in iter(lambda: str(rng.randrange(10**15, 10**16)), "") if not luhn(x))
+    data, planted, spurious = [], {}, set()
+    cues = ("pay with card {}", "{} expires soon", "my visa number: {}", "the {} account")
+    for i in range(1200):
+        before, after = " ".join(word() for _ in range(6)), " ".join(word() for _ in range(6))
+        if i % 4 == 3:  # other numbers in other places
+            data.append((i, f"{before} order {unlike()} {after}", None, None, 1))
+            spurious.add(i)
+            continue
+        cue = cues[i // 4 % 4]
+        number = unlike() if i % 30 == 0 else card(rng)
+        start = f"{before} {cue}".index("{}")
+        data.append((i, f"{before} {cue.format(number)} {after}", None, None, 1))
+        if not luhn(number):
+            planted[i] = f"card:{start}:{start + 16}"
+    rows = {r.doc_id: r for r in pii.personal_data(odd.frame(spark, data)).collect()}
+    found = {i for i in planted if rows[i].spans == planted[i]}
+    wrong = [i for i, r in rows.items() if r.n_new and i not in planted]
+    assert len(planted) >= 20 and len(found) >= 0.9 * len(planted), (len(found), len(planted))
+    assert not wrong and not [i for i in spurious if rows[i].spans]
+
+
 def card(rng):
     d = "".join(rng.choice("0123456789") for _ in range(15))
     return next(d + c for c in "0123456789" if luhn(d + c))
