@@ -9,7 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import catalog, evals, facts, ingest, retention, review
+from vellum.operators import catalog, chunking, evals, facts, ingest, retention, review
 from vellum.sources import connectors, extract, pages as P, sinks, transcripts
 from vellum.streaming import watch
 
@@ -42,7 +42,7 @@ def test_uploads_get_free_names(spark):
     ups = spark.createDataFrame([("m", "x/r.txt", "s2", 5), ("m", "r.txt", "s1", 5), ("m", "q.exe", "s", 5), ("m", ".txt", "s", 5), ("m", "r.txt", "s3", 0)], "matter string, filename string, sha256 string, size long")
     have = spark.createDataFrame([("m", "r.txt", "s1")], "matter string, filename string, sha256 string")
     got = {(r.filename, r.sha256): (r.rejected, r.stored_name) for r in ingest.upload_states(ups, have).collect()}
-    assert got == {("x/r.txt", "s2"): (None, "r-1.txt"), ("r.txt", "s1"): (None, "r.txt"), ("q.exe", "s"): ("unsupported type", None), (".txt", "s"): ("bad name", None), ("r.txt", "s3"): ("empty", None)}
+    assert got == {("x/r.txt", "s2"): ("bad name", None), ("r.txt", "s1"): (None, "r.txt"), ("q.exe", "s"): ("unsupported type", None), (".txt", "s"): ("bad name", None), ("r.txt", "s3"): ("empty", None)}
 
 
 def test_mailbox_is_walked_past_its_cap(spark):
@@ -154,7 +154,7 @@ def test_calendar(spark):
     label = "Pay; now, " + "é" * 80
     rows = [("m", "k1", 1, 1, 0, "date_event", {"kind": "deadline", "label": label}, "s", "confirmed", "2024-05-01"), ("m", "k2", 1, 1, 1, "date_event", {"kind": "deadline", "label": "x"}, "s", None, None), ("m", "k3", 1, 1, 2, "date_event", {"kind": "event", "label": "x"}, "s", "confirmed", "2024-05-01")]
     (e,) = sinks.calendar_events(spark.createDataFrame(rows, "matter_slug string, fact_key string, doc_id long, page long, char_start long, fact_type string, value map<string,string>, span string, status string, confirmed_date string")).collect()
-    assert "DTSTART;VALUE=DATE:20240501" in e.event and "Pay\; now\\, " in e.event and all(len(x.encode()) <= 75 for x in e.event.split("\r\n"))
+    assert "DTSTART;VALUE=DATE:20240501" in e.event and "Pay\\; now\\, " in e.event and all(len(x.encode()) <= 75 for x in e.event.split("\r\n"))
 
 
 def test_golden_and_latency(spark):
@@ -195,3 +195,59 @@ def test_changed_files_come_again(spark, tmp_path):
 def test_windowed_counts(spark):
     e = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, m), "a", 1.0) for m in (1, 30, 59)] + [(dt.datetime(2024, 1, 1, 1, 0), "a", 2.0)], "ts timestamp, event_type string, value double")
     assert sorted((r.n, r.total) for r in watch.windowed_counts(e).collect()) == [(1, 2.0), (3, 3.0)]
+
+
+def test_upload_numbers_are_free(spark):
+    names = "matter string, filename string, sha256 string"
+    have = spark.createDataFrame([("m", "a.txt", "s0"), ("m", "a-1.txt", "s1"), ("m", "b.txt", "s0")], names)
+    ups = spark.createDataFrame([("m", "a.txt", "new", 5), ("m", "a.txt", "other", 5), ("m", "a.txt", "s1", 5), ("m", "b.txt", "x", 5), ("m", "b-1.txt", "y", 5), ("n", "a.txt", "z", 5)], names + ", size long")
+    got = {(r.matter, r.filename, r.sha256): r.stored_name for r in ingest.upload_states(ups, have).collect()}
+    assert got == {("m", "a.txt", "new"): "a-2.txt", ("m", "a.txt", "other"): "a-3.txt", ("m", "a.txt", "s1"): "a-1.txt", ("m", "b.txt", "x"): "b-2.txt", ("m", "b-1.txt", "y"): "b-1.txt", ("n", "a.txt", "z"): "a.txt"}
+
+
+def test_white_space_of_any_kind_is_no_text(spark):
+    blank = spark.createDataFrame([("m", "f", 1, "\n" * 30, 0.9)], "matter string, source_filename string, page_number long, page_text string, share double")
+    assert blank.select(P.route(F.col("page_text"), F.col("share"))).first()[0] == "tesseract"
+    assert chunking.scanned_documents(blank).first().scanned and chunking.transcript_chunks(blank.withColumn("numbered", F.lit(True))).count() == 0
+    assert blank.select(P.ocr_verdict(F.col("page_text"), F.lit(90.0))).first()[0] == "ocr found no text"
+
+
+def test_disposal_keeps_rows_of_no_matter(spark):
+    t = spark.createDataFrame([("x", 1), (None, 2), ("y", 3)], "matter_slug string, n long")
+    holds = spark.createDataFrame([], "id long, matter_slug string, reason string, released string")
+    assert sorted(r.n for r in retention.dispose({"t": t}, holds, "x")["t"].collect()) == [2, 3]
+
+
+def test_a_document_without_chunks_loses_its_old_ones(spark, tmp_path):
+    path, staging = str(tmp_path / "c"), str(tmp_path / "s")
+    c = spark.createDataFrame([("m", "f", "old"), ("m", "g", "stays"), ("n", "h", "old")], "matter string, source_filename string, text string")
+    sinks.write_chunks(c, path)
+    gone = spark.createDataFrame([("m", "f"), ("n", "h")], "matter string, source_filename string")
+    sinks.replace_documents(spark, path, c.limit(0), staging, gone)
+    assert [tuple(r) for r in spark.read.parquet(path).select("matter", "source_filename", "text").collect()] == [("m", "g", "stays")]
+
+
+def test_facts_are_replaced_also_by_none(spark):
+    f = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, fact_key string")
+    docs = spark.createDataFrame([(1, "v3", "ready"), (2, "v3", "ready")], "id long, digest_version string, status string")
+    ids = spark.createDataFrame([(1,), (7,)], "doc_id long")
+    new = spark.createDataFrame([(7, "z")], "doc_id long, fact_key string")
+    rows, stamped = facts.replace_facts(f, docs, new, ids, "v4")
+    assert [tuple(r) for r in rows.collect()] == [(2, "b")] and {r.id: r.digest_version for r in stamped.collect()} == {1: "v4", 2: "v3"}
+
+
+def test_single_documents_fail_loud(spark):
+    answers = spark.createDataFrame([("m", 1, None, None)], "matter string, question_id long, answer_text string, citations array<string>")
+    indexed = spark.createDataFrame([("m", "f")], "matter string, source_filename string")
+    assert review.scoped_answers(answers, indexed).first().answer_text.startswith("I could not find")
+    with pytest.raises(review.NotIndexed):
+        review.scoped_answers(answers, indexed, "g")
+
+
+def test_cues_and_mails():
+    from vellum.sources import extract
+
+    cues = b"WEBVTT - x\n\nNOTE a\nb\n\n7\n1:00:05.000 --> 1:00:06.000 align:start\n<v.loud Ann Lee>Hi</v> <i>you</i> <x>\n42\n"
+    assert extract._subtitles(cues, "vtt") == "[01:00:05] Ann Lee: Hi you <x>"
+    mail = b"From: a@b.c\nSubject: S\nMIME-Version: 1.0\nContent-Type: text/html\n\n<p>Hi&nbsp;&amp; <b>bye</b></p>"
+    assert extract._eml(mail, "eml") == "From: a@b.c\nSubject: S\n\nHi & bye"

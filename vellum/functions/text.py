@@ -23,6 +23,15 @@ ENTITY_REACH = 10
 NORMALISED = T.StructType([T.StructField("norm", T.StringType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))])
 
 
+# fixed value: all characters that count as white space at a text's ends
+_WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends; ``trim`` alone takes spaces only."""
+    return F.regexp_replace(text, f"^{_WHITE}++|(?<!{_WHITE}){_WHITE}++$", "")
+
+
 def squeezed(text: Column) -> Column:
     """White space runs as one space, trimmed."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -123,13 +132,16 @@ def locate_span(text: str | None, span: str | None) -> tuple[int, int] | None:
 
 @batch_udf(T.StringType())
 def unescaped(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else html.unescape(t))
+    return text.map(lambda t: html.unescape(t) if t and "&" in t else t)
+
+
+# fixed values: what of a page isn't shown, what ends a line, and what a tag is
+HIDDEN, LINE_END, TAG = r"(?is)<(script|style)\b.*?</\1>", r"(?i)<br\s*/?>|</(?:p|div|h[1-6]|li|tr)>", "<[^>]+>"
 
 
 def visible_text(raw: Column) -> Column:
     """An HTML page's text: scripts and styles dropped, block ends as line ends, tags as spaces, entities decoded, lines trimmed."""
-    text = F.regexp_replace(raw, r"(?is)<(script|style)\b.*?</\1>", " ")
-    text = F.regexp_replace(text, r"(?i)<br\s*/?>|</(?:p|div|h[1-6]|li|tr)>", "\n")
-    text = unescaped(F.regexp_replace(text, "<[^>]+>", " "))
+    shown = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, HIDDEN, " "), LINE_END, "\n"), TAG, " ")
+    text = F.when(shown.contains("&"), unescaped(shown)).otherwise(shown)
     lines = F.transform(F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"^\s+|\s+$", ""))
     return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.keys import audit_hash
 
@@ -91,19 +95,28 @@ def line_map(pages: DataFrame) -> DataFrame:
 def audit_chain(entries: DataFrame) -> DataFrame:
     """Entries (id, ts, event, matter_slug, detail) with the hash chain over them in order of id.
 
-    Each hash needs the one before, so a chain is one fold: chains are per ``log`` if there is such a column, which keeps them short and apart.
+    Each hash needs the one before, so a chain is walked in order: rows are sorted where their chain is, stream through in Arrow
+    batches, and only the last hash is kept.  Chains are per ``log`` if there is such a column, which spreads them over tasks.
     """
     log = [c for c in ("log",) if c in entries.columns]
-    row = F.struct("id", "ts", "event", "matter_slug", "detail")
-    first = F.struct(F.lit(GENESIS).alias("prev"), F.array().cast("array<struct<id:bigint,prev_hash:string,entry_hash:string>>").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        h = audit_hash(acc["prev"], x["ts"], x["event"], x["matter_slug"], x["detail"])
-        return F.struct(h.alias("prev"), F.concat(acc["out"], F.array(F.struct(x["id"].cast("long").alias("id"), acc["prev"].alias("prev_hash"), h.alias("entry_hash")))).alias("out"))
-
-    chain = entries.groupBy(*log).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    hashes = chain.select(*log, F.explode(F.aggregate("rows", first, add, lambda a: a["out"])).alias("h")).select(*log, "h.*")
-    return entries.join(hashes, [*log, "id"])
+    names = entries.columns
+    dealt = entries.repartition(*log) if log else entries.repartition(1)
+    schema = T.StructType([*entries.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())])
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain, last = None, GENESIS
+        for b in batches:
+            prev, own = [], []
+            said = [b[c].astype(object).where(b[c].notna(), "").astype(str) for c in ("ts", "event", "matter_slug", "detail")]
+            for mine, *rest in zip(b[log[0]] if log else [None] * len(b), *said, strict=True):
+                if mine != chain:
+                    chain, last = mine, GENESIS
+                prev.append(last)
+                last = hashlib.sha256("|".join([last, *rest]).encode()).hexdigest()
+                own.append(last)
+            yield b.assign(prev_hash=prev, entry_hash=own)
+
+    return dealt.sortWithinPartitions(*log, "id").mapInPandas(task, schema).select(*names, "prev_hash", "entry_hash")
 
 
 def audit_breaks(chain: DataFrame) -> DataFrame:
@@ -126,3 +139,20 @@ def folder_status(folders: DataFrame, matters: DataFrame, jobs_table: DataFrame,
     newest = jobs_table.groupBy("matter_slug").agg(F.max_by("status", "id").alias("job_status"))
     rows = folders.join(known, "matter_slug", "left").join(newest, "matter_slug", "left")
     return rows.withColumn("matter_exists", F.coalesce("known", F.lit(False))).withColumn("seconds_since_scan", F.unix_timestamp(now) - F.unix_timestamp("last_scan")).drop("known")
+
+
+def documents_of(documents: DataFrame, matter: str) -> DataFrame:
+    """A matter's documents in order of name, then id."""
+    return documents.where(F.col("matter_slug") == matter).orderBy("filename", "id")
+
+
+def replace_line_map(line_map: DataFrame, new: DataFrame, doc_id: int) -> DataFrame:
+    """``line_map`` with a document's lines replaced, also by none."""
+    return line_map.where(~F.col("doc_id").eqNullSafe(F.lit(doc_id))).unionByName(new.where(F.col("doc_id") == doc_id).select(*line_map.columns))
+
+
+def threads(messages: DataFrame) -> DataFrame:
+    """Threads of messages (thread_id, pos, role, text): the title is the first of the user's, at most TITLE characters; the newest first."""
+    first = F.min_by("text", F.when(F.col("role") == "user", F.col("pos")))
+    got = messages.groupBy("thread_id").agg(F.substring(first, 1, TITLE).alias("title"), F.count(F.lit(1)).alias("messages"))
+    return got.orderBy(F.col("thread_id").desc())

@@ -46,7 +46,7 @@ def recall_at_k(ranked: DataFrame, gold: DataFrame, k: int, by: list[str]) -> Da
     """Share of questions with a right row (file and page) in the first k; ``ranked``: qid, config, rank, source_filename, page_number; ``gold``: qid, class, gold_filename, gold_page."""
     right = ranked.where(F.col("rank") < k).join(gold.select("qid", "gold_filename", "gold_page"), "qid").where((F.col("source_filename") == F.col("gold_filename")) & (F.col("page_number") == F.col("gold_page")))
     hits = right.select("qid", "config").distinct().withColumn("hit", F.lit(1.0))
-    asked = gold.select("qid", "class").join(ranked.select("config").distinct().transform(F.broadcast))
+    asked = gold.select("qid", "class").crossJoin(ranked.select("config").distinct())
     return asked.join(hits, ["qid", "config"], "left").groupBy(*by).agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("recall"))
 
 

@@ -77,6 +77,27 @@ def digest_progress(documents: DataFrame, version: str) -> DataFrame:
     return able.groupBy("matter_slug").agg(F.count(F.lit(1)).alias("total"), done.alias("done"))
 
 
+def replace_facts(facts: DataFrame, documents: DataFrame, new: DataFrame, doc_ids: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
+    """Facts and documents after an extraction of ``doc_ids`` (doc_id): their facts are replaced, also by none, and they are
+    stamped with the version.  A document that is gone meanwhile gets no facts back."""
+    there = doc_ids.join(documents.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").distinct()
+    rows = facts.join(there, "doc_id", "left_anti").unionByName(new.join(there, "doc_id", "left_semi").select(*facts.columns))
+    stamped = documents.join(there.select(F.col("doc_id").alias("id"), F.lit(True).alias("_read")), "id", "left")
+    return rows, stamped.withColumn("digest_version", F.when(F.col("_read"), F.lit(version)).otherwise(F.col("digest_version"))).select(*documents.columns)
+
+
+def stuck(progress: DataFrame, idle: bool, swept: bool) -> DataFrame:
+    """Progress with the documents of each matter that nobody works on any more: all that are left once the queue is idle
+    and the sweep at the start is through."""
+    left = F.col("total") - F.col("done")
+    return progress.withColumn("stuck", F.when((left > 0) & F.lit(idle and swept), left).otherwise(0).cast("long"))
+
+
+def backfill(documents: DataFrame, version: str) -> DataFrame:
+    """Documents to extract again, in order."""
+    return stale_documents(documents, version).select("id", "matter_slug")
+
+
 def facts_of_matter(facts: DataFrame, documents: DataFrame, matter: str) -> DataFrame:
     docs = documents.where(F.col("matter_slug") == matter).select(F.col("id").alias("doc_id"), "filename", "matter_slug")
     return facts.join(docs, "doc_id").orderBy("doc_id", "page", "char_start")

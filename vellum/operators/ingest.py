@@ -47,19 +47,52 @@ def document_states(documents: DataFrame) -> DataFrame:
     return documents.withColumn("status", F.when(failed, "failed").when(review, "needs_review").otherwise("ready"))
 
 
+def _numbered(name: str) -> tuple[Column, Column, Column]:
+    """A file name's stem, the number after its last hyphen (null if it has none), and its suffix."""
+    stem, end = F.regexp_replace(name, r"\.[^.]+$", ""), F.regexp_extract(name, r"(\.[^.]+)$", 1)
+    return F.regexp_replace(stem, r"-\d+$", ""), F.nullif(F.regexp_extract(stem, r"-(\d+)$", 1), F.lit("")).cast("long"), end
+
+
 def upload_states(uploads: DataFrame, existing: DataFrame) -> DataFrame:
     """Uploads (matter, filename, sha256, size) with why they are refused, and the name they get: one that is
-    taken by other bytes gets -1, -2, ... before its suffix.  ``existing``: matter, filename, sha256."""
-    name = F.regexp_extract("filename", r"([^/\\]*)$", 1)
-    rows = uploads.withColumn("base", name)
-    why = F.when((F.col("base") == "") | F.col("base").startswith("."), "bad name").when(~suffix(F.col("base")).isin(*SUFFIXES), "unsupported type").when(F.col("size") <= 0, "empty").when(F.col("size") > MOST_BYTES, "too large")
-    rows = rows.withColumn("rejected", why)
-    every = existing.select("matter", F.col("filename").alias("base"), "sha256", F.lit(0).alias("late")).unionByName(rows.where("rejected is null").select("matter", "base", "sha256", F.lit(1).alias("late")))
-    order = every.groupBy("matter", "base", "sha256").agg(F.min("late").alias("late"))
-    order = order.withColumn("n", F.row_number().over(Window.partitionBy("matter", "base").orderBy("late", "sha256")) - 1)
-    stem, end = F.regexp_replace("base", r"\.[^.]+$", ""), F.regexp_extract("base", r"(\.[^.]+)$", 1)
-    joined = rows.join(order.drop("late"), ["matter", "base", "sha256"], "left")
-    return joined.withColumn("stored_name", F.when(F.col("n") > 0, F.concat(stem, F.lit("-"), F.col("n").cast("string"), end)).when(F.col("n") == 0, F.col("base"))).drop("n", "base")
+    taken by other bytes gets the first of -1, -2, ... before its suffix that is free.  ``existing``: matter, filename, sha256.
+
+    A name with a separator is refused.  Bytes that are there under the name or one of its numbers keep that one.  New
+    uploads of one name get free numbers in order of sha256; names that uploads bring themselves aren't free.
+    """
+    name = F.col("filename")
+    bad = (name == "") | name.startswith(".") | name.rlike(r"[/\\]") | name.contains("..")
+    why = F.when(bad, "bad name").when(~suffix(name).isin(*SUFFIXES), "unsupported type").when(F.col("size") <= 0, "empty").when(F.col("size") > MOST_BYTES, "too large")
+    rows = uploads.withColumn("rejected", why)
+    good = rows.where("rejected is null").select("matter", "filename", "sha256").distinct()
+    stem, end = F.regexp_replace("filename", r"\.[^.]+$", ""), F.regexp_extract("filename", r"(\.[^.]+)$", 1)
+    good = good.withColumn("stem", stem).withColumn("end", end)
+    # numbers that are taken of each name: 0 is the name itself
+    there = existing.select("matter", "filename", "sha256").withColumn("old", F.lit(True)).unionByName(good.select("matter", "filename", "sha256").withColumn("old", F.lit(False)))
+    root, number, tail = _numbered("filename")
+    as_number = there.where(number.isNotNull()).select("matter", root.alias("stem"), tail.alias("end"), number.alias("k"), "sha256", "old")
+    as_name = there.where("old").select("matter", stem.alias("stem"), end.alias("end"), F.lit(0).cast("long").alias("k"), "sha256", "old")
+    names = as_number.unionByName(as_name)
+    key = ["matter", "stem", "end"]
+    same = good.join(names.where("old").select(*key, "sha256", "k"), [*key, "sha256"]).groupBy("matter", "filename", "sha256").agg(F.min("k").alias("own"))
+    taken = names.groupBy(*key).agg(F.collect_set("k").alias("taken"))
+    fresh = good.join(same, ["matter", "filename", "sha256"], "left_anti").withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("sha256")))
+    fresh = fresh.join(taken, key, "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<bigint>")))
+    free = F.filter(F.sequence(F.lit(0).cast("long"), (F.size("taken") + F.col("nth")).cast("long")), lambda k: ~F.array_contains("taken", k))
+    chosen = same.unionByName(fresh.select("matter", "filename", "sha256", F.element_at(free, F.col("nth").cast("int")).alias("own")))
+    joined = rows.join(chosen, ["matter", "filename", "sha256"], "left")
+    stored = F.when(F.col("own") == 0, F.col("filename")).when(F.col("own") > 0, F.concat(stem, F.lit("-"), F.col("own").cast("string"), end))
+    return joined.withColumn("stored_name", F.when(F.col("rejected").isNull(), stored)).drop("own")
+
+
+def wanted_attachments(attachments: DataFrame) -> DataFrame:
+    """Attachments (filename, size) that are taken in: of a type that can be read, neither empty nor too large."""
+    return attachments.where(suffix(F.col("filename")).isin(*SUFFIXES) & F.col("size").between(1, MOST_BYTES))
+
+
+def listed_since(connections: DataFrame) -> DataFrame:
+    """From when each connection's items are listed: since its last sync only where the service lists by date, else all of them."""
+    return connections.withColumn("since", F.when(F.col("service").isin(*DATED), F.col("last_sync")))
 
 
 def new_items(listed: DataFrame, ledger: DataFrame) -> DataFrame:

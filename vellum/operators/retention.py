@@ -31,9 +31,9 @@ def certificates(documents: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def dispose(tables: dict[str, DataFrame], holds: DataFrame, matter: str, column: str = "matter_slug") -> dict[str, DataFrame]:
-    """All tables without a matter's rows."""
+    """All tables without a matter's rows; rows of no matter stay."""
     assert_free(holds, matter)
-    return {name: t.where(F.col(column) != matter) for name, t in tables.items()}
+    return {name: t.where(~F.col(column).eqNullSafe(F.lit(matter))) for name, t in tables.items()}
 
 
 def erase_all(tables: dict[str, DataFrame], holds: DataFrame, phrase: str) -> dict[str, DataFrame]:

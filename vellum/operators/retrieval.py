@@ -70,11 +70,11 @@ def bm25(questions: DataFrame, chunks: DataFrame, key: list[str], scope: str = "
     """(question, scope, key, score) of all chunks that share a term with a question (qid, scope, query), by statistics of the scope."""
     stats = chunks.select(scope, F.size(terms(F.col("text"))).alias("len")).groupBy(scope).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     asked = questions.select(question_key, scope, F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    posted = postings(chunks, key, scope).join(F.broadcast(asked.select(scope, "term").distinct()), [scope, "term"], "left_semi")
+    posted = postings(chunks, key, scope).join(asked.select(scope, "term").distinct(), [scope, "term"], "left_semi")
     df = posted.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    hits = posted.join(F.broadcast(asked), [scope, "term"]).join(df, [scope, "term"]).join(F.broadcast(stats), scope)
+    hits = posted.join(asked, [scope, "term"]).join(df, [scope, "term"]).join(stats, scope)
     return hits.groupBy(question_key, scope, *key).agg(F.sum(gain).alias("score"))
 
 
@@ -135,6 +135,23 @@ def mention_page(chunks: DataFrame, query: str, offset: int = 0, limit: int = 20
     return page.join(F.broadcast(total)).withColumn("truncated", F.col("total") > offset + limit)
 
 
+def lexical_page(chunks: DataFrame, matter: str, query: str, offset: int = 0, limit: int = 20, document_type: str | None = None, key: tuple[str, ...] = CHUNK_KEY) -> DataFrame:
+    """One page of a matter's BM25 ranking.  No exact total is known: ``total`` is null, and ``truncated`` says that the page is full.
+
+    The type is a filter below the ranking, so a page isn't short because of it.
+    """
+    limit = max(1, min(limit, MOST_ROWS))
+    mine = scoped(chunks, matter)
+    if document_type is not None:
+        mine = mine.where(F.col("document_type") == document_type)
+    asked = chunks.sparkSession.createDataFrame([(0, matter, query)], "qid int, matter string, query string")
+    names = [k for k in key if k != "matter"]
+    rows = bm25(asked, mine.select("matter", *names, "text"), names).withColumn("score", F.round("score", 9))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), *names)) - 1)
+    page = ranked.where(F.col("rank").between(offset, offset + limit - 1)).drop("qid")
+    return page.withColumn("total", F.lit(None).cast("long")).withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy("matter")) == limit)
+
+
 def snippet(text: Column, start: Column) -> Column:
     """SNIPPET characters from a little before ``start`` (from 0, in ``text`` itself)."""
     return F.substring(text, F.greatest(start - BEFORE, F.lit(0)).cast("int") + 1, F.lit(SNIPPET))

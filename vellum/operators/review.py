@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .verification import refused
+from .verification import REFUSAL
 
 # fixed values: whole messages that get a fixed reply and no retrieval, and their greatest length
 SMALL_TALK = (
@@ -32,7 +32,7 @@ def is_small_talk(message: Column) -> Column:
 def clause_plan(clauses: DataFrame, doc_types: list[str] | None, custom: list[str] = ()) -> DataFrame:
     """Clauses (id, name, category, question, doc_types) that the given types call for, then custom questions."""
     rows = clauses if not doc_types else clauses.where(F.arrays_overlap("doc_types", F.array(*[F.lit(t) for t in doc_types])))
-    own = clauses.sparkSession.createDataFrame([(f"custom-{i}", q.strip()[:48], "custom", q.strip(), []) for i, q in enumerate(custom, 1) if q.strip()], "id string, name string, category string, question string, doc_types array<string>")
+    own = clauses.sparkSession.createDataFrame([(f"custom-{i}", q.strip()[:48], "Custom", q.strip(), []) for i, q in enumerate(custom, 1) if q.strip()], "id string, name string, category string, question string, doc_types array<string>")
     return rows.select("id", "name", "category", "question", "doc_types").unionByName(own)
 
 
@@ -43,14 +43,14 @@ def grid_columns(taxonomy: DataFrame, clause_ids: list[str] | None = None, custo
         return clause_plan(taxonomy.limit(0), None, custom).withColumn("pos", F.regexp_extract("id", r"(\d+)$", 1).cast("int"))
     if clause_ids:
         wanted = spark.createDataFrame([(c, i) for i, c in enumerate(dict.fromkeys(clause_ids))], "id string, pos int")
-        return taxonomy.join(F.broadcast(wanted), "id")
+        return taxonomy.join(wanted, "id")
     return taxonomy
 
 
 def cell(citations: Column, answer: Column, filename: Column | None = None) -> Column:
-    """struct<status, citations>: found if a verified citation (of the file) is left, potentially_missing if the answer refuses, else not_confirmed."""
+    """struct<status, citations>: found if a verified citation (of the file) is left, potentially_missing if the answer has the refusal in its own letters, else not_confirmed."""
     own = citations if filename is None else F.filter(citations, lambda c: c["filename"] == filename)
-    status = F.when(F.size(own) > 0, "found").when(refused(answer), "potentially_missing").otherwise("not_confirmed")
+    status = F.when(F.size(own) > 0, "found").when(answer.contains(REFUSAL), "potentially_missing").otherwise("not_confirmed")
     return F.struct(status.alias("status"), F.when(F.size(own) > 0, own).otherwise(F.slice(own, 1, 0)).alias("citations"))
 
 
@@ -60,10 +60,22 @@ def grid(answers: DataFrame, documents: DataFrame) -> DataFrame:
     ``answers``: matter, question_id, answer_text, citations; ``documents``: matter, filename.  The result is what is asked for, a row
     for each document and question of one matter; questions are joined by matter.
     """
-    rows = documents.select("matter", "filename").join(F.broadcast(answers), "matter")
+    rows = documents.select("matter", "filename").join(answers, "matter")
     return rows.withColumn("cell", cell(F.col("citations"), F.col("answer_text"), F.col("filename"))).select("matter", "filename", "question_id", F.col("cell.status").alias("status"), F.col("cell.citations").alias("citations"), F.lit("matter").alias("verified_scope"))
 
 
+class NotIndexed(ValueError):
+    """A document that was asked about alone has no chunks."""
+
+
+def scoped_answers(answers: DataFrame, indexed: DataFrame, filename: str | None = None) -> DataFrame:
+    """Answers of a review whose questions got none: a matter without chunks refuses every question, but a single document
+    that isn't indexed raises, as its passages were never checked.  ``answers``: matter, question_id, answer_text, citations; ``indexed``: matter, source_filename."""
+    if filename is not None and indexed.where(F.col("source_filename") == filename).isEmpty():
+        raise NotIndexed(filename)
+    return answers.withColumn("answer_text", F.coalesce("answer_text", F.lit(REFUSAL))).withColumn("citations", F.coalesce("citations", F.array().cast(dict(answers.dtypes)["citations"])))
+
+
 def overlay_rechecks(cells: DataFrame, rechecks: DataFrame) -> DataFrame:
     """Cells that weren't found, replaced by what their document alone says; ``rechecks``: matter, filename, question_id, answer_text, citations.
     A document that could not be asked changes nothing."""

@@ -505,7 +505,7 @@ def import_summary(spark, d):
 def upload_checks(spark, d):
     p = table(spark, d, "part")
     size = F.when(F.col("p_size") % 7 == 0, 0).when(F.col("p_size") > 45, ingest.MOST_BYTES + 1).otherwise(5)
-    ups = p.select("p_partkey", F.lit("m").alias("matter"), F.concat(F.lit("up/"), "p_name", F.when(F.col("p_size") % 5 == 0, ".exe").otherwise(".PDF")).alias("filename"), F.sha2("p_name", 256).alias("sha256"), size.alias("size"))
+    ups = p.select("p_partkey", F.lit("m").alias("matter"), F.concat("p_name", F.when(F.col("p_size") % 5 == 0, ".exe").otherwise(".PDF")).alias("filename"), F.sha2("p_name", 256).alias("sha256"), size.alias("size"))
     return ingest.upload_states(ups, ups.limit(0)).select("p_partkey", "rejected")
 
 

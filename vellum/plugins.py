@@ -72,4 +72,4 @@ def answered(grounded: DataFrame, answerer: Answerer, at_once: int = 4) -> DataF
         return pd.Series([answerer.answer(q, c or "") for q, c in zip(question, context, strict=True)])
 
     thinking: Column = F.regexp_replace(ask("question", "context"), r"(?is)<think>.*?</think>", "")
-    return grounded.coalesce(at_once).withColumn("answer_text", F.trim(thinking))
+    return grounded.repartition(at_once).withColumn("answer_text", F.trim(thinking))

@@ -25,21 +25,40 @@ def append_chunks(chunks: DataFrame, path: str) -> None:
     chunks.select(*have).write.mode("append").partitionBy("matter").parquet(path)
 
 
-def replace_documents(spark: SparkSession, path: str, chunks: DataFrame, staging: str) -> None:
-    """Put ``chunks`` in the place of all chunks of their documents: only their matters' partitions are rewritten.
+def replace_documents(spark: SparkSession, path: str, chunks: DataFrame, staging: str, documents: DataFrame | None = None) -> None:
+    """Put ``chunks`` in the place of all chunks of ``documents`` (matter, source_filename): only their matters' partitions are rewritten.
+
+    A document that has no chunk any more loses those it had, so nothing stale can be cited; without ``documents`` they are those of the chunks.
 
     The new partitions are written to ``staging`` first, as a path that is read can't be written by the same plan.
     """
     have = spark.read.parquet(path)
-    docs = chunks.select("matter", "source_filename").distinct()
-    rest = have.join(F.broadcast(docs.select("matter").distinct()), "matter", "left_semi").join(docs, ["matter", "source_filename"], "left_anti")
+    docs = chunks.select("matter", "source_filename")
+    if documents is not None:
+        docs = docs.unionByName(documents.select("matter", "source_filename"))
+    docs = docs.distinct()
+    rest = have.join(docs.select("matter").distinct(), "matter", "left_semi").join(docs, ["matter", "source_filename"], "left_anti")
     rest.unionByName(chunks.select(*rest.columns)).write.mode("overwrite").parquet(staging)
-    spark.read.schema(have.schema).parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("matter").parquet(path)
+    new = spark.read.schema(have.schema).parquet(staging)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("matter").parquet(path)
+    # a matter that has nothing left isn't in what was written, so its partition goes by itself
+    for r in docs.select("matter").distinct().join(new.select("matter").distinct(), "matter", "left_anti").toLocalIterator():
+        drop_matter(spark, path, r["matter"])
+
+
+def write_chunk_lines(chunks: DataFrame, path: str) -> None:
+    """Chunks as JSON lines."""
+    chunks.write.mode("overwrite").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines with the given columns; a line that can't be read stops the job, as a manifest must be whole."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def delete_document(spark: SparkSession, path: str, matter: str, filename: str, staging: str) -> None:
     have = spark.read.parquet(path)
-    have.where((F.col("matter") == matter) & (F.col("source_filename") != filename)).write.mode("overwrite").parquet(staging)
+    have.where((F.col("matter") == matter) & ~F.col("source_filename").eqNullSafe(F.lit(filename))).write.mode("overwrite").parquet(staging)
     left = spark.read.schema(have.schema).parquet(staging)
     if left.isEmpty():
         drop_matter(spark, path, matter)
@@ -73,7 +92,7 @@ def grid_rows(cells: DataFrame, questions: DataFrame) -> DataFrame:
     first = F.get("citations", 0)
     cite = F.when(first.isNotNull(), F.concat(first["filename"], F.lit(" p."), first["page"].cast("string"))).otherwise("")
     value = F.coalesce(F.trim(F.regexp_replace(first["span"], r"\s+", " ")), F.lit(""))
-    rows = cells.join(F.broadcast(questions.select(F.col("id").alias("question_id"), F.col("name").alias("Clause"))), "question_id")
+    rows = cells.join(questions.select(F.col("id").alias("question_id"), F.col("name").alias("Clause")), "question_id")
     return rows.select(F.col("filename").alias("Document"), "Clause", F.col("status").alias("Status"), F.col("verified_scope").alias("Check scope"), value.alias("Value"), cite.alias("Citation"))
 
 
@@ -86,7 +105,7 @@ def review_markdown(cells: DataFrame, questions: DataFrame) -> DataFrame:
     order = F.when(F.col("status") == "potentially_missing", 0).when(F.col("status") == "not_confirmed", 1).otherwise(2)
     safe = lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))
     names = questions.select(F.col("id").alias("question_id"), "name")
-    rows = cells.join(F.broadcast(names), "question_id").withColumn("row", F.concat(F.lit("| "), safe(F.col("name")), F.lit(" | "), "status", F.lit(" | "), safe(F.col("filename")), F.lit(" |")))
+    rows = cells.join(names, "question_id").withColumn("row", F.concat(F.lit("| "), safe(F.col("name")), F.lit(" | "), "status", F.lit(" | "), safe(F.col("filename")), F.lit(" |")))
     lines = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "name", "filename", "row"))), lambda x: x["row"])
     head = F.lit("| Clause | Status | Document |\n|---|---|---|\n")
     return rows.groupBy("matter").agg(F.concat(head, F.array_join(lines, "\n"), F.lit("\n\nA clause that was not found may still be there. Verify against the sources.\n")).alias("markdown"))
