@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
@@ -44,17 +44,11 @@ def work_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if spark not in _made:
         _made[spark] = []
-        atexit.register(lambda s=spark, paths=_made[spark]: [_delete(s, p) for p in paths])
+        atexit.register(lambda s=spark, paths=_made[spark]: [delete(s, p) for p in paths])
     _made[spark].append(path)
     return path
 
 
-def free(spark: SparkSession, table: DataFrame) -> None:
-    """Delete the files of a table that ``cut`` wrote, once what was made of it is written itself."""
-    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        _delete(spark, path)
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages survive lost executors without recomputing it."""
     spark = df.sparkSession

@@ -63,8 +63,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows with one id and equal texts one stays."""
-    named = docs.withColumn("__row", F.row_number().over(Window.partitionBy(f"`{id_col}`", F.sha2(normalised(F.col(f"`{text_col}`").cast("string")), 256)).orderBy(F.lit(1))))
+    """The rows of ``docs`` that stay, with all their columns; of rows with one id and equal texts the least one stays, by text and then by the other columns."""
+    own = F.col(f"`{text_col}`").cast("string")
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
+    named = docs.withColumn("__row", F.row_number().over(Window.partitionBy(f"`{id_col}`", F.sha2(normalised(own), 256)).orderBy(own, rest)))
     keep = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     same = named[f"`{id_col}`"].cast("long").eqNullSafe(keep["__id"]) & (F.sha2(normalised(named[f"`{text_col}`"].cast("string")), 256) == keep["__sha"])
     return named.where("__row = 1").join(keep, same, "left_semi").drop("__row")
