@@ -12,7 +12,6 @@ from .common import cut, spread_join
 LETTERS = "ABCDE"
 LEAST_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT, SIGNS = 200, 50, 3, "[#$%&*|]"
 WORD = r"[^\x20\x09-\x0D]+"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bits of a mask: a document's mask has bit k set if it fails filter LETTERS[k].
 MASKS = 1 << len(LETTERS)
 
@@ -28,10 +27,16 @@ def _read(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataFra
 
 
 def word_totals(rows: DataFrame) -> DataFrame:
-    """(key, n_words, n_distinct) of (key, text) that have words: exploded, counted per (key, word), then per key; equal keys add up."""
-    words = rows.select("key", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
-    counted = words.groupBy("key", "word").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("key").agg(F.sum("n").alias("n_words"), F.count(F.lit(1)).alias("n_distinct"))
+    """(key, n_words, n_distinct) of (key, text) that have words: exploded, counted per (row, word), then per row, then per key; equal rows add up.
+
+    Texts are dealt by row, so that both counts need no exchange of words: a text takes less room than its (row, word) pairs, and
+    rows that are equal go to different tasks.
+    """
+    dealt = rows.select("key", F.monotonically_increasing_id().alias("row"), "text").repartition("key", "row")
+    words = dealt.select("key", "row", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
+    counted = words.groupBy("key", "row", "word").agg(F.count(F.lit(1)).alias("n"))
+    totals = counted.groupBy("key", "row").agg(F.sum("n").alias("n_words"), F.count(F.lit(1)).alias("n_distinct"))
+    return totals.groupBy("key").agg(F.sum("n_words").alias("n_words"), F.max("n_distinct").alias("n_distinct"))
 
 
 def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
@@ -43,7 +48,7 @@ def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     rows = _read(docs, id_col, text_col, part_col)
     flags = rows.select(
         "key", "id", "part", F.unhex(F.sha2("text", 256)).alias("sha"),
-        (100 * (F.length("text") - F.length(F.translate("text", CAPITALS, ""))) > CAPITAL_PERCENT * F.length("text")).alias("c"),
+        (100 * F.regexp_count("text", F.lit("[A-Z]")).cast("long") > CAPITAL_PERCENT * F.length("text")).alias("c"),
         F.col("text").rlike(SIGNS).alias("d"),
     )
     flags = cut(flags.groupBy("key", "id", "part", "sha", "c", "d").agg(F.count(F.lit(1)).alias("copies")), "audit-flags")
