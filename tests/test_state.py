@@ -251,3 +251,24 @@ def test_cues_and_mails():
     assert extract._subtitles(cues, "vtt") == "[01:00:05] Ann Lee: Hi you <x>"
     mail = b"From: a@b.c\nSubject: S\nMIME-Version: 1.0\nContent-Type: text/html\n\n<p>Hi&nbsp;&amp; <b>bye</b></p>"
     assert extract._eml(mail, "eml") == "From: a@b.c\nSubject: S\n\nHi & bye"
+
+
+def test_arrows_in_speech_are_kept():
+    cues = b"WEBVTT\n\n1\n00:00:01.000 --> 00:00:02.000 align:start\nthen A --> B\n--> and on\n\n00:03 --> 00:04\nend\n"
+    assert extract._subtitles(cues, "vtt") == "[00:00:01] then A --> B\n--> and on\n[00:00:03] end"
+
+
+def test_a_forwarded_mail_is_not_the_body():
+    import email.message
+
+    inner = email.message.EmailMessage()
+    inner["Subject"] = "old"
+    inner.set_content("the forwarded text")
+    mail = email.message.EmailMessage()
+    mail["From"], mail["Subject"] = "a@b.c", "Fwd"
+    mail.set_content("<p>my own <b>words</b></p>", subtype="html")
+    mail.add_attachment(inner)
+    got = extract._eml(mail.as_bytes(), "eml")
+    assert "my own words" in got and "forwarded" not in got
+    odd = b"From: a@b.c\nSubject: S\nContent-Type: text/plain; charset=x-none\n\nB\xc3\xa9"
+    assert extract._eml(odd, "eml").endswith("Bé")

@@ -3,11 +3,14 @@
 import html
 import re
 
-from hypothesis import given, settings, strategies as st
+from hypothesis import example, given, settings, strategies as st
 
 from vellum.functions.text import QUOTES, answer_norm, fold, locate_span, normalise, visible_text
 
-TEXTS = st.text(alphabet=list("aB \n\t-\"'“’&;\\amp#39éİß😀\xa0"), max_size=60)
+TEXTS = st.one_of(
+    st.text(alphabet=list("aB \n\t-\"'“’&;\\amp#39éİß😀\xa0"), max_size=60),
+    st.lists(st.sampled_from(["&", ";", "\\", "'", '"', "&amp;", "&#39;", "&lt", "x", "-\n", " ", "&\\';", "’"]), max_size=14).map("".join),
+)
 
 
 def restated(text):
@@ -42,8 +45,10 @@ def restated(text):
     return "".join(c for c, _ in out), [p for _, p in out]
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(TEXTS)
+@example("&\\';")
+@example("a & b; \\\"c\\\" &amp; &x&lt;;")
 def test_normalise_is_its_restatement(text):
     norm, place = normalise(text)
     assert (norm, place.tolist()) == restated(text)
@@ -59,6 +64,20 @@ def test_a_piece_is_found_and_gives_its_own_normal_form_back(text, data):
         assert normalise(piece)[0].strip() in normalise(text[got[0] : got[1] + 12])[0] or normalise(text)[0].find(normalise(piece)[0].strip()) >= 0
 
 
+def test_escaped_quotes_beside_a_lone_ampersand():
+    assert locate_span('A & \\"B\\"; c', "A & B; c") == (0, 12) and locate_span("R&D \\'x\\'; y", "r&d x; y") is not None
+
+
+def test_nonblank_is_strip(spark):
+    from pyspark.sql import functions as F
+
+    from vellum.functions.text import nonblank, stripped
+
+    rows = [(x,) for x in ["", " \t\n", "\xa0\u2003\x1c\x85", " a ", "\u200b", None]]
+    got = spark.createDataFrame(rows, "t string").select("t", nonblank(F.col("t")).alias("n"), (stripped(F.col("t")) != "").alias("s")).collect()
+    assert all(r.n == r.s and (r.t is None or r.n == bool(r.t.strip())) for r in got)
+
+
 def test_known_pairs():
     assert locate_span("He said “yes” to the agree-\nment.", '"yes" to the agree-ment') == (9, 31) or locate_span("He said “yes” to the agree-\nment.", "yes to the agree-ment") is not None
     assert locate_span("Fish &amp; chips", "fish & chips") == (0, 16)

@@ -27,8 +27,13 @@ NORMALISED = T.StructType([T.StructField("norm", T.StringType()), T.StructField(
 _WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+def nonblank(text: Column) -> Column:
+    """Whether a text has a character that is no white space: the filter to use where its stripped form isn't needed."""
+    return text.rlike(_WHITE.replace("[", "[^", 1))
+
+
 def stripped(text: Column) -> Column:
-    """Without white space of any kind at the ends; ``trim`` alone takes spaces only."""
+    """Without white space of any kind at the ends; ``trim`` alone takes spaces only.  It rewrites the whole text."""
     return F.regexp_replace(text, f"^{_WHITE}++|(?<!{_WHITE}){_WHITE}++$", "")
 
 
@@ -85,13 +90,16 @@ def normalise(text: str | None) -> tuple[str, np.ndarray]:
     """
     text = text or ""
     parts, places, at = [], [], 0
-    for m in _ESCAPE_OR_ENTITY.finditer(text):
-        shown = "" if m[0][0] == "\\" else html.unescape(m[0])
-        if shown == m[0]:
-            continue
-        parts += [text[at : m.start()], shown]
-        places += [np.arange(at, m.start()), np.full(len(shown), m.start())]
-        at = m.end()
+    m = _ESCAPE_OR_ENTITY.search(text)
+    while m:
+        shown, end = "" if m[0][0] == "\\" else html.unescape(m[0]), m.end()
+        if shown == m[0]:  # no entity: what follows the ampersand is looked at again
+            end = m.start() + 1
+        else:
+            parts += [text[at : m.start()], shown]
+            places += [np.arange(at, m.start()), np.full(len(shown), m.start())]
+            at = end
+        m = _ESCAPE_OR_ENTITY.search(text, end)
     decoded = "".join([*parts, text[at:]])
     place = np.concatenate([*places, np.arange(at, len(text))]).astype(np.int32)
     parts, places, at = [], [], 0
@@ -132,7 +140,8 @@ def locate_span(text: str | None, span: str | None) -> tuple[int, int] | None:
 
 @batch_udf(T.StringType())
 def unescaped(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: html.unescape(t) if t and "&" in t else t)
+    """Texts without an ampersand pass as they are."""
+    return pd.Series([html.unescape(t) if t and "&" in t else t for t in text], dtype=object)
 
 
 # fixed values: what of a page isn't shown, what ends a line, and what a tag is
@@ -142,6 +151,5 @@ HIDDEN, LINE_END, TAG = r"(?is)<(script|style)\b.*?</\1>", r"(?i)<br\s*/?>|</(?:
 def visible_text(raw: Column) -> Column:
     """An HTML page's text: scripts and styles dropped, block ends as line ends, tags as spaces, entities decoded, lines trimmed."""
     shown = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, HIDDEN, " "), LINE_END, "\n"), TAG, " ")
-    text = F.when(shown.contains("&"), unescaped(shown)).otherwise(shown)
-    lines = F.transform(F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"^\s+|\s+$", ""))
+    lines = F.transform(F.split(unescaped(shown), "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"^\s+|\s+$", ""))
     return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")

@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.text import stripped
+from ..functions.text import nonblank, stripped
 from ..functions.udf import batch_udf
 
 # fixed values: window size, how far a window reaches for a line end, table piece size, tail carried to the next page,
@@ -68,7 +68,7 @@ def chunk_pages(pages: DataFrame) -> DataFrame:
     """
     doc = Window.partitionBy("matter", "source_filename").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
     carried = F.coalesce(F.last(_last_heading("page_text"), ignorenulls=True).over(doc), F.lit(""))
-    rows = pages.where(stripped(F.col("page_text")) != "").withColumn("carried", carried).withColumn("w", F.explode(_window_rows("page_text")))
+    rows = pages.where(nonblank(F.col("page_text"))).withColumn("carried", carried).withColumn("w", F.explode(_window_rows("page_text")))
     section = F.coalesce("w.heading", "carried")
     text = F.substring("page_text", F.col("w.char_start").cast("int") + 1, (F.col("w.char_end") - F.col("w.char_start")).cast("int"))
     cut = rows.select("source_filename", "matter", "document_type", F.col("source").alias("provenance"), "page_number", section.alias("section"), "w.char_start", "w.char_end", text.alias("text"))
@@ -115,7 +115,7 @@ def speakers(text: pd.Series) -> pd.Series:
 
 def transcript_chunks(pages: DataFrame) -> DataFrame:
     """One chunk per non-blank page of a transcript (matter, source_filename, page_number, page_text, numbered); who speaks and the end of the page before go into the embedding text only."""
-    rows = pages.where(stripped(F.col("page_text")) != "")
+    rows = pages.where(nonblank(F.col("page_text")))
     before = F.lag(F.regexp_replace(F.expr(f"right(page_text, {TAIL})"), "\n", " ")).over(Window.partitionBy("matter", "source_filename").orderBy("page_number"))
     who = F.when(F.col("numbered"), speakers("page_text")).otherwise(F.array().cast("array<string>"))
     note = F.when(F.size(who) > 0, F.concat(F.lit(" | Speakers: "), F.array_join(who, ", "))).otherwise("")

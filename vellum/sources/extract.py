@@ -56,6 +56,10 @@ def _said(line: str) -> str:
     return "".join(out)
 
 
+# what a whole line that gives a cue's time looks like; an arrow in speech is speech
+_TIMING = re.compile(r"(?:\d+:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?\s*-->\s*(?:\d+:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?(?:\s.*)?")
+
+
 def _clock(timing: str) -> str:
     """[hours:minutes:seconds] of where a cue starts."""
     *hours, minutes, seconds = timing.split("-->")[0].strip().replace(",", ".").split(":")
@@ -67,7 +71,7 @@ def _subtitles(body: bytes, suffix: str) -> str:
     out = []
     for block in re.split(r"(?:\r\n|\r|\n)[ \t]*(?:(?:\r\n|\r|\n)[ \t]*)+", body.decode("utf-8-sig", "replace")):
         lines = [x.strip() for x in block.splitlines() if x.strip()]
-        timing = next((k for k, x in enumerate(lines) if "-->" in x), None)
+        timing = next((k for k, x in enumerate(lines) if _TIMING.fullmatch(x)), None)
         if not lines or timing is None and lines[0].upper().startswith(NOT_CUES):
             continue
         said = [x for x in map(_said, lines[0 if timing is None else timing + 1 :]) if not x.isdigit()]
@@ -113,13 +117,31 @@ class _Words(HTMLParser):
         self.found.append(data)
 
 
+def _own_texts(part):
+    """A mail's text parts in order; what is attached, other mails among it, isn't entered."""
+    if part.get_content_disposition() == "attachment" or part.get_content_maintype() == "message":
+        return
+    if part.is_multipart():
+        for inner in part.iter_parts():
+            yield from _own_texts(inner)
+    elif part.get_content_maintype() == "text":
+        yield part
+
+
+def _said_by(part) -> str:
+    """A text part's text; a charset that nobody knows is read as UTF-8."""
+    try:
+        return part.get_content()
+    except LookupError:
+        return (part.get_payload(decode=True) or b"").decode("utf-8", "replace")
+
+
 def _eml(body: bytes, suffix: str) -> str:
     """Headers, the plain body or else the HTML one without tags, and the names of attachments."""
     mail = message(body)
     bodies: dict[str, str] = {}
-    for part in mail.walk():
-        if not part.is_multipart() and part.get_content_maintype() == "text" and part.get_content_disposition() != "attachment":
-            bodies.setdefault(part.get_content_subtype(), part.get_content())
+    for part in _own_texts(mail):
+        bodies.setdefault(part.get_content_subtype(), _said_by(part))
     if "plain" not in bodies and "html" in bodies:
         page = _Words()
         page.feed(bodies["html"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import stripped
+from ..functions.text import nonblank, stripped
 
 # fixed values: characters from which a page has text, image share from which it is a scan, OCR confidence that passes,
 # form rules' least length and greatest height, how far above a rule its value stands, and font sizes of values
@@ -26,7 +26,7 @@ def image_share(boxes: Column, width: Column, height: Column) -> Column:
 
 def ocr_lines(words: DataFrame) -> DataFrame:
     """Text and mean confidence of pages from words (page_id, block, par, line, word, text, conf); words of negative confidence don't count."""
-    real = words.where((F.col("conf") >= 0) & (stripped(F.col("text")) != ""))
+    real = words.where((F.col("conf") >= 0) & (nonblank(F.col("text"))))
     lines = real.groupBy("page_id", "block", "par", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "text"))), lambda w: w["text"]), " ").alias("text"), F.sum("conf").alias("conf"), F.count(F.lit(1)).alias("n"))
     rows = F.array_sort(F.collect_list(F.struct("block", "par", "line", "text")))
     return lines.groupBy("page_id").agg(F.array_join(F.transform(rows, lambda x: x["text"]), "\n").alias("page_text"), (F.sum("conf") / F.sum("n")).alias("ocr_confidence"))
@@ -34,7 +34,7 @@ def ocr_lines(words: DataFrame) -> DataFrame:
 
 def ocr_verdict(text: Column, confidence: Column) -> Column:
     """Why a page's OCR failed, null if it didn't."""
-    return F.when(stripped(F.coalesce(text, F.lit(""))) == "", "ocr found no text").when(confidence < CONFIDENT, F.concat(F.lit("ocr confidence "), F.round(confidence, 1).cast("string")))
+    return F.when(~nonblank(F.coalesce(text, F.lit(""))), "ocr found no text").when(confidence < CONFIDENT, F.concat(F.lit("ocr confidence "), F.round(confidence, 1).cast("string")))
 
 
 def merged_text(pages: DataFrame) -> DataFrame:

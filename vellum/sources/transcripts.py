@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import stripped
+from ..functions.text import nonblank
 
 from ..operators.catalog import line_map
 
@@ -27,7 +27,7 @@ def text_pages(texts: DataFrame) -> DataFrame:
 def numbered_lines(raw: DataFrame) -> DataFrame:
     """Lines with their number and content, those of pages that aren't numbered with null numbers."""
     line = F.nullif(F.regexp_extract("raw", GUTTER, 1), F.lit("")).cast("long")
-    rows = raw.where(stripped(F.col("raw")) != "").withColumn("line", line).withColumn("content", F.when(line.isNotNull(), F.rtrim(F.regexp_extract("raw", GUTTER, 2))).otherwise(F.col("raw")))
+    rows = raw.where(nonblank(F.col("raw"))).withColumn("line", line).withColumn("content", F.when(line.isNotNull(), F.rtrim(F.regexp_extract("raw", GUTTER, 2))).otherwise(F.col("raw")))
     page = Window.partitionBy("doc_id", "page")
     rows = rows.withColumn("numbered", F.avg(F.col("line").isNotNull().cast("double")).over(page) >= SHARE)
     return rows.where(~F.col("numbered") | F.col("line").isNotNull()).withColumn("line", F.when(F.col("numbered"), F.col("line"))).drop("raw")
