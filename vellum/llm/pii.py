@@ -212,11 +212,15 @@ def bootstrap(table: DataFrame) -> DataFrame:
     scores, links, words = sure, seeds.select("kind", "pattern", "instance"), None
     for k in range(ROUNDS):
         if k:
-            fresh = scores.where(F.col("score") >= SURE).join(sure, ["kind", "instance"], "left_anti").select("kind", "instance")
+            fresh = cut(scores.where(F.col("score") >= SURE).join(sure, ["kind", "instance"], "left_anti").select("kind", "instance"), "pii-fresh")
+            if fresh.isEmpty():  # the round would be the last one again
+                break
             links = seeds.select("kind", "pattern", "instance").unionByName(every.join(thin(fresh), "instance").select("kind", "pattern", "instance"))
         # only words that stand before enough seeds or accepted instances can be patterns; their count is bounded by those, not by the texts
         able = links.where("pattern is not null").groupBy("kind", "pattern").agg(F.count_distinct("instance").alias("seeds")).where(F.col("seeds") >= SUPPORT)
         able = cut(able.select("kind", "pattern"), "pii-patterns")
+        if words is None and able.isEmpty():  # no pattern has the support it needs, so nothing new can be found
+            return table.sparkSession.createDataFrame([], "id long, mark long, kind string, s int, e int")
         if words is None or not able.join(words, "pattern", "left_anti").isEmpty():
             words = able.select("pattern").distinct()
             others = cut(every.join(thin(words), "pattern", "left_semi"), "pii-candidates")
