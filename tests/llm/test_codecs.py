@@ -231,6 +231,18 @@ def test_boxes():
     assert media.parse(data[:40]) == [] and media.describe(b"")["payload"] == b""
 
 
+@pytest.mark.parametrize("bits, body", [(4, bytes([0x35])), (8, bytes([3, 5])), (16, bytes([0, 3, 0, 5]))])
+def test_compact_sizes(bits, body):
+    def track(n):
+        stbl = media.box(b"stbl", media.full(b"stz2", bytes([0, 0, 0, bits]) + struct.pack(">I", n) + body), media.full(b"stsc", struct.pack(">IIII", 1, 1, 2, 1)), media.full(b"co64", struct.pack(">IQ", 1, 9)))
+        return media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"minf", stbl))))
+
+    (t,) = media.parse(track(2))
+    assert list(t.ranges()) == [(9, 3), (12, 5)]
+    with pytest.raises(media.Malformed):
+        media.parse(track(9))
+
+
 def two_tracks(first, second):
     """A file of the tracks of two built ones, whose data lie in the same order."""
     boxes = []

@@ -1,7 +1,7 @@
 """ISO base media files in a column: building, storing, and reading their sample tables without decoding payloads.
 
-Samples of every track are read, those of sample tables (stsz) first and then those of movie fragments (trun).  Compact
-sample sizes (stz2) and edit lists aren't read.  Counts in a file are checked against the bytes there are before anything
+Samples of every track are read, those of sample tables (stsz, or stz2 with sizes of 4, 8 or 16 bits) first and then those of movie
+fragments (trun).  Edit lists aren't read.  Counts in a file are checked against the bytes there are before anything
 is made of them; a file whose tables can't be right is ``Malformed``, which makes one row that says so and stops no job.
 """
 
@@ -260,6 +260,14 @@ def _field(t: Track, fragments: "_Fragments", view: memoryview, kind: bytes, at:
         if not each and 4 * n > len(view) - at - 12:
             raise Malformed("stsz has fewer entries than it says")
         t.sizes = (each, n) if each else list(struct.unpack_from(f">{n}I", view, at + 12))
+    elif kind == b"stz2":
+        bits, n = view[at + 7], struct.unpack_from(">I", view, at + 8)[0]
+        if bits not in (4, 8, 16) or (n * bits + 7) // 8 > len(view) - at - 12:
+            raise Malformed("stz2 has fewer entries than it says, or of no known width")
+        if bits == 4:  # the first of two in the high half
+            t.sizes = [x for b in view[at + 12 : at + 12 + (n + 1) // 2] for x in (b >> 4, b & 15)][:n]
+        else:
+            t.sizes = list(struct.unpack_from(f">{n}{'B' if bits == 8 else 'H'}", view, at + 12))
 
 
 def _check(t: Track, length: int) -> None:
