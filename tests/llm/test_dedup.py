@@ -170,3 +170,35 @@ def test_windows_of_any_size_and_hot_places(spark, monkeypatch, size):
     data = odd.rows(4) + [(8000 + i, " ".join([f"n{rng.random()}"] + passage[rng.randrange(10) :] + passage[: rng.randrange(90)]), None, None, 1) for i in range(30)]
     got = substring_dedup.without_duplicates(odd.clashing(odd.frame(spark, data)), size)
     assert ordered(r[:4] for r in got.collect()) == brute_passages(data, size)
+
+
+def test_one_copy_is_one_factor(spark):
+    rng = random.Random(8)
+    passage = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+    data = [(1, " ".join(["a b c", *passage, "d"]), None, None, 1), (2, " ".join([f"x{i}" for i in range(77)] + passage), None, None, 1), (3, "other words", None, None, 1)]
+    spans = substring_dedup.duplicate_spans(odd.frame(spark, data), 35).collect()
+    assert ordered(spans) == [(1, 3, 1000, 2, 77), (2, 77, 1000, 1, 3)]
+
+
+def test_hashes_hold_against_chosen_texts(spark):
+    """Thue-Morse words and sequences, which meet in any polynomial modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    one, two = ("".join("ab"[b ^ k] for b in bits[:1024]) for k in (0, 1))
+    data = [(1, one, None, None, 1), (2, two, None, None, 1)]
+    assert [r.component_id for r in ngram_join.near_duplicates(odd.frame(spark, data), 3, 90).sort("doc_id").collect()] == [1, 2]
+    seq = [" ".join(("ab", "cd")[b ^ k] for b in bits) for k in (0, 1)]
+    words = [" ".join([one] * 20 + [f"{k}"] + [two] * 20) for k in (0, 1)] + [" ".join([two] * 20 + ["2"] + [one] * 20)]
+    data = [(i, t, None, None, 1) for i, t in enumerate([seq[0], seq[1], seq[0], seq[1], *words])]
+    got = substring_dedup.without_duplicates(odd.frame(spark, data), 35)
+    assert ordered(r[:4] for r in got.collect()) == brute_passages(data, 35)
+
+
+def test_equal_rows_of_one_key_are_dealt_to_all_tasks(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select("id", F.lit(7).alias("k"), F.lit(5).alias("mark"), F.lit(0).alias("first"))
+    side = spark.createDataFrame([(7, 20_000), (8, 1)], "k int, n long")
+    for by in (("id",), ("id", "first"), ("id", "mark")):
+        dealt = common.spread_join(rows, side, ["k"], "n", by=by)
+        found = dealt.hint("merge").groupBy(F.pmod(F.xxhash64(*by), F.lit(20_000 // common.HOT_LEAST + 1)).alias("salt")).count().collect()
+        assert dealt.count() == 20_000 and max(r["count"] for r in found) < 2 * 20_000 / len(found)

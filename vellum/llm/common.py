@@ -80,10 +80,11 @@ def thin(side: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(side) if n <= BROADCAST_ROWS else side
 
 
-def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], matches: str, how: str = "inner", by: str = "id") -> DataFrame:
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], matches: str, how: str = "inner", by: tuple[str, ...] = ("id",)) -> DataFrame:
     """``rows`` joined with ``side``, whose rows have distinct keys and say in ``matches`` how many of ``rows`` they meet; that column goes.
 
-    A key that meets more than 1/HOT_KEYS of all is split over tasks by a hash of the column ``by``: there are fewer than
+    A key that meets more than 1/HOT_KEYS of all is split over tasks by a hash of the columns ``by``, which tell apart rows that are
+    else equal, as copies are (their ids; hashes of their texts or places in them are the same): there are fewer than
     HOT_KEYS such keys, so they are broadcast whatever the input.  ``side`` is read twice and should be a written table.
     """
     total, longest = side.agg(F.sum(matches), F.max(matches)).first()
@@ -92,7 +93,7 @@ def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], matches: str,
         return rows.join(side.drop(matches), keys, how)
     parts = F.ceil(F.col(matches) / most).cast("int")
     hot = side.where(F.col(matches) > most).select(*keys, parts.alias("__parts"))
-    salt = F.pmod(F.xxhash64(by), F.coalesce("__parts", F.lit(1))).cast("int")
+    salt = F.pmod(F.xxhash64(*by), F.coalesce("__parts", F.lit(1))).cast("int")
     salted = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__parts")
     other = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(matches)
     return salted.join(other, [*keys, "__salt"], how).drop("__salt")

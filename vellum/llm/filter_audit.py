@@ -53,7 +53,7 @@ def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     )
     flags = cut(flags.groupBy("key", "id", "part", "sha", "c", "d").agg(F.count(F.lit(1)).alias("copies")), "audit-flags")
     texts = flags.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("matches")).where("matches > 1")
-    flags = spread_join(flags, cut(texts, "audit-texts"), ["sha"], "matches", "left", by="key")
+    flags = spread_join(flags, cut(texts, "audit-texts"), ["sha"], "matches", "left", by=("key",))
     both = flags.join(word_totals(rows), "key", "full_outer")
     n_words = F.coalesce(F.col("n_words") / F.col("copies"), F.lit(0)).cast("long")
     failed = [

@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow_schema, cut, id_text, spread_join, thin
-from .wordhash import encoded, grouped, shingles, words
+from .wordhash import encoded, grouped, new_key, shingles, words
 
 #: Partners of one set that meet in a task, and entries of a list.
 PARTNERS = 256
@@ -38,9 +39,16 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+class Shingling(NamedTuple):
+    """Words of a shingle, and the key of all hashes of this run."""
+
+    size: int
+    key: int
+
+
+def _sets(batches: Iterator[pa.RecordBatch], how: Shingling) -> Iterator[tuple[list, list[np.ndarray]]]:
     for ids, texts in grouped(encoded(batches)):
-        yield ids, list(shingles(words(texts, lower=True), size))
+        yield ids, list(shingles(words(texts, lower=True, key=how.key), how.size))
 
 
 def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +72,7 @@ def _counts_in(hot: tuple[np.ndarray, np.ndarray], s: np.ndarray) -> np.ndarray:
     return np.where(tok[at] == s, cnt[at], 0)
 
 
-def _hot(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _hot(docs: DataFrame, how: Shingling, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles and their counts.
 
     They are first counted over twice every document's prefix in order of hashes.  Where so many of those are frequent that
@@ -79,14 +87,14 @@ def _hot(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarray, np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(cnt.astype(np.int64))], schema=arrow_schema(counted))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, size):
+        for _, sets in _sets(batches, how):
             yield from summed([s[: 2 * prefix_length(len(s), percent)] for s in sets])
 
     found = _most_frequent(docs.mapInArrow(first, counted))
     sent = docs.sparkSession.sparkContext.broadcast(found)
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, size):
+        for _, sets in _sets(batches, how):
             some = []
             for s in sets:
                 p = prefix_length(len(s), percent)
@@ -107,22 +115,22 @@ def _lists(some: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*some, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _sliced(batches: Iterator[pa.RecordBatch], how: Shingling) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Rows whose first two columns are id and text, and their sets."""
     for b in batches:
         at = 0
-        for _, sets in _sets(iter([b.select([0, 1])]), size):
+        for _, sets in _sets(iter([b.select([0, 1])]), how):
             yield b.slice(at, len(sets)), sets
             at += len(sets)
 
 
-def _prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, how: Shingling, percent: int) -> DataFrame:
     """Each document's set size, digests of its set and its prefix, the prefix, and as many shingles after it; ``mark`` is a hash of the text."""
-    sent = docs.sparkSession.sparkContext.broadcast(_hot(docs, size, percent))
+    sent = docs.sparkSession.sparkContext.broadcast(_hot(docs, how, percent))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, hot = arrow_schema(PREFIXES), sent.value
-        for b, sets in _sliced(batches, size):
+        for b, sets in _sliced(batches, how):
             sdig, pdig, prefix, second = [], [], [], []
             for s in sets:
                 p = prefix_length(len(s), percent)
@@ -137,13 +145,13 @@ def _prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("id", "text", "mark").mapInArrow(task, PREFIXES)
 
 
-def _with_sets(rows: DataFrame, size: int) -> DataFrame:
+def _with_sets(rows: DataFrame, how: Shingling) -> DataFrame:
     """(a, b, set) of those rows (id, text, a, b, sdig) whose text has the set of that digest: rows that share an id and a mark are told apart."""
     out = "a long, b long, set array<long>"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(out)
-        for b, sets in _sliced(batches, size):
+        for b, sets in _sliced(batches, how):
             own = [k for k, (s, d) in enumerate(zip(sets, b.column(4).to_pylist(), strict=True)) if _digest(s) == d]
             if own:
                 b = b.take(pa.array(own))
@@ -152,7 +160,7 @@ def _with_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("id", "text", "a", "b", "sdig").mapInArrow(task, out)
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, how: Shingling, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) of sets' numbers whose whole sets link.
 
     A pair's set of b moves to where a's is, once; an a with many partners is split over tasks.
@@ -161,7 +169,7 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, per
     rows = pairs.count()
 
     def fetched(wanted: DataFrame) -> DataFrame:
-        return _with_sets(docs.join(thin(wanted, rows), ["id", "mark"]), size)
+        return _with_sets(docs.join(thin(wanted, rows), ["id", "mark"]), how)
 
     where = sets.select("sid", "id", "mark", "sdig")
     left = fetched(asked.join(where, F.col("a") == F.col("sid")).select("id", "mark", "a", F.lit(0).cast("long").alias("b"), "sdig"))
@@ -221,7 +229,7 @@ def _apart(postings: DataFrame, keys: list[str], which: str, percent: int | None
     trees = postings.groupBy(*keys, "lo").agg(F.count(F.lit(1)).alias("c"), F.max("hi").alias("hi"))
     lists = trees.groupBy(*keys).agg(F.max_by("lo", "c").alias("top"), F.sum("c").alias("c"), F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h")
     lists = cut(lists.select(*keys, "top", "c"), "lists")
-    mixed = cut(spread_join(postings, lists.withColumn("n_met", F.col("c")), keys, "n_met", by=which), "mixed")
+    mixed = cut(spread_join(postings, lists.withColumn("n_met", F.col("c")), keys, "n_met", by=(which,)), "mixed")
     parts = F.ceil(F.col("c") / PARTNERS).cast("int")
     rest = ["lo", "hi", which, *["n", "pos"] * (percent is not None)]
     one = mixed.where("lo <> hi or lo <> top").select(*keys, F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), *[F.col(c).alias(f"{c}_a") for c in rest])
@@ -235,8 +243,9 @@ def _apart(postings: DataFrame, keys: list[str], which: str, percent: int | None
 
 def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(id, mark, n, first) of every row: ``first`` is the id and mark of its class's least row, null for a row without id or without words."""
+    how = Shingling(shingle, new_key())
     base = id_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
-    x = cut(_prefixes(base, shingle, percent), "prefixes")
+    x = cut(_prefixes(base, how, percent), "prefixes")
     node = ["n", "sdig"]
     real = x.where("n > 0 and id is not null")
     first = F.min(F.struct("id", "mark")).alias("first")
@@ -253,7 +262,7 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     heads = real.select("id", "mark", "n", "sdig", "prefix").join(heads, ["id", "mark", "sdig"]).groupBy(F.col("sid").alias("gid"), "n").agg(F.first("prefix").alias("prefix"))
     posted = cut(heads.select("gid", "n", F.posexplode("prefix").alias("pos", "tok")), "prefix-places")
     lists = cut(posted.groupBy("tok").agg(F.min(F.struct("gid", "n", "pos")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1"), "lists")
-    posted = cut(spread_join(posted, lists, ["tok"], "c", by="gid"), "postings")
+    posted = cut(spread_join(posted, lists, ["tok"], "c", by=("gid",)), "postings")
 
     hub = F.col("hub")
     best = posted.where((F.col("gid") > hub["gid"]) & _fits(percent, (F.col("n"), F.col("pos")), (hub["n"], hub["pos"]))).groupBy("gid", hub["gid"].alias("a")).agg(F.count(F.lit(1)).alias("c"))
@@ -261,7 +270,7 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     grouped_sets = cut(sets.select("sid", "n", "pdig").join(groups, ["n", "pdig"]).select("sid", "n", "gid", "members"), "grouped")
     own = grouped_sets.where("sid > gid").select(F.col("gid").alias("a"), F.col("sid").alias("b"))
     asked = cut(best.unionByName(own).distinct(), "pairs")
-    links = cut(_verified(texts, sets, asked, shingle, percent), "verified")
+    links = cut(_verified(texts, sets, asked, how, percent), "verified")
     roots = _roots(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent")))
 
     # pairs of groups that share a prefix shingle and don't lie in one tree, filtered, then expanded to members of different trees
@@ -277,7 +286,7 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     next_few = real.select("id", "mark", "sdig", "second").join(split, ["id", "mark", "sdig"]).groupBy("sid", "gid", "root").agg(F.first("second").alias("second"))
     within = _apart(next_few.select("gid", "sid", F.col("root").alias("lo"), F.col("root").alias("hi"), F.explode("second").alias("tok")), ["gid", "tok"], "sid")
     pairs = cut(across.unionByName(within).distinct().join(asked, ["a", "b"], "left_anti"), "pairs")
-    more = links.unionByName(_verified(texts, sets, pairs, shingle, percent))
+    more = links.unionByName(_verified(texts, sets, pairs, how, percent))
 
     # links between trees, and those that the trees left out
     up = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
@@ -288,7 +297,7 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     label = label.join(sets.select("sid", *node, "first", "rows"), "sid")
     least = label.groupBy("top").agg(F.min("first").alias("least"))
     label = cut(label.join(least, "top").select(*node, F.col("least").alias("first"), "rows"), "labels")
-    out = spread_join(x.select("id", "mark", *node), label, node, "rows", "left", by="mark")
+    out = spread_join(x.select("id", "mark", *node), label, node, "rows", "left", by=("id", "mark"))
     return out.select("id", "mark", "n", F.when(F.col("id").isNotNull(), F.col("first")).alias("first"))
 
 
@@ -300,6 +309,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     Sets link when 100 * intersection >= ``percent`` * union.  Every row is one row of the result and is judged by its own
     text, also where rows share an id: an id that two texts share links neither.  Rows without id link with nothing and have
     a null component; a row that links with nothing has its own id; an empty table gives no rows; other columns are ignored.
+    Words and shingles stand for themselves by 64-bit hashes whose key is drawn anew for each run (:mod:`wordhash`).
     """
     found = _classes(docs, shingle, percent, id_col, text_col)
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("first.id", "id").alias("component_id"))

@@ -5,8 +5,10 @@ The index of blocks holds phrases: each window of ``size`` words chooses the lea
 anchor, and the neighbouring windows with one anchor form a phrase.  Equal windows have equal anchors, so looking up
 a document's phrases by anchor gives seeds: places of blocks at which the words may go on as they do in the document.
 
-A document is parsed greedily from left to right: at the first seed that no factor holds, every block that has a seed there
-is followed word by word, and the longest stretch of at least ``size`` equal words becomes a factor.  At a factor's end
+A document is parsed greedily from left to right: at the first seed that no factor holds, every block that its seeds name is
+followed word by word, and the longest stretch of at least ``size`` equal words becomes a factor, which goes on over the borders of
+blocks.  A seed names one of the places with its words (the least, or the greatest for the least itself), as following all of
+those that a common passage has would be the square of them; so a factor is the longest among the named places.  At a factor's end
 the windows across the boundary are tried in the same way, so factors overlap where both sides are copied.  What factors
 cover is removed: it holds every window that also starts elsewhere, and nothing else, as the words themselves are compared.
 """
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow_schema, cut, id_text, slices, spread_join
-from .wordhash import _power, encoded, grouped, mix, words
+from .wordhash import encoded, grouped, mix, new_key, odd_numbers, words
 
 SIZE, GRAM = 35, 8
 #: Words of a reference block, besides those that its last phrase goes on for.
@@ -40,17 +42,39 @@ SPANS = "doc_id long, first_word long, words long, ref_doc_id long, ref_word lon
 
 
 class _Parsed:
-    """Hashes of all word sequences of some texts."""
+    """Hashes of all word sequences of some texts.
 
-    def __init__(self, texts: list[bytes], size: int):
-        self.w, self.size = words(texts, lower=False), size
-        h = self.w.hashes
-        self.up, self.down = _power(len(h) + 1)
-        self.total = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * self.up[:-1], out=self.total[1:])
+    The hash of 2^k words is made of those of its halves, and that of any number of the first and the last 2^k of its words; each step
+    multiplies by its own keyed number and folds, so no pattern of words makes hashes meet.
+    """
+
+    def __init__(self, texts: list[bytes], size: int, key: int):
+        self.w, self.size = words(texts, lower=False, key=key), size
+        self.odd, self.levels = odd_numbers(key, 66), [self.w.hashes]
+
+    def _pair(self, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+        x = (a ^ self.odd[k]) * self.odd[k + 1]
+        x = ((x ^ (x >> np.uint64(32))) + b) * self.odd[k + 2]
+        return x ^ (x >> np.uint64(29))
+
+    def _twice(self, k: int) -> np.ndarray:
+        """Of every 2^k words."""
+        while len(self.levels) <= k:
+            last, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            n = max(0, len(last) - step)
+            self.levels.append(self._pair(last[:n], last[step : step + n], len(self.levels) - 1))
+        return self.levels[k]
 
     def run(self, first: np.ndarray, length) -> np.ndarray:
-        return mix((self.total[first + length] - self.total[first]) * self.down[first] + np.asarray(length, np.uint64))
+        """Of ``length`` words from ``first`` on; one length for all or one for each."""
+        length = np.broadcast_to(np.asarray(length, np.int64), first.shape)
+        out, wide = np.zeros(len(first), np.uint64), np.frexp(length)[1] - 1
+        for k in np.unique(wide).tolist():
+            own = slice(None) if wide.min() == wide.max() else wide == k
+            at, n = first[own], length[own]
+            some = self._twice(k)
+            out[own] = mix(self._pair(some[at], some[at + n - (1 << k)], 63) + n.astype(np.uint64))
+        return out
 
     def phrases(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each text with a window: its number and its phrases' anchors, hashes, first words and windows."""
@@ -82,7 +106,7 @@ def _rows(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_column(c) for c in columns], schema=arrow_schema(names))
 
 
-def _phrases(docs: DataFrame, size: int, anchors_only: bool) -> DataFrame:
+def _phrases(docs: DataFrame, size: int, key: int, anchors_only: bool) -> DataFrame:
     """Phrases of rows (id, text, mark), or their anchors and how often each is met."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +114,7 @@ def _phrases(docs: DataFrame, size: int, anchors_only: bool) -> DataFrame:
             at = 0
             for _, texts in grouped(encoded(iter([b.select([0, 1])]))):
                 ids, marks, at = b.column(0).slice(at, len(texts)), b.column(2).slice(at, len(texts)), at + len(texts)
-                got = list(_Parsed(texts, size).phrases())
+                got = list(_Parsed(texts, size, key).phrases())
                 if not got:
                     continue
                 anchor = np.concatenate([g[1] for g in got])
@@ -120,13 +144,13 @@ def _joined(task, names: str):
     return run
 
 
-def _windows(rows: DataFrame, size: int) -> DataFrame:
+def _windows(rows: DataFrame, size: int, key: int) -> DataFrame:
     """The windows of phrases: of rows (id, text, mark, asked), where asked has the phrases' anchors, first words, windows and m."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             for i, t, mark, asked in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                p = _Parsed([t.encode("utf-8", "replace")], size)
+                p = _Parsed([t.encode("utf-8", "replace")], size, key)
                 first = np.array([x["first"] for x in asked], np.int64)
                 count = np.array([x["windows"] for x in asked], np.int64)
                 n = int(count.sum())
@@ -151,23 +175,23 @@ def seeds(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     Places are told apart by id and by ``mark``, a hash of the text.  Rows that repeat both have the same places and are counted as often.
     """
-    texts = docs.where("text is not null")
-    twice = cut(_phrases(texts, size, anchors_only=True).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
-    met = cut(spread_join(_phrases(texts, size, anchors_only=False), twice, ["anchor"], "n", by="first"), "phrases")
+    texts, key = docs.where("text is not null"), new_key()
+    twice = cut(_phrases(texts, size, key, anchors_only=True).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
+    met = cut(spread_join(_phrases(texts, size, key, anchors_only=False), twice, ["anchor"], "n", by=("id", "first")), "phrases")
     where = F.struct("id", "mark", "first")
     kinds = met.groupBy("anchor", "phrase", "windows").agg(F.count(F.lit(1)).alias("m"), F.min(where).alias("lo"), F.max(where).alias("hi"))
     kinds = cut(kinds, "kinds")
     kind = ["anchor", "phrase", "windows"]
-    whole = spread_join(met, kinds.where("m > 1").select(*kind, "m", "lo", "hi"), kind, "m", by="first").select("id", "mark", "first", "windows", _other(where).alias("ref"))
+    whole = spread_join(met, kinds.where("m > 1").select(*kind, "m", "lo", "hi"), kind, "m", by=("id", "first")).select("id", "mark", "first", "windows", _other(where).alias("ref"))
     # phrases of one anchor that aren't equal can still share windows
     mixed = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "mixed")
-    asked = spread_join(kinds.select(*kind, "m", "lo"), mixed, ["anchor"], "k", by="phrase")
+    asked = spread_join(kinds.select(*kind, "m", "lo"), mixed, ["anchor"], "k", by=("phrase",))
     asked = asked.groupBy("lo.id", "lo.mark").agg(F.collect_list(F.struct("anchor", F.col("lo.first").alias("first"), "windows", "m")).alias("asked"))
     asked = cut(asked, "asked")
-    wins = cut(_windows(_with_text(texts, asked, "asked", ["asked"]), size), "windows")
+    wins = cut(_windows(_with_text(texts, asked, "asked", ["asked"]), size, key), "windows")
     again = wins.groupBy("anchor", "win").agg(F.sum("m").alias("all"), F.count(F.lit(1)).alias("c"), F.min(where).alias("lo"), F.max(where).alias("hi")).where("all > 1")
     again = cut(again.select("anchor", "win", "c", "lo", "hi"), "again")
-    single = spread_join(wins.where("m = 1"), again, ["anchor", "win"], "c", by="first").select("id", "mark", "first", F.lit(1).cast("long").alias("windows"), _other(where).alias("ref"))
+    single = spread_join(wins.where("m = 1"), again, ["anchor", "win"], "c", by=("id", "first")).select("id", "mark", "first", F.lit(1).cast("long").alias("windows"), _other(where).alias("ref"))
     return whole.unionByName(single)
 
 
@@ -212,7 +236,7 @@ def greedy_factors(w: list[bytes], found: list[tuple], size: int) -> list[tuple[
 
     ``found`` are blocks: (reference, its number, its words, seeds), and seeds are (first word here, windows, first word there).  The factor
     from a place is the longest of those that its blocks give; a seed that a factor holds isn't followed, one that goes on across a
-    factor's end is followed from the first window that does.
+    factor's end is followed from the first window that does.  A factor goes on over the borders of its reference's blocks.
     """
     starts = sorted(((first, windows, there, k) for k, (_, _, _, own) in enumerate(found) for first, windows, there in own))
     out, end, at = [], 0, 0
@@ -230,11 +254,15 @@ def greedy_factors(w: list[bytes], found: list[tuple], size: int) -> list[tuple[
                 continue
             ref, number, words_there, _ = found[which]
             got = _stretch(w, place, words_there, there + place - s - number * BLOCK)
-            if got > best[0]:
+            goes_on = out and out[-1][2:] == (ref, there + place - s - (place - out[-1][0]))
+            if got > best[0] or got == best[0] and goes_on:
                 best = (got, ref, there + place - s)
         if best[0] >= size:
-            out.append((place, *best))
             end = place + best[0]
+            if out and place <= sum(out[-1][:2]) and out[-1][2:] == (best[1], best[2] - (place - out[-1][0])):
+                out[-1] = (out[-1][0], end - out[-1][0], *out[-1][2:])  # the next block of the same document: one factor
+            else:
+                out.append((place, *best))
             continue
         at += 1  # hashes were equal and words aren't: the seed's next window may do
         if place + 1 < first + windows:
@@ -251,7 +279,7 @@ def _parsed(docs: DataFrame, size: int, names: str, row) -> DataFrame:
     wanted = cut(found.groupBy(*block).agg(F.count(F.lit(1)).alias("c")), "wanted")
     asked = cut(wanted.groupBy(F.col("ref_key").alias("id"), F.col("ref_mark").alias("mark")).agg(F.collect_list("block").alias("blocks")), "asked-blocks")
     blocks = _blocks(_with_text(docs.where("text is not null"), asked, "blocks", ["blocks"]), size).groupBy(*block).agg(F.first("words").alias("words"))
-    near = spread_join(found, cut(blocks.join(wanted, block), "blocks"), block, "c", by="mark")
+    near = spread_join(found, cut(blocks.join(wanted, block), "blocks"), block, "c", by=("key", "mark"))
     near = near.groupBy("key", "mark").agg(F.collect_list(F.struct("ref_key", "block", "words", "own")).alias("found"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,34 +1,42 @@
-"""Hashes of the words and word n-grams of many whole texts at once."""
+"""Keyed hashes of the words and word n-grams of many whole texts at once.
+
+Texts may be chosen so that hashes which anybody can compute collide, so every hash here depends on a key that is drawn anew for each
+run (``new_key``) and handed to its tasks: two words of at most LONG bytes then have one hash with a chance of 2^-64, whatever they
+are (a random number for each byte at each place, added up), and longer ones that of a keyed BLAKE2.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Odd, and one more than a number with only two factors of 2: powers repeat late.
-_R = np.uint64(0x9E3779B97F4A7C15 & ~7 | 5)
-_R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Bytes of text worked on at once, where texts are shorter.
-SOME = 1 << 19
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of text worked on at once, where texts are shorter; bytes of a word that are hashed by place.
+SOME, LONG = 1 << 19, 64
+
+
+def new_key() -> int:
+    """A key for one run; drawn on the driver, as all tasks of a run need the same one."""
+    return secrets.randbits(63)
+
+
+@lru_cache(4)
+def _table(key: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(key)).integers(0, 2**64, LONG * 256, dtype=np.uint64)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        m = max(n, SOME + (1 << 18))
-        for k, r in enumerate((_R, _R_INV)):
-            x = np.full(m, r, np.uint64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+@lru_cache(4)
+def odd_numbers(key: int, n: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64([key, n])).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,7 +57,7 @@ class Words:
     bounds: np.ndarray
 
 
-def words(texts: list[bytes], lower: bool) -> Words:
+def words(texts: list[bytes], lower: bool, key: int) -> Words:
     """Words are runs of bytes that are not ASCII white space; ``lower`` folds A-Z."""
     data = b" ".join([*texts, b""])
     b = np.frombuffer(data, np.uint8)
@@ -58,10 +66,14 @@ def words(texts: list[bytes], lower: bool) -> Words:
     word = ~_SPACE[b]
     edge = np.diff(np.concatenate(([False], word, [False])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _power(len(b) + 1)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * up[:-1], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    size = ends - starts
+    place = np.arange(len(b), dtype=np.int32)[word] - np.repeat(starts.astype(np.int32), size)
+    value = _table(key)[np.minimum(place, LONG - 1) * 256 + b[word]]
+    first = np.cumsum(size) - size
+    hashes = mix(np.add.reduceat(value, first) + size.astype(np.uint64)) if len(size) else np.zeros(0, np.uint64)
+    for k in np.flatnonzero(size > LONG).tolist():
+        whole = b[starts[k] : ends[k]].tobytes()
+        hashes[k] = int.from_bytes(hashlib.blake2b(whole, digest_size=8, key=key.to_bytes(8, "big")).digest(), "big")
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
     bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
     return Words(data, hashes, starts, ends, bounds)
