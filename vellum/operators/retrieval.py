@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import search_norm
-from ..functions.vectors import squared_l2
+from .dense import dense_topk
 
 # fixed values: RRF's constant, candidates of an arm, snippet lengths, limits of a result page
 RRF_K, CANDIDATES, SNIPPET, BEFORE, MOST_ROWS = 60, 20, 240, 80, 100
@@ -43,21 +43,9 @@ def _best(rows: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).where(F.col("rank") < k)
 
 
-def dense_topk(questions: DataFrame, items: DataFrame, k: int, key: list[str], scope: str | None = None, question_key: str = "qid", digits: int = 9) -> DataFrame:
-    """The k nearest items of each question by squared L2 distance, exact; ``rank`` starts at 0.
-
-    ``questions`` has question_key, ``vector`` and, with a scope, its column; it is a stated set of questions, sent to where the items
-    are, so items are neither shuffled nor sorted: each task keeps its best k per question before any exchange.
-    """
-    q = questions.withColumnRenamed("vector", "qvec")
-    sent = q.select(question_key, "qvec", *([F.col(scope).alias("_scope")] if scope else []))
-    pairs = items.join(F.broadcast(sent), F.col("_scope") == items[scope] if scope else F.lit(True))
-    return _best(pairs.withColumn("distance", F.round(squared_l2(F.col("vector"), F.col("qvec")), digits)).drop("qvec", "_scope", "vector"), k, [question_key], F.col("distance"), *[F.col(c) for c in key])
-
-
 def terms(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    """Lower-case runs of letters and digits; a null text has none, so it counts as one of no length."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def postings(chunks: DataFrame, key: list[str], scope: str = "matter") -> DataFrame:

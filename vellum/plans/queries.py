@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.keys import fact_key
 from ..functions.text import located, normalised, plain_norm, slug, visible_text
-from ..operators import catalog, chunking, evals, facts, ingest, retention, retrieval, review, verification
+from ..operators import catalog, chunking, evals, facts, ingest, lexical_index, retention, retrieval, review, verification
+from ..sources.store import shared_path
 from ..streaming.watch import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,6 +203,39 @@ def hybrid_rrf(spark, d):
     return got.select("qid", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {_BM25} SELECT qid, matter, doc_id, round(score, 6) AS score, rank FROM lex WHERE rank < 5")
+def bm25_index_topk(spark, d):
+    """From a stored index: English documents make its first segment, all others are appended."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("matter"), "text", (F.col("lang") == "en").alias("first"))
+    path = shared_path(spark, "index")
+    lexical_index.build(docs.where("first"), path, ["doc_id"])
+    lexical_index.append(docs.where("first is null or not first"), path)
+    got = lexical_index.topk(_questions(spark, d), path, 5)
+    return got.select("qid", "matter", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_WITH_VECTORS = "dv AS (SELECT d.* FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id), bv AS (SELECT b.* FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id)"
+
+
+@query(f"""WITH {_WITH_VECTORS}, {_BM25.replace("FROM documents", "FROM dv").replace("FROM benchmark", "FROM bv")},
+    e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+    near AS (SELECT item_id AS qid, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(list_sum(list_transform(list_zip(q.v, e.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), 9), doc_id) - 1 AS rank
+             FROM bv JOIN e q ON q.vec_id = item_id JOIN dv ON source = 'src' || (item_id % 20) JOIN e ON e.vec_id = doc_id),
+    both_arms AS (SELECT qid, doc_id, rank, 0 AS arm FROM near WHERE rank < 20 UNION ALL SELECT qid, doc_id, rank, 1 FROM lex WHERE rank < 20),
+    f AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(arm * 1000 + rank) AS seen FROM both_arms GROUP BY qid, doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen) - 1 AS rank FROM f)
+    SELECT qid, doc_id, round(score, 9) AS score, rank FROM r WHERE rank < 10""")
+def hybrid_ranked(spark, d):
+    """Both arms by the engine's own ``hybrid``: documents and questions that have a vector of the same number."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("matter"), "text")
+    chunks = docs.join(v, docs["doc_id"] == v["id"]).drop("id")
+    q = _questions(spark, d)
+    q = q.join(v, q["qid"] == v["id"]).drop("id")
+    got = retrieval.hybrid(q, chunks, 10, ["doc_id"])
+    return got.select("qid", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 _ANCHOR_SQL = retrieval.ANCHORS.replace("'", "''")
 
 
