@@ -120,7 +120,8 @@ def audit_chain(entries: DataFrame) -> DataFrame:
 
 
 def audit_breaks(chain: DataFrame) -> DataFrame:
-    """Entries whose own hash or link to the entry before is wrong.  No fold is needed: each row is checked against its neighbour."""
+    """Entries whose own hash or link to the entry before is wrong, each checked against its neighbour, chain by chain; for one long
+    chain see ``audit_verdict``."""
     log = [c for c in ("log",) if c in chain.columns]
     before = F.lag("entry_hash", 1, GENESIS).over(Window.partitionBy(*log).orderBy("id"))
     own = audit_hash(F.col("prev_hash"), F.col("ts"), F.col("event"), F.col("matter_slug"), F.col("detail"))
@@ -128,6 +129,52 @@ def audit_breaks(chain: DataFrame) -> DataFrame:
     return rows.where("bad_link or bad_hash")
 
 
+def audit_verdict(chain: DataFrame) -> DataFrame:
+    """(log, entries, first_bad_id) for each chain, or without ``log`` one row: null if the whole chain holds.
+
+    Chains are cut into ranges of ids, so that no chain lies in one task.  Each task checks its rows' own hashes and the links between
+    them and hands on one row per chain: its first and last id, the link it starts with, the hash it ends with, its first bad id.  Only
+    those are put in order, to compare the links across borders: as many rows as there are ranges and chains.
+    """
+    log = [c for c in ("log",) if c in chain.columns]
+    own = audit_hash(F.col("prev_hash"), F.col("ts"), F.col("event"), F.col("matter_slug"), F.col("detail"))
+    rows = chain.select(*log, "id", "prev_hash", "entry_hash", F.col("entry_hash").eqNullSafe(own).alias("good"))
+    dealt = rows.repartitionByRange(*log, "id").sortWithinPartitions(*log, "id")
+    kind = [chain.schema[c] for c in log]
+    schema = T.StructType([*kind, *(T.StructField(c, T.LongType()) for c in ("first", "n", "bad")), T.StructField("starts", T.StringType()), T.StructField("ends", T.StringType())])
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None  # what has been seen of the chain that goes on
+        for b in batches:
+            out = []
+            for name, part in b.groupby(log[0], sort=False, dropna=False) if log else [(None, b)]:
+                before = part["entry_hash"].shift(1)
+                goes_on = last is not None and (not log or name == last["log"])
+                if goes_on:
+                    before.iloc[0] = last["ends"]
+                bad = (~part["good"].astype(bool)) | (part["prev_hash"] != before)
+                if not goes_on:
+                    bad.iloc[0] = not bool(part["good"].iloc[0])
+                wrong = part["id"][bad.to_numpy()]
+                if goes_on:
+                    last["n"] += len(part)
+                    last["bad"] = last["bad"] if last["bad"] is not None or not len(wrong) else int(wrong.iloc[0])
+                else:
+                    if last is not None:
+                        out.append(last)
+                    last = {"log": name, "first": int(part["id"].iloc[0]), "n": len(part), "bad": int(wrong.iloc[0]) if len(wrong) else None, "starts": part["prev_hash"].iloc[0]}
+                last["ends"] = part["entry_hash"].iloc[-1]
+            if out:
+                yield pd.DataFrame(out, columns=["log", "first", "n", "bad", "starts", "ends"]).astype({"bad": "Int64"}).drop(columns=[] if log else "log")
+        if last is not None:
+            yield pd.DataFrame([last], columns=["log", "first", "n", "bad", "starts", "ends"]).astype({"bad": "Int64"}).drop(columns=[] if log else "log")
+
+    ranges = dealt.mapInPandas(task, schema)
+    before = F.lag("ends", 1, GENESIS).over(Window.partitionBy(*log).orderBy("first"))
+    broken = F.least(F.when(~F.col("starts").eqNullSafe(before), F.col("first")), F.col("bad"))
+    return ranges.withColumn("broken", broken).groupBy(*log).agg(F.sum("n").alias("entries"), F.min("broken").alias("first_bad_id"))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables hold the same rows as often."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keys import fact_key
 from ..functions.text import located, normalised
+from ..sources.store import cut
+from .chunking import extraction_groups
 
 # fixed values: what a fact of each type must have, and all it can have
 REQUIRED = {"party": ("name",), "date_event": ("kind", "label", "date_text"), "amount": ("value",), "defined_term": ("term",), "key_ref": ("ref_value",)}
@@ -62,6 +65,41 @@ def retry_pages(groups: DataFrame) -> DataFrame:
     return groups.where(~F.col("ok")).select("doc_id", "group_no", F.explode("page_numbers").alias("page_number"))
 
 
+def extract_facts(pages: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Facts of documents' pages in two stages, and which documents count as done: (gated facts, states).
+
+    ``pages``: doc_id, page_number, page_text; ``extract`` adds ``facts`` to calls with a ``text``, null for a call that failed (as
+    ``plugins.extracted`` does).  Groups of pages go first; of a group that failed each page is asked alone, so that one bad page doesn't blank
+    the others.  States are doc_id, groups, failed_groups, failed_pages, raw, facts and done: a document is done unless the group call and all
+    pages of some group failed, also when there is nothing in it.  Answers are written, as calls are dear.
+    """
+    grouped = cut(extraction_groups(pages.select("doc_id", "page_number", F.coalesce("page_text", F.lit("")).alias("page_text"))), "extraction-pages")
+    headed = F.concat(F.lit("=== page "), F.col("page_number").cast("string"), F.lit(" ===\n"), "page_text")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", headed.alias("t")))), lambda x: x["t"]), "\n\n")
+    first = cut(extract(grouped.groupBy("doc_id", "group_no").agg(text.alias("text"))).select("doc_id", "group_no", "facts"), "extraction-groups")
+    failed = first.where("facts is null").select("doc_id", "group_no")
+    alone = cut(extract(grouped.join(failed, ["doc_id", "group_no"], "left_semi").select("doc_id", "group_no", "page_number", headed.alias("text"))).select("doc_id", "group_no", "page_number", "facts"), "extraction-retries")
+    # a group's facts are looked for on all its pages, those of a page that was asked alone on this page only
+    by_group = grouped.select("doc_id", "group_no", F.lit(-1).cast("long").alias("alone"), "page_number", "page_text")
+    by_page = grouped.select("doc_id", "group_no", F.col("page_number").cast("long").alias("alone"), "page_number", "page_text")
+    answers = first.select("doc_id", "group_no", F.lit(-1).cast("long").alias("alone"), "facts").unionByName(alone.select("doc_id", "group_no", F.col("page_number").cast("long").alias("alone"), "facts"))
+    call = lambda df: df.withColumn("group_no", F.struct("group_no", "alone")).drop("alone")
+    raw = call(answers).select("doc_id", "group_no", F.posexplode("facts").alias("pos", "f")).select("doc_id", "group_no", "pos", "f.fact_type", F.col("f.page").alias("page"), "f.span", "f.raw")
+    gated = gate_facts(raw, call(by_group.unionByName(by_page)))
+    kept = gated.groupBy("doc_id").agg(F.count(F.lit(1)).alias("facts"))
+    groups = first.join(alone.groupBy("doc_id", "group_no").agg(F.count_if(F.col("facts").isNull()).alias("bad_pages"), F.count_if(F.col("facts").isNotNull()).alias("good_pages"), F.sum(F.coalesce(F.size("facts"), F.lit(0))).alias("raw_pages")), ["doc_id", "group_no"], "left")
+    ok = F.col("facts").isNotNull() | (F.coalesce("good_pages", F.lit(0)) > 0)
+    raw_count = F.sum(F.when(F.col("facts").isNotNull(), F.size("facts")).otherwise(F.coalesce("raw_pages", F.lit(0))))
+    states = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("facts").isNull()).alias("failed_groups"), F.sum(F.coalesce("bad_pages", F.lit(0))).alias("failed_pages"), raw_count.alias("raw"), F.every(ok).alias("done"))
+    return gated, states.join(kept, "doc_id", "left").withColumn("facts", F.coalesce("facts", F.lit(0)))
+
+
+def stamped(documents: DataFrame, states: DataFrame, version: str) -> DataFrame:
+    """Documents (id, digest_version) stamped with a version where their extraction is done; others keep what they had and are asked again."""
+    done = states.where("done").select(F.col("doc_id").alias("id"), F.lit(version).alias("__new"))
+    return documents.join(done, "id", "left").withColumn("digest_version", F.coalesce("__new", "digest_version")).drop("__new")
+
+
 def extraction_states(results: DataFrame) -> DataFrame:
     """Whether each document's extraction counts as done: some group or page of it succeeded, also if it had no facts."""
     return results.groupBy("doc_id").agg(F.bool_or("ok").alias("done"), F.sum(F.coalesce(F.size("facts"), F.lit(0))).alias("facts"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..sources.store import cut
 from .verification import REFUSAL
 
 # fixed values: whole messages that get a fixed reply and no retrieval, and their greatest length
@@ -106,6 +110,38 @@ def absence(rechecks: DataFrame) -> DataFrame:
     return got.select("matter", "question_id", status.alias("status"), "checked", "total", "found_in")
 
 
+def absence_in_waves(missing: DataFrame, documents: DataFrame, ask: Callable[[DataFrame], DataFrame], first: int = 1, growth: int = 2) -> tuple[DataFrame, int]:
+    """``absence`` by asking no more than is needed, and the number of calls that it took.
+
+    ``missing``: matter, question_id and what ``ask`` needs of a question; ``documents``: matter, doc_order, filename and what it needs of a
+    document.  ``ask`` adds ran and found to rows of both; a model is called there and nowhere else.  Documents are asked about in waves by
+    their order, ``first`` and then ``growth`` times as many; after each, questions that have their answer are dropped, so a question
+    that is answered by the n-th document is asked of fewer than ``growth`` * n + ``first``.  Each wave's answers are written, as calls are dear.
+    """
+    place = F.row_number().over(Window.partitionBy("matter").orderBy("doc_order")) - 1
+    placed = cut(documents.withColumn("__place", place), "absence-documents")
+    longest = placed.agg(F.max("__place")).first()[0]
+    pending, waves, calls, lo, size = missing, [], 0, 0, first
+    while longest is not None and lo <= longest:
+        wave = pending.join(placed.where(F.col("__place").between(lo, lo + size - 1)), "matter")
+        asked = cut(ask(wave).select("matter", "question_id", "doc_order", "filename", "ran", "found"), "absence-wave")
+        waves.append(asked)
+        calls += asked.count()
+        answered = asked.where("ran and found").select("matter", "question_id").distinct()
+        pending = cut(pending.join(answered, ["matter", "question_id"], "left_anti"), "absence-pending")
+        if pending.isEmpty():
+            break
+        lo, size = lo + size, size * growth
+    total = documents.groupBy("matter").agg(F.count(F.lit(1)).alias("total"))
+    questions = missing.select("matter", "question_id").join(total, "matter")
+    if not waves:
+        return questions.where(F.lit(False)).select("matter", "question_id", F.lit("").alias("status"), F.lit(0).cast("long").alias("checked"), "total", F.lit("").alias("found_in")), 0
+    got = absence(reduce(DataFrame.unionByName, waves)).drop("total", "status")
+    rows = questions.join(got, ["matter", "question_id"])
+    status = F.when(F.col("found_in").isNotNull(), "found").when(F.col("checked") == F.col("total"), "potentially_missing").otherwise("not_confirmed")
+    return rows.select("matter", "question_id", status.alias("status"), "checked", "total", "found_in"), calls
+
+
 def topics(bullets: DataFrame) -> DataFrame:
     """Verified bullets (doc_id, topic, page, body) grouped by topic regardless of case, topics ascending, bullets by page."""
     rows = bullets.withColumn("key", F.lower(F.trim("topic")))

@@ -20,6 +20,13 @@ class Answerer(Protocol):
     def answer(self, question: str, context: str) -> str: ...
 
 
+class Extractor(Protocol):
+    """Raw facts of a text as dicts with fact_type, span, page and further strings.  None is a call that failed, which isn't the same as a
+    text without facts, an empty list; an exception counts as None."""
+
+    def extract(self, text: str) -> list[dict] | None: ...
+
+
 class HashEmbedder:
     """Counts of hashed words, unit length: no model, but like texts are near."""
 
@@ -73,3 +80,31 @@ def answered(grounded: DataFrame, answerer: Answerer, at_once: int = 4) -> DataF
 
     thinking: Column = F.regexp_replace(ask("question", "context"), r"(?is)<think>.*?</think>", "")
     return grounded.repartition(at_once).withColumn("answer_text", F.trim(thinking))
+
+
+#: What an extractor gives for one call; a null array is a failure.
+FACTS = "array<struct<fact_type:string,span:string,page:long,raw:map<string,string>>>"
+
+
+def extracted(calls: DataFrame, extractor: Extractor, at_once: int = 4) -> DataFrame:
+    """Calls (any columns and ``text``) with ``facts``, null where the call failed; ``at_once`` bounds the tasks that call the model together."""
+
+    def one(text: str | None) -> list[dict] | None:
+        try:
+            found = extractor.extract(text or "")
+            if found is None:
+                return None
+            rows = []
+            for f in found:
+                page = f.get("page")
+                rest = {k: str(v) for k, v in f.items() if k not in ("fact_type", "span", "page") and v is not None}
+                rows.append({"fact_type": f.get("fact_type"), "span": f.get("span"), "page": page if isinstance(page, int) else None, "raw": rest})
+            return rows
+        except Exception:  # a model or its answer that breaks is a failed call, which is tried again; others go on
+            return None
+
+    @F.pandas_udf(FACTS)
+    def ask(text: pd.Series) -> pd.Series:
+        return pd.Series([one(t) for t in text], dtype=object)
+
+    return calls.repartition(at_once).withColumn("facts", ask("text"))

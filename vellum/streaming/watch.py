@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import time
 from dataclasses import dataclass
@@ -12,7 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from ..operators.ingest import RESTING, SUFFIXES
 
-FILES = "path string, mtime timestamp, size long, content binary"
+FILES = "path string, mtime timestamp, size long, content binary, seen timestamp"
 # fixed value: events of a job that are kept
 MOST_EVENTS = 500
 
@@ -23,40 +22,47 @@ class _Changed(InputPartition):
 
 
 class _FolderStream(DataSourceStreamReader):
-    """Offsets hold each file's modification time, so a file that changes under its name comes again, which Spark's own file
-    stream doesn't do.  A folder and its direct subfolders are watched; hidden, linked and restless files wait."""
+    """An offset is one moment, whatever the number of files: a file belongs to the batch in which its last change lies, so one that changes under
+    its name comes again, which Spark's own file stream doesn't do.  The change is the inode's (writing, renaming, moving in), as a file that
+    is moved in keeps its old modification time.  A folder and its direct subfolders are watched; hidden, linked and restless files wait.
+    """
 
     def __init__(self, options: dict):
         self.root, self.rest = options["path"].removeprefix("file://"), float(options.get("rest", RESTING))
 
     def initialOffset(self) -> dict:
-        return {"files": "{}"}
+        return {"changed": -1}
 
-    def _found(self) -> dict[str, int]:
+    def _found(self):
         def inside(folder, deeper):
             for e in os.scandir(folder):
                 if e.name.startswith(".") or e.is_symlink():
                     continue
                 if e.is_dir() and deeper:
                     yield from inside(e.path, False)
-                elif e.is_file() and e.name.rsplit(".", 1)[-1].lower() in SUFFIXES and time.time() - e.stat().st_mtime >= self.rest:
-                    yield e.path, e.stat().st_mtime_ns
+                elif e.is_file() and e.name.rsplit(".", 1)[-1].lower() in SUFFIXES:
+                    yield e.path, max(e.stat().st_ctime_ns, e.stat().st_mtime_ns)
 
-        return dict(inside(self.root, True))
+        return inside(self.root, True)
 
     def latestOffset(self) -> dict:
-        return {"files": json.dumps(self._found(), sort_keys=True)}
+        """The last change that has rested; nothing that rests later can have changed before it."""
+        rested = time.time_ns() - int(self.rest * 1e9)
+        return {"changed": max((t for _, t in self._found() if t <= rested), default=-1)}
 
     def partitions(self, start: dict, end: dict):
-        before = json.loads(start["files"])
-        return [_Changed(p) for p, t in json.loads(end["files"]).items() if t > before.get(p, -1)]
+        return [_Changed(p) for p, t in sorted(self._found()) if start["changed"] < t <= end["changed"]]
 
     def read(self, partition):
         from datetime import UTC, datetime
 
-        with open(partition.path, "rb") as f:
-            body = f.read()
-        yield partition.path, datetime.fromtimestamp(os.stat(partition.path).st_mtime, UTC), len(body), body
+        try:
+            with open(partition.path, "rb") as f:
+                body = f.read()
+            changed = os.stat(partition.path).st_mtime
+        except FileNotFoundError:  # it went since the batch was planned
+            return
+        yield partition.path, datetime.fromtimestamp(changed, UTC), len(body), body, datetime.now(UTC)
 
 
 class WatchedFolder(DataSource):
@@ -77,10 +83,81 @@ def watch(spark: SparkSession, path: str, rest: float = RESTING) -> DataFrame:
     return spark.readStream.format("vellum_folder").option("path", path).option("rest", str(rest)).load()
 
 
-def changed_contents(stream: DataFrame) -> DataFrame:
-    """Files whose bytes the stream hasn't had under that matter (their folder) before; state is one hash per content."""
+def changed_contents(stream: DataFrame, remembered: str = "30 days") -> DataFrame:
+    """Files whose bytes the stream hasn't had under that matter (their folder) before.
+
+    State is one hash per content and goes after the time that contents are ``remembered``, counted from when they were last seen new; the
+    same bytes after that come again, and the ingest knows them by their checksum.
+    """
     keyed = stream.withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).withColumn("sha256", F.sha2("content", 256))
-    return keyed.dropDuplicates(["folder", "sha256"])
+    return keyed.withWatermark("seen", remembered).dropDuplicatesWithinWatermark(["folder", "sha256"])
+
+
+TAIL = "job_id string, subscriber string, seq long, event string, data string, last boolean"
+
+
+def job_tail(stream: DataFrame, keep_s: float = 3600.0) -> DataFrame:
+    """What each subscriber of a job is told (TAIL): all events so far, then each new one, then a row with ``last`` that ends it.
+
+    ``stream``: job_id, at, kind, event, data, subscriber; rows of a job count in order of ``at`` within a batch.  kind is "event", "terminal" (the
+    job's last event) or "subscribe".  The first MOST_EVENTS events are kept and told; a terminal one beyond them is told but not kept.  What
+    comes after the terminal event is ignored, and who subscribes then gets the kept events and the end at once.  A job's state goes ``keep_s``
+    seconds after its terminal event; jobs lie in a state store by their id, so no task holds more than its own.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    import pandas as pd
+
+    names = [c.split(" ")[0] for c in TAIL.split(", ")]
+
+    class Tail(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.kept = handle.getListState("kept", "seq long, event string, data string")
+            self.count = handle.getValueState("count", "n long")
+            self.subscribers = handle.getListState("subscribers", "name string")
+            self.ended = handle.getValueState("ended", "at long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            job, out = key[0], []
+            n = self.count.get()[0] if self.count.exists() else 0
+            ended = self.ended.exists()
+            told = [x[0] for x in self.subscribers.get()] if self.subscribers.exists() else []
+            for r in pd.concat(list(rows)).sort_values("at", kind="stable").itertuples():
+                if r.kind == "subscribe":
+                    if n:
+                        out += [(job, r.subscriber, *x, False) for x in self.kept.get()]
+                    if ended:
+                        out.append((job, r.subscriber, None, None, None, True))
+                    else:
+                        told.append(r.subscriber)
+                        self.subscribers.appendValue((r.subscriber,))
+                    continue
+                if ended or (r.kind != "terminal" and n >= MOST_EVENTS):
+                    continue
+                seq = n
+                if n < MOST_EVENTS:
+                    self.kept.appendValue((seq, r.event, r.data))
+                    n += 1
+                out += [(job, s, seq, r.event, r.data, False) for s in told]
+                if r.kind == "terminal":
+                    out += [(job, s, None, None, None, True) for s in told]
+                    told, ended, now = [], True, timerValues.getCurrentProcessingTimeInMs()
+                    self.subscribers.clear()
+                    self.ended.update((now,))
+                    self.handle.registerTimer(now + int(keep_s * 1000))
+            self.count.update((n,))
+            yield pd.DataFrame(out, columns=names).astype({"seq": "Int64"})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            for state in (self.kept, self.count, self.subscribers, self.ended):
+                state.clear()
+            yield pd.DataFrame([], columns=names).astype({"seq": "Int64", "last": bool})
+
+        def close(self) -> None:
+            pass
+
+    return stream.groupBy("job_id").transformWithStateInPandas(Tail(), TAIL, "Append", "ProcessingTime")
 
 
 def job_history(events: DataFrame) -> DataFrame:
