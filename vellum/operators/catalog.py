@@ -188,9 +188,10 @@ def folder_status(folders: DataFrame, matters: DataFrame, jobs_table: DataFrame,
     return rows.withColumn("matter_exists", F.coalesce("known", F.lit(False))).withColumn("seconds_since_scan", F.unix_timestamp(now) - F.unix_timestamp("last_scan")).drop("known")
 
 
-def documents_of(documents: DataFrame, matter: str) -> DataFrame:
-    """A matter's documents in order of name, then id."""
-    return documents.where(F.col("matter_slug") == matter).orderBy("filename", "id")
+def documents_of(documents: DataFrame, matter: str | None = None) -> DataFrame:
+    """A matter's documents, or all, the last updated first (of equal ones the newest id); without a column ``updated`` by name, then id."""
+    mine = documents if matter is None else documents.where(F.col("matter_slug") == matter)
+    return mine.orderBy(*([F.col("updated").desc_nulls_last(), F.col("id").desc()] if "updated" in documents.columns else ["filename", "id"]))
 
 
 def replace_line_map(line_map: DataFrame, new: DataFrame, doc_id: int) -> DataFrame:
@@ -199,7 +200,9 @@ def replace_line_map(line_map: DataFrame, new: DataFrame, doc_id: int) -> DataFr
 
 
 def threads(messages: DataFrame) -> DataFrame:
-    """Threads of messages (thread_id, pos, role, text): the title is the first of the user's, at most TITLE characters; the newest first."""
+    """Threads of messages (thread_id, pos, role, text and, if known, ts): the title is the first of the user's, at most TITLE characters; the one with
+    the last message first, without times the newest."""
     first = F.min_by("text", F.when(F.col("role") == "user", F.col("pos")))
-    got = messages.groupBy("thread_id").agg(F.substring(first, 1, TITLE).alias("title"), F.count(F.lit(1)).alias("messages"))
-    return got.orderBy(F.col("thread_id").desc())
+    timed = "ts" in messages.columns
+    got = messages.groupBy("thread_id").agg(F.substring(first, 1, TITLE).alias("title"), F.count(F.lit(1)).alias("messages"), *([F.max("ts").alias("updated")] if timed else []))
+    return got.orderBy(*([F.col("updated").desc_nulls_last()] if timed else []), F.col("thread_id").desc())
