@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 #: Unicode's White_Space, as the pre-tokeniser's \\s has it.
 WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Bytes of pieces and ids kept by a Python worker; beyond it those go that weren't met for longest.
-CACHE = 12 << 20
+CACHE = 24 << 20
 #: Bytes of text encoded at once, where texts are shorter: the more, the fewer pieces are looked up.
-PORTION = 2 << 20
+PORTION = 4 << 20
 #: Pieces that make one text for the library.
 JOINED = 256
 #: Texts that have other white space than single spaces and line ends between words, or a character that marks pieces.
