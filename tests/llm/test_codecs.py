@@ -366,3 +366,13 @@ def test_features_follow_texts(spark):
     for sha, found in rows.items():
         ((feature, media_sha, n, _),) = found
         assert media_sha == hashlib.sha256(texts[sha]).hexdigest() and n == len(texts[sha]) and feature.startswith("raw/soun/8000;samples=")
+
+
+def test_runs_parsed_together_are_the_streamed_ones(monkeypatch):
+
+    texts = [t for _, t, *_ in odd.rows()] + ["aa aab aaba ab " * 30, "née naïve 😀😀 ▁▁ x", "\x00\x01 zz\x02", "y" * 70 + " " + "y" * 71]
+    monkeypatch.setattr(piece_codec, "CACHE", 40)
+    monkeypatch.setattr(piece_codec, "TOGETHER", 600)
+    many, one = (piece_codec.Pieces(public_tokenizers.path("piece_bpe_32k.model")) for _ in range(2))
+    assert many.encode_many(texts) == [one.encode(t) for t in texts]
+    assert many.encode_many([]) == []

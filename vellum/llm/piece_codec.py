@@ -10,7 +10,8 @@ A text goes through the lattice as a stream of characters.  Paths meet at two ki
 piece of the vocabulary goes on across such a place (tested when it is read; the window then holds one path), and
 inside a longer run, where the paths of all places in the window are followed back.  What is committed between
 two places where white space starts depends on the characters between them alone, so a worker remembers it: CACHE runs of up
-to LONG characters are looked up instead of running the lattice again.
+to LONG characters are looked up instead of running the lattice again.  New runs of many texts go through it in their order, as
+what a lattice holds up to some place depends on the characters before it alone: a run goes on where it parts from the one before.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .common import arrow_schema, id_text
 SPACE = "▁"
 #: Characters of a text that are read at once.
 PART = 1 << 14
+#: Texts, and about their characters, whose new runs are parsed in one go.
+ROWS, TOGETHER = 1024, 3 << 20
 #: Runs that a worker keeps (at twice as many the older half goes), and the longest that it keeps.
 CACHE, LONG = 300_000, 64
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -71,6 +74,7 @@ class Pieces:
         self.old: dict[str, bytes] = {}
         self.stable = lru_cache(1 << 19)(self._stable)
         self.built = lru_cache(1 << 16)(self._built)
+        self.encoded = lru_cache(1 << 16)(lambda piece: array("I", self._ids(piece)).tobytes())
 
     def _built(self, piece: str) -> tuple[bool, list[tuple[float, str, str]]]:
         """Whether merging a piece's characters gives it back, and each merge: its score, and the first and last part after it.
@@ -161,12 +165,12 @@ class Pieces:
             back.append(last[end])
             end -= len(last[end])
         for piece in reversed(back):
-            k = self.ids.get(piece)
-            if k is not None:
-                yield k
-            else:
-                for b in piece.encode("utf-8", "replace"):
-                    yield self.byte.get(b, self.unknown)
+            yield from self._ids(piece)
+
+    def _ids(self, piece: str) -> list[int]:
+        """A piece's id, or those of the bytes of a character that is none."""
+        k = self.ids.get(piece)
+        return [k] if k is not None else [self.byte.get(b, self.unknown) for b in piece.encode("utf-8", "replace")]
 
     def _segment(self, s: str) -> bytes:
         """A run that is in neither half of the cache: streamed, or made of a stem and its marks if their pieces are stable side by side."""
@@ -188,6 +192,76 @@ class Pieces:
                 self.new[s] = b
         return b
 
+    def learn(self, runs: Iterable[str]) -> None:
+        """Put runs into the cache, parsed in ascending order by one lattice: what it has of the characters that a run shares with the one before stays."""
+        ends, ids, stable, built, encoded, new = self.ends.get, self.ids, self.stable, self.built, self.encoded, self.new
+        text, last = "", [""]  # at each place the last piece, None if there is none
+        for run in sorted(runs):
+            k, most = 0, min(len(text), len(run))
+            while k < most and text[k] == run[k]:
+                k += 1
+            del last[k + 1 :]
+            text = run
+            for i in range(k + 1, len(run) + 1):
+                best, at = [], i - 1
+                piece = run[at]
+                whole = ends(piece)
+                while whole is not None:
+                    if whole and last[at] is not None:
+                        best.append(piece)
+                    at -= 1
+                    if at < 0:
+                        break
+                    piece = run[at:i]
+                    whole = ends(piece)
+                for piece in reversed(best):
+                    before = last[i - len(piece)]
+                    if stable(before, piece) if before else built(piece)[0]:
+                        last.append(piece)
+                        break
+                else:
+                    piece = run[i - 1]
+                    last.append(None if last[i - 1] is None or piece in ids else piece)
+            back, at = [], len(run)
+            while at:
+                piece = last[at]
+                back.append(encoded(piece))
+                at -= len(piece)
+            back.reverse()
+            new[run] = b"".join(back)
+        self.committed += 1
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """``encode`` for each of some texts; those of up to TOGETHER characters are split into runs together, so that new runs are met in one go."""
+        out: list[bytes | None] = [None] * len(texts)
+        some, size = [], 0
+
+        def flush() -> None:
+            nonlocal some, size
+            wanted = {r for _, runs in some for r in runs}
+            fresh = [r for r in wanted if r not in self.new]
+            for r in fresh:
+                if r in self.old:
+                    self.new[r] = self.old[r]
+            self.learn(r for r in fresh if r not in self.old and len(r) <= LONG)
+            new = self.new
+            for k, runs in some:
+                out[k] = b"".join([self._known(r) if b is None else b for r, b in zip(runs, map(new.get, runs), strict=True)])
+            if len(self.new) > CACHE:
+                self.old, self.new = self.new, {}
+            some, size = [], 0
+
+        for k, t in enumerate(texts):
+            if not t or len(t) > TOGETHER:
+                out[k] = self.encode(t)
+                continue
+            some.append((k, self.meet.split(SPACE + t.replace(" ", SPACE))))
+            size += len(t)
+            if size > TOGETHER:
+                flush()
+        flush()
+        return out
+
     def commits(self, parts: Iterable[str]) -> Iterator[bytes]:
         """The ids of a text that comes in parts, little-endian unsigned 32-bit, each time that all paths meet where white space starts."""
         held, new = [""], self.new
@@ -234,11 +308,11 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, schema = pieces(vocabulary), arrow_schema(ENCODED)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                texts = b.column(1)[at : at + 256].to_pylist()
-                ids = [p.encode(t) for t in texts]
+            for at in range(0, b.num_rows, ROWS):
+                texts = b.column(1)[at : at + ROWS].to_pylist()
+                ids = p.encode_many(texts)
                 sha = [hashlib.sha256((t or "").encode("utf-8", "replace")).hexdigest() for t in texts]
-                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + 256], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(sha)], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + ROWS], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(sha)], schema=schema)
 
     return id_text(docs, id_col, text_col).mapInArrow(task, ENCODED)
 
