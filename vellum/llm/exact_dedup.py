@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import cut, id_text
+from .common import cut, id_text, thin
 
 WHITE = r"[\x20\x09-\x0D]+"
 #: A text with more than one in so many of all rows is sorted in several runs.
@@ -63,10 +63,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows with one id and equal texts the least one stays, by text and then by the other columns."""
+    """The rows of ``docs`` that stay, with all their columns; of rows with one id and equal texts the least one stays, by text and then by the other columns.
+
+    A null text counts as empty, null ids come last, an empty table gives no rows.  Rows that stay aren't shuffled for it: those that go are few
+    and are taken out by id and hash.  Where an id and text come more than once, the least row of each task is found before any exchange.
+    """
+    pairs = exact_groups(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    pairs = cut(pairs.agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows")).where("not __kept or __rows > 1"), "exact-pairs")
     own = F.col(f"`{text_col}`").cast("string")
+    named = docs.withColumn("__own", F.col(f"`{id_col}`").cast("long")).withColumn("__hash", F.sha2(normalised(own), 256))
+    same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__sha"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    left = named.join(thin(pairs.select("__id", "__sha")), same, "left_anti").select(*columns)
+    twice = pairs.where("__kept").select("__id", "__sha")
+    if twice.isEmpty():
+        return left
     rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
-    named = docs.withColumn("__row", F.row_number().over(Window.partitionBy(f"`{id_col}`", F.sha2(normalised(own), 256)).orderBy(own, rest)))
-    keep = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    same = named[f"`{id_col}`"].cast("long").eqNullSafe(keep["__id"]) & (F.sha2(normalised(named[f"`{text_col}`"].cast("string")), 256) == keep["__sha"])
-    return named.where("__row = 1").join(keep, same, "left_semi").drop("__row")
+    ties = named.join(thin(twice), same, "left_semi").groupBy("__own", "__hash").agg(F.min_by(F.struct(*columns), F.struct(own, rest)).alias("__row"))
+    return left.unionByName(ties.select("__row.*"))
