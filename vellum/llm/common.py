@@ -99,6 +99,24 @@ def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], matches: str,
     return salted.join(other, [*keys, "__salt"], how).drop("__salt")
 
 
+def freeing(task):
+    """``task``, which gives memory back to the system at its end: a Python worker stays, idle, while other stages need the room."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
 def slices(batches, rows: int = 64):
     """Arrow batches in small pieces, so that few texts are Python objects at once."""
     for b in batches:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_schema, id_text, slices, small_batches
+from .common import arrow_schema, freeing, id_text, slices, small_batches
 
 UNKNOWN = "und"
 #: Hashed n-gram dimensions; n-grams are of 1, 2 and 3 bytes of the lower-cased UTF-8 text.
@@ -138,7 +138,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, centroids: int = CENTROIDS, t
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(g.tobytes(), 1) for g in grams], pa.binary())], schema=arrow_schema("lang string, grams binary"))
 
     got: dict[str, list[bytes]] = {}
-    for r in base.where(place < share).select("lang", "text").mapInArrow(featurise, "lang string, grams binary").collect():
+    for r in base.where(place < share).select("lang", "text").mapInArrow(freeing(featurise), "lang string, grams binary").collect():
         got.setdefault(r["lang"], []).append(bytes(r["grams"]))
     languages = tuple(sorted(got))
     if not got:
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 score[known], out[known] = near, rejected
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(out)], schema=schema)
 
-    return id_text(docs, id_col, text_col).mapInArrow(task, PREDICTED)
+    return id_text(docs, id_col, text_col).mapInArrow(freeing(task), PREDICTED)
 
 
 def held_out(id_col: Column) -> Column:
@@ -215,4 +215,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
                 keep[known] = ~m.predict([texts[i] for i in known])[2]
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.mapInArrow(freeing(task), docs.schema)

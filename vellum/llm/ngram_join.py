@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, cut, id_text, spread_join, thin
+from .common import arrow_schema, cut, freeing, id_text, spread_join, thin
 from .wordhash import encoded, grouped, new_key, shingles, words
 
 #: Partners of one set that meet in a task, and entries of a list.
@@ -90,7 +90,7 @@ def _hot(docs: DataFrame, how: Shingling, percent: int) -> tuple[np.ndarray, np.
         for _, sets in _sets(batches, how):
             yield from summed([s[: 2 * prefix_length(len(s), percent)] for s in sets])
 
-    found = _most_frequent(docs.mapInArrow(first, counted))
+    found = _most_frequent(docs.mapInArrow(freeing(first), counted))
     sent = docs.sparkSession.sparkContext.broadcast(found)
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +103,7 @@ def _hot(docs: DataFrame, how: Shingling, percent: int) -> tuple[np.ndarray, np.
             yield from summed(some)
 
     known = docs.sparkSession.createDataFrame(pa.table({"tok": found[0].view(np.int64), "cnt": found[1]}, schema=arrow_schema(counted)))
-    return _most_frequent(docs.mapInArrow(rest, counted).unionByName(known)) if len(found[0]) else found
+    return _most_frequent(docs.mapInArrow(freeing(rest), counted).unionByName(known)) if len(found[0]) else found
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -142,7 +142,7 @@ def _prefixes(docs: DataFrame, how: Shingling, percent: int) -> DataFrame:
             columns = (b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(sdig, pa.binary()), pa.array(pdig, pa.binary()), _lists(prefix), _lists(second))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return docs.select("id", "text", "mark").mapInArrow(task, PREFIXES)
+    return docs.select("id", "text", "mark").mapInArrow(freeing(task), PREFIXES)
 
 
 def _with_sets(rows: DataFrame, how: Shingling) -> DataFrame:
@@ -157,7 +157,7 @@ def _with_sets(rows: DataFrame, how: Shingling) -> DataFrame:
                 b = b.take(pa.array(own))
                 yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), _lists([sets[k] for k in own]).cast(schema.field(2).type)], schema=schema)
 
-    return rows.select("id", "text", "a", "b", "sdig").mapInArrow(task, out)
+    return rows.select("id", "text", "a", "b", "sdig").mapInArrow(freeing(task), out)
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, how: Shingling, percent: int) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, id_text
+from .common import arrow_schema, freeing, id_text
 from .vocab import byte_bpe, encoder
 
 CAPACITY = 1024
@@ -143,7 +143,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPA
         packer.flush()
         yield from ready(0)
 
-    return id_text(docs, id_col, text_col).mapInArrow(task, PIECES)
+    return id_text(docs, id_col, text_col).mapInArrow(freeing(task), PIECES)
 
 
 def packed(docs: DataFrame) -> DataFrame:
