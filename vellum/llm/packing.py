@@ -18,6 +18,8 @@ WINDOWS, FRAGMENT = 96, 256
 #: Tokens left free in each window of a balance, so that its sums can differ by a few.
 SLACK = 2
 
+#: Texts that are encoded at once.
+ROWS = 512
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -135,8 +137,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPA
                 packer.rows = []
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
                 for doc, b in zip(some.column(0).to_pylist(), enc.ids(some.column(1)), strict=True):
                     packer.add(doc, b + end)
                     yield from ready(50_000)
