@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 500_000
 #: A join key with more than one in so many of the rows it meets, and more than so many, is split over tasks.
 HOT_KEYS, HOT_LEAST = 1024, 512
-#: Rows of an Arrow batch of whole texts.
-BATCH_ROWS = 2048
+#: Rows and bytes of an Arrow batch of whole texts; a batch with longer texts ends sooner.
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 
 _made: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
 
@@ -62,10 +62,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python BATCH_ROWS at a time, so that buffers on both sides stay small; a session's lower number stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Whole texts go to Python BATCH_ROWS or about BATCH_BYTES at a time, so that buffers on both sides stay small; a session's lower numbers stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, most)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
