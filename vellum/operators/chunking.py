@@ -77,7 +77,7 @@ def chunk_pages(pages: DataFrame) -> DataFrame:
 
 def heading_sections(pages: DataFrame, known_headers: DataFrame | None = None) -> DataFrame:
     """Chunks split only at markdown headings, each with its breadcrumb (`` › `` between levels, kept over pages) and,
-    given layout headers (source_filename, header), whether one of them contains the heading or lies in it."""
+    given layout headers (source_filename, header, and a matter if equal names of other matters are other files), whether one of them contains the heading or lies in it."""
     out = "matter string, source_filename string, page_number long, section string, heading string, char_start long, char_end long, text string"
 
     def doc(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -101,10 +101,11 @@ def heading_sections(pages: DataFrame, known_headers: DataFrame | None = None) -
     got = pages.groupBy("matter", "source_filename").applyInPandas(doc, out)
     if known_headers is None:
         return got.withColumn("section_detected", F.lit(False))
-    headers = known_headers.groupBy("source_filename").agg(F.collect_set(heading_norm(F.col("header"))).alias("headers"))
+    of = [c for c in ("matter", "source_filename") if c in known_headers.columns]
+    headers = known_headers.groupBy(*of).agg(F.collect_set(heading_norm(F.col("header"))).alias("headers"))
     mine = heading_norm(F.col("heading"))
     seen = F.exists(F.coalesce("headers", F.array().cast("array<string>")), lambda h: (mine != "") & (h.contains(mine) | mine.contains(h)))
-    return got.join(headers, "source_filename", "left").withColumn("section_detected", seen).drop("headers")
+    return got.join(headers, of, "left").withColumn("section_detected", seen).drop("headers")
 
 
 @batch_udf("array<string>")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keys import fact_key
 from ..functions.text import located, normalised
+from ..schemas import REVIEW_STATES
 from ..sources.store import cut
 from .chunking import extraction_groups
 
@@ -147,7 +148,9 @@ def reviewed(facts: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def set_reviews(reviews: DataFrame, changes: DataFrame) -> DataFrame:
-    """Reviews after changes of the same columns; a null status takes a review away."""
+    """Reviews after changes of the same columns; a null status takes a review away, one that isn't of REVIEW_STATES raises, as does a change of no matter."""
+    if not changes.where("matter_slug is null").unionByName(changes.where(~F.col("status").isin(*REVIEW_STATES))).isEmpty():
+        raise ValueError(f"a review needs a matter and a status of {REVIEW_STATES}, or none")
     kept = reviews.join(changes, ["matter_slug", "fact_key"], "left_anti")
     return kept.unionByName(changes.where("status is not null").select(*reviews.columns))
 

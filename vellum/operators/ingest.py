@@ -11,6 +11,8 @@ SUFFIXES = ("pdf", "docx", "txt", "md", "eml", "html", "htm", "vtt", "srt", "csv
 MOST_BYTES = 25 * 1024 * 1024
 # fixed values: seconds between syncs, seconds that a file must rest, items of one pass, connectors that list by date
 SYNC_EVERY, RESTING, PASS_CAP, DATED = 1800, 2, 500, ("fireflies",)
+# fixed value: where imported items land
+UNFILED = "unfiled"
 
 
 def suffix(name: Column) -> Column:
@@ -103,14 +105,17 @@ def new_items(listed: DataFrame, ledger: DataFrame) -> DataFrame:
 def import_states(listed: DataFrame, ledger: DataFrame, stored: DataFrame) -> DataFrame:
     """Listed items (connection_id, source_id, filename, sha256, size, suggested_matter) with what an import does with each.
 
-    All land in ``unfiled``; the configured matter is only suggested.  ``stored``: checksums that are there already.
+    All land in ``unfiled``; the configured matter is only suggested.  ``stored``: checksums that
+    are there already; with a matter_slug only those of ``unfiled`` count, as that is where items land.
     """
     seen = ledger.select("connection_id", "source_id", F.lit(True).alias("seen")).distinct()
+    if "matter_slug" in stored.columns:
+        stored = stored.where(F.col("matter_slug") == UNFILED)
     there = stored.select(F.col("checksum").alias("sha256"), F.lit(True).alias("there")).distinct()
     rows = listed.join(seen, ["connection_id", "source_id"], "left").join(there, "sha256", "left")
     able = suffix(F.col("filename")).isin(*SUFFIXES) & F.col("size").between(1, MOST_BYTES)
     state = F.when(F.col("seen"), "already").when(~able, "skipped").when(F.col("there"), "duplicate").otherwise("imported")
-    return rows.withColumn("state", state).withColumn("matter", F.when(state == "imported", "unfiled")).drop("seen", "there")
+    return rows.withColumn("state", state).withColumn("matter", F.when(state == "imported", UNFILED)).drop("seen", "there")
 
 
 def import_summary(states: DataFrame) -> DataFrame:
@@ -167,3 +172,9 @@ def listing_windows(start: Column, end: Column, months: int = 6) -> Column:
     """array<struct<since, until>> of a date range in windows shorter than ``months``, the newest first."""
     steps = F.sequence(start, end, F.expr(f"interval {months - 1} months"))
     return F.reverse(F.transform(steps, lambda d: F.struct(d.alias("since"), F.least(F.add_months(d, months - 1), end).alias("until"))))
+
+
+def listed_once(listed: DataFrame) -> DataFrame:
+    """Items (connection_id, source_id, since) that windows with a common day list twice, each once: as its newest window has it."""
+    nth = F.row_number().over(Window.partitionBy("connection_id", "source_id").orderBy(F.col("since").desc_nulls_last(), *[c for c in sorted(listed.columns) if c not in ("connection_id", "source_id", "since")]))
+    return listed.withColumn("__nth", nth).where("__nth = 1").drop("__nth")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .. import plugins
 from ..functions.keys import fact_key
 from ..functions.text import normalised
-from ..operators import catalog, chunking, digest, facts, ingest, review, verification
+from ..operators import catalog, chunking, digest, facts, ingest, retention, review, verification
 from ..sources import pages
 from .queries import _AUDIT, _LINES, _audit, _line_map, _questions, doc_pages, query, table
 
@@ -206,3 +206,68 @@ def vtt_of_whole_turns(spark, d):
     u = c.select(F.col("conv_id").alias("item_id"), F.col("turn").alias("pos"), F.col("role").alias("who"), "text", (F.col("turn") * 60.0).alias("start_s"), (F.col("turn") * 60 + 30.5).alias("end_s"))
     return ingest.vtt_cues(u).select(F.col("item_id").alias("conv_id"), "text")
 
+
+# -- what leaves, moves and is listed twice -------------------------------------------------------------------------------
+
+
+def _export(spark, d):
+    """Documents' texts as natives below /kb; every seventh document's stored path leads out of it; every fifth is not sealed."""
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("matter_slug"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.coalesce("text", F.lit("")).alias("text"))
+    inside = F.concat(F.lit("/kb/"), F.coalesce("matter_slug", F.lit("none")), F.lit("/"), "filename")
+    stored = F.when(F.col("id") % 7 == 0, F.concat(F.lit("/kb/../etc/"), "filename")).otherwise(inside)
+    body = F.encode("text", "UTF-8")
+    natives = t.select(F.concat(F.lit("file:"), stored).alias("path"), F.when(F.col("id") % 5 == 0, body).otherwise(retention.sealed(body, F.lit("0123456789abcdef"))).alias("content"))
+    keys = t.select("matter_slug").distinct().withColumn("key", F.lit("0123456789abcdef"))
+    said = table(spark, d, "conversations").select(F.concat(F.lit("conv-"), (F.col("conv_id") % 20).cast("string")).alias("matter_slug"), F.col("conv_id").alias("thread_id"), F.col("turn").alias("pos"), "text")
+    audit = table(spark, d, "events").select(F.lit(None).cast("string").alias("matter_slug"), F.col("event_id").alias("id"))
+    return retention.export_entries(t.drop("text").withColumn("stored_path", stored), natives, "file:///kb", said, audit, keys)
+
+
+@query("SELECT source AS matter, 'documents/doc-' || doc_id || '.txt' AS name, sha256(coalesce(text, '')) AS sha256 FROM documents WHERE doc_id % 7 <> 0 AND source IS NOT NULL")
+def matter_export(spark, d):
+    """Whole natives, read back from the archives."""
+    import io
+    import zipfile
+
+    def unpacked(frames):
+        import pandas as pd
+
+        for f in frames:
+            for matter, body in zip(f["matter"], f["archive"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(body)) as z:
+                    yield pd.DataFrame([(matter, n, z.read(n)) for n in z.namelist()], columns=["matter", "name", "body"])
+
+    files = retention.archives(_export(spark, d)).select("matter", "archive").mapInPandas(unpacked, "matter string, name string, body binary")
+    return files.where("name like 'documents/%'").select("matter", "name", F.sha2("body", 256).alias("sha256"))
+
+
+@query("""SELECT matter, name, sum(lines)::BIGINT AS lines FROM (
+      SELECT source AS matter, 'manifest/documents' AS name, count(*) AS lines FROM documents WHERE source IS NOT NULL GROUP BY 1
+      UNION ALL SELECT 'conv-' || (conv_id % 20), 'chats/messages', count(*) FROM conversations GROUP BY 1) GROUP BY 1, 2""")
+def matter_manifests(spark, d):
+    rows = _export(spark, d).where("name not like 'documents/%'")
+    return rows.groupBy("matter", F.regexp_extract("name", r"^(.*)-\d+\.jsonl$", 1).alias("name")).agg(F.sum(F.size(F.split(F.decode("body", "UTF-8"), "\n"))).alias("lines"))
+
+
+@query("""WITH m AS (SELECT *, o_orderkey % 5 = 3 AND o_custkey <> 2 AS moved FROM orders), l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+    SELECT o_orderkey AS id, CASE WHEN moved THEN 2 ELSE o_custkey END AS matter_slug, CASE WHEN moved THEN 'queued' ELSE 'ready' END AS status, CASE WHEN moved THEN 0 ELSE coalesce(n, 0) END AS chunks
+    FROM m LEFT JOIN l ON l_orderkey = o_orderkey""")
+def documents_moved(spark, d):
+    """Every fifth kind of order moves to the second customer; its lines, which are chunks, go."""
+    o = table(spark, d, "orders")
+    name = lambda k: F.concat(F.lit("o"), F.col(k).cast("string"), F.lit(".txt"))
+    docs = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("matter_slug"), name("o_orderkey").alias("filename"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("checksum"), F.lit("ready").alias("status"), F.lit(None).cast("string").alias("reason"))
+    chunks = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("matter"), name("l_orderkey").alias("source_filename"))
+    matters = table(spark, d, "customer").select(F.col("c_custkey").alias("slug"))
+    holds = spark.createDataFrame([], "id long, matter_slug long, reason string, released string")
+    moves = docs.where("id % 5 = 3").select(F.col("id").alias("doc_id"), F.lit(2).cast("long").alias("matter"))
+    rows, left = retention.move_documents(docs, chunks, matters, holds, moves)
+    n = left.groupBy(F.col("source_filename").alias("filename")).agg(F.count(F.lit(1)).alias("chunks"))
+    return rows.join(n, "filename", "left").select("id", "matter_slug", "status", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
+@query("SELECT user_id AS connection_id, event_type AS source_id, max(date_trunc('day', ts))::DATE::VARCHAR AS since FROM events GROUP BY 1, 2")
+def items_listed_once(spark, d):
+    """Event types as items, days as windows."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("connection_id"), F.col("event_type").alias("source_id"), F.to_date("ts").alias("since"))
+    return ingest.listed_once(e).withColumn("since", F.col("since").cast("string"))
