@@ -13,10 +13,12 @@ from vellum.llm.common import delete, table, work_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts of a known language stay; null and empty ones, and those without letters, go."""
     return language_id.keep_identified(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text stays, that with the smallest id; a null text is an empty one."""
     return exact_dedup.distinct_documents(docs)
 
 
@@ -31,6 +33,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all windows; a null or empty text is its end id alone."""
     return packing.packed(docs)
 
 

@@ -96,6 +96,30 @@ def brute_pii(t):
     return [len(x) for x in spans], ",".join(f"{k}:{s}:{e}" for x in spans for k, s, e in x)
 
 
+def brute_masked(t):
+    """Base spans as masks; overlapping ones are one, of the kind of the first."""
+    kinds = ["email", "ip", "card", "phone"]
+    spans = sorted((int(s), int(e), kinds.index(k)) for k, s, e in (x.split(":") for x in brute_pii(t)[1].split(",") if x))
+    out, at = [], 0
+    for s, e, k in spans:
+        if s >= at or not out:
+            out += [t[at:s], f"<{kinds[k]}>"]
+        at = max(at, e)
+    return "".join([*out, t[at:]])
+
+
+def test_masks_of_odd_texts(spark):
+    rng = random.Random(8)
+    data = odd.rows(7) + [(20000 + i, "".join(rng.choice("aZ0911111@@.. ()+-é😀\n") for _ in range(rng.randint(0, 60))), None, None, 1) for i in range(400)]
+    data += [(30000, "+4111 1111 1111 1111 1", None, None, 1), (30001, "x@1.2.3.4 1.2.3.4@a.b", None, None, 1), (30001, "x@1.2.3.4 1.2.3.4@a.b", None, None, 1), (None, "a@b.c", None, None, 1)]
+    docs = odd.clashing(odd.frame(spark, data))
+    out = pii.masked(docs)
+    assert out.columns == docs.columns
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted(((i, None if t is None else brute_masked(t)) for i, t, *_ in data), key=key)
+    assert pii.masked(docs.limit(0)).collect() == []
+
+
 def test_base_spans(spark):
     rng = random.Random(6)
     al = list("aZ09._%+-@@.. ()1234é😀\n")

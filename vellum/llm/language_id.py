@@ -200,6 +200,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language isn't rejected, with all their columns.
 
     The model is fitted as in ``identified``; a text passes whole through the same judgement, so rows that repeat go or stay together.
+    A text that is null, empty or without letters is of no known language and goes; null ids stay; an empty table gives no rows.
     """
     model = fit(docs.where(~held_out(F.col("doc_id"))))
     sent = docs.sparkSession.sparkContext.broadcast(model)

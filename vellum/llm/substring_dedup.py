@@ -301,7 +301,11 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def duplicate_spans(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, first_word, words, ref_doc_id, ref_word: the factors of every document, and where each can be copied from."""
+    """doc_id, first_word, words, ref_doc_id, ref_word: the factors of every document, and where each can be copied from.
+
+    A text that is null, empty or shorter than ``size`` words has none; a null id stays null; rows that repeat are copies of each other, so both have factors;
+    a text of any length is one document, whose factors go on over blocks; an empty table gives no rows.
+    """
     return _parsed(_marked(docs, id_col, text_col), size, SPANS, lambda i, w, factors: [(i, first, n, ref, there) for first, n, ref, there in factors])
 
 
