@@ -11,3 +11,27 @@ def test_url_rules_are_those_of_the_contract(spark):
     assert [(r["rule"], r["verdict"]) for r in got] == [
         ("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("com/en/", "block"), ("example.com/en/7", "allow"), ("org/es/", "block"), (None, "allow"),
     ]
+
+
+def test_places_of_spans_are_all_that_leaves_the_task(spark):
+    from vellum.functions.text import located, normal_form
+
+    rows = spark.createDataFrame([("x" * 5000 + " Fish &amp; chips", "fish & chips"), ("abc", "d"), (None, "a"), ("a", None), ("a", " ")], "t string, s string")
+    at = located(F.col("t"), F.col("s"))
+    assert [r["at"] and tuple(r["at"]) for r in rows.select(at.alias("at")).collect()] == [(5001, 5017), None, None, None, None]
+    assert rows.select(normal_form("s").alias("n")).collect()[0]["n"] == "fish & chips"
+    assert rows.select(at.alias("at")).schema["at"].dataType.simpleString() == "struct<start:int,end:int>"
+
+
+def test_batches_of_texts_are_bounded(spark):
+    from vellum.functions.udf import BATCH_BYTES, BATCH_ROWS
+    from vellum.operators.chunking import chunk_pages
+    from vellum.plugins import extracted
+
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    pages = spark.createDataFrame([("m", "f", "t", "txt", 1, "Some words")], "matter string, source_filename string, document_type string, source string, page_number long, page_text string")
+    for use in (lambda: chunk_pages(pages), lambda: extracted(pages.select(F.col("page_text").alias("text")), None)):
+        for name in names:
+            spark.conf.unset(name)
+        use()
+        assert [int(spark.conf.get(n).rstrip("b")) for n in names] == [BATCH_ROWS, BATCH_BYTES]

@@ -6,6 +6,7 @@ Those that Spark's functions can express are columns; the rest are Arrow-batched
 from __future__ import annotations
 
 import html
+import html.entities
 import re
 
 import numpy as np
@@ -24,17 +25,17 @@ NORMALISED = T.StructType([T.StructField("norm", T.StringType()), T.StructField(
 
 
 # fixed value: all characters that count as white space at a text's ends
-_WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def nonblank(text: Column) -> Column:
     """Whether a text has a character that is no white space: the filter to use where its stripped form isn't needed."""
-    return text.rlike(_WHITE.replace("[", "[^", 1))
+    return text.rlike(WHITE.replace("[", "[^", 1))
 
 
 def stripped(text: Column) -> Column:
     """Without white space of any kind at the ends; ``trim`` alone takes spaces only.  It rewrites the whole text."""
-    return F.regexp_replace(text, f"^{_WHITE}++|(?<!{_WHITE}){_WHITE}++$", "")
+    return F.regexp_replace(text, f"^{WHITE}++|(?<!{WHITE}){WHITE}++$", "")
 
 
 def squeezed(text: Column) -> Column:
@@ -122,34 +123,56 @@ def normalised(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"norm": [n for n, _ in got], "offsets": [p.tolist() for _, p in got]})
 
 
-def located(chunk: Column, span: Column) -> Column:
-    """struct<start, end>: where a normalised span (trimmed) first lies in a normalised chunk, in raw characters; null if nowhere."""
-    needle = F.trim(span["norm"])
-    k = F.instr(chunk["norm"], needle)
-    start, last = F.get(chunk["offsets"], k - 1), F.get(chunk["offsets"], k - 2 + F.length(needle))
-    return F.when((F.length(needle) > 0) & (k > 0), F.struct(start.alias("start"), (last + 1).alias("end")))
+@batch_udf(T.StringType())
+def normal_form(text: pd.Series) -> pd.Series:
+    """The verifier's normal form alone."""
+    return text.map(lambda t: normalise(t)[0])
 
 
 def locate_span(text: str | None, span: str | None) -> tuple[int, int] | None:
-    """``located`` for two strings."""
+    """Where a span, normalised and trimmed, first lies in a normalised text, in the text's own characters; None if nowhere."""
     norm, place = normalise(text)
     needle = normalise(span)[0].strip()
     k = norm.find(needle)
     return (int(place[k]), int(place[k + len(needle) - 1]) + 1) if needle and k >= 0 else None
 
 
+@batch_udf("struct<start:int,end:int>")
+def _place(text: pd.Series, span: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([locate_span(t, s) or (None, None) for t, s in zip(text, span, strict=True)], columns=["start", "end"], dtype="Int32")
+
+
+def located(text: Column, span: Column) -> Column:
+    """struct<start, end>: ``locate_span``, null if nowhere.  Texts are normalised one at a time, and their characters' places stay in the task."""
+    at = _place(text, span)
+    return F.when(at["start"].isNotNull(), at)
+
+
 @batch_udf(T.StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """Texts without an ampersand pass as they are."""
     return pd.Series([html.unescape(t) if t and "&" in t else t for t in text], dtype=object)
 
 
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+@batch_udf(T.StringType())
+def closed_unescaped(text: pd.Series) -> pd.Series:
+    """Only references that end in a semicolon are decoded; "&amp" at a cut title's end stays, which ``unescaped`` takes for an ampersand as browsers do."""
+
+    def decoded(m: re.Match) -> str:
+        return html.unescape(m[0]) if m[0][1] == "#" else html.entities.html5.get(m[0][1:], m[0])
+
+    return pd.Series([_CLOSED.sub(decoded, t) if t and "&" in t else t for t in text], dtype=object)
+
+
 # fixed values: what of a page isn't shown, what ends a line, and what a tag is
 HIDDEN, LINE_END, TAG = r"(?is)<(script|style)\b.*?</\1>", r"(?i)<br\s*/?>|</(?:p|div|h[1-6]|li|tr)>", "<[^>]+>"
 
 
-def visible_text(raw: Column) -> Column:
-    """An HTML page's text: scripts and styles dropped, block ends as line ends, tags as spaces, entities decoded, lines trimmed."""
+def visible_text(raw: Column, decode=unescaped) -> Column:
+    """An HTML page's text: scripts and styles dropped, block ends as line ends, tags as spaces, entities decoded by ``decode``, lines trimmed."""
     shown = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, HIDDEN, " "), LINE_END, "\n"), TAG, " ")
-    lines = F.transform(F.split(unescaped(shown), "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"^\s+|\s+$", ""))
+    lines = F.transform(F.split(decode(shown), "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"^\s+|\s+$", ""))
     return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keys import fact_key
-from ..functions.text import located, normalised
+from ..functions.text import located, normal_form
 from ..schemas import REVIEW_STATES
 from ..sources.store import cut
 from .chunking import extraction_groups
@@ -46,7 +46,7 @@ def gate_facts(raw_facts: DataFrame, pages: DataFrame) -> DataFrame:
     able = reduce(lambda a, b: a | b, [(F.col("fact_type") == t) & reduce(lambda a, b: a & b, [_value(k).isNotNull() for k in need]) for t, need in REQUIRED.items()])
     rows = rows.where((F.col("span") != "") & able)
     tried = rows.join(pages.select("doc_id", "group_no", "page_number", "page_text"), ["doc_id", "group_no"])
-    tried = tried.withColumn("sn", normalised("span")).withColumn("at", located(normalised("page_text"), F.col("sn"))).where("at is not null")
+    tried = tried.withColumn("at", located(F.col("page_text"), F.col("span"))).where("at is not null").drop("page_text")
     first = Window.partitionBy("doc_id", "group_no", "pos").orderBy((F.col("page_number") == F.col("page")).desc_nulls_last(), "page_number")
     hit = tried.withColumn("nth", F.row_number().over(first)).where("nth = 1")
     explicit = (F.col("raw")["date_kind"] == "explicit") & F.col("raw")["date_iso"].rlike(ISO_DATE)
@@ -58,7 +58,7 @@ def gate_facts(raw_facts: DataFrame, pages: DataFrame) -> DataFrame:
         return F.create_map(*[x for k, v in value.items() for x in (F.lit(k), v)])
 
     values = reduce(lambda c, t: c.when(F.col("fact_type") == t, entries(t)), VALUES, F.when(F.lit(False), F.lit(None)))
-    return hit.select("doc_id", "fact_type", F.col("page_number").cast("long").alias("page"), F.col("at.start").cast("long").alias("char_start"), F.col("at.end").cast("long").alias("char_end"), "span", fact_key(F.col("doc_id"), F.col("fact_type"), F.col("page_number"), F.col("sn.norm")).alias("fact_key"), values.alias("value"))
+    return hit.select("doc_id", "fact_type", F.col("page_number").cast("long").alias("page"), F.col("at.start").cast("long").alias("char_start"), F.col("at.end").cast("long").alias("char_end"), "span", fact_key(F.col("doc_id"), F.col("fact_type"), F.col("page_number"), normal_form("span")).alias("fact_key"), values.alias("value"))
 
 
 def retry_pages(groups: DataFrame) -> DataFrame:

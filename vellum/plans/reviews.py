@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import plugins
 from ..functions.keys import fact_key
-from ..functions.text import normalised
+from ..functions.text import normal_form
 from ..operators import catalog, chunking, digest, facts, ingest, retention, review, verification
 from ..sources import pages
 from .queries import _AUDIT, _LINES, _audit, _line_map, _questions, doc_pages, query, table
@@ -157,8 +157,8 @@ def threads_by_update(spark, d):
 
 @query(r"SELECT doc_id, sha256(doc_id || '|amount|1|' || lower(trim(regexp_replace(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), '\s+', ' ', 'g')))) AS fact_key FROM documents")
 def fact_keys_of_whole_texts(spark, d):
-    span = normalised(F.regexp_replace("text", "[^a-zA-Z ]", ""))
-    return table(spark, d, "documents").select("doc_id", fact_key(F.col("doc_id"), F.lit("amount"), F.lit(1), span["norm"]).alias("fact_key"))
+    span = normal_form(F.regexp_replace("text", "[^a-zA-Z ]", ""))
+    return table(spark, d, "documents").select("doc_id", fact_key(F.col("doc_id"), F.lit("amount"), F.lit(1), span).alias("fact_key"))
 
 
 @query(f"""WITH {_LINES}, h AS (SELECT c.doc_id, min(line) AS lo, max(line) AS hi FROM documents c JOIN m ON c.doc_id = m.doc_id AND char_start < length(text) AND char_start + m.n > 0 AND length(text) > 0 GROUP BY c.doc_id)

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .functions.udf import small_batches
+
 
 class Embedder(Protocol):
     width: int
@@ -63,6 +65,8 @@ class QuotingAnswerer:
 
 
 def embedded(rows: DataFrame, text: str, embedder: Embedder, out: str = "vector") -> DataFrame:
+    small_batches(rows.sparkSession)
+
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
@@ -74,6 +78,8 @@ def embedded(rows: DataFrame, text: str, embedder: Embedder, out: str = "vector"
 def answered(grounded: DataFrame, answerer: Answerer, at_once: int = 4) -> DataFrame:
     """Questions (qid, question, context) with an answer; ``at_once`` bounds the tasks that call the model together."""
 
+    small_batches(grounded.sparkSession)
+
     @F.pandas_udf("string")
     def ask(question: pd.Series, context: pd.Series) -> pd.Series:
         return pd.Series([answerer.answer(q, c or "") for q, c in zip(question, context, strict=True)])
@@ -103,6 +109,8 @@ def extracted(calls: DataFrame, extractor: Extractor, at_once: int = 4) -> DataF
         except Exception:  # a model or its answer that breaks is a failed call, which is tried again; others go on
             return None
 
+    small_batches(calls.sparkSession)
+
     @F.pandas_udf(FACTS)
     def ask(text: pd.Series) -> pd.Series:
         return pd.Series([one(t) for t in text], dtype=object)
