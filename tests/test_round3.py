@@ -58,3 +58,21 @@ def test_claims_have_the_place_of_the_whole_quote(spark, tmp_path):
     db = duckdb.connect()
     db.sql(f"create view benchmark as select * from '{tmp_path}/benchmark.parquet/*.parquet'")
     assert got == set(db.execute(entry.oracle_sql()["verify_claims"]).fetchall())
+
+
+def test_words_of_pages_without_spans_are_not_placed(spark):
+    from vellum.sources import pages
+
+    words = spark.createDataFrame([(d, 1, i, w, 30.0 * i, 0.0, 30.0 * i + 25, 10.0) for d in range(50) for i, w in enumerate(("Here", "are", f"words{d}"))], "doc_id long, page long, pos int, text string, x0 double, y0 double, x1 double, y1 double")
+    touched = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            touched.add(len(b))
+            yield b
+
+    spans = words.where("doc_id = 7 and pos = 2").mapInPandas(seen, words.schema).select("doc_id", "page", F.col("text").alias("span"))
+    found = pages.span_rectangles(words, spans)
+    once = touched.value
+    assert [(r["doc_id"], r["x0"], r["x1"]) for r in found.collect()] == [(7, 60.0, 85.0)]
+    assert once == touched.value == 1  # spans are asked for once

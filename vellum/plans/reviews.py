@@ -9,6 +9,7 @@ from ..functions.keys import fact_key
 from ..functions.text import normal_form
 from ..operators import catalog, chunking, digest, facts, ingest, retention, review, verification
 from ..sources import pages
+from ..sources.store import cut, thin
 from .queries import _AUDIT, _LINES, _audit, _line_map, _questions, doc_pages, query, table
 
 PHRASE = "[A-Za-z]+(?: [A-Za-z]+){3,}"
@@ -106,11 +107,12 @@ def table_gate(spark, d):
 def span_rectangles(spark, d):
     """Words of documents set in lines of ten; the rectangles of every passage that a document holds."""
     docs = table(spark, d, "documents").select("doc_id", F.lit(1).cast("long").alias("page"), "text")
-    words = docs.select("doc_id", "page", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("pos", "text"))
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("span"))
+    spans = cut(docs.join(F.broadcast(items) if items.count() <= 10_000 else items, F.expr("contains(text, span)")).select("doc_id", "page", "item_id", "span"), "passages-held")
+    held = docs.join(thin(spans.select("doc_id").distinct()), "doc_id", "left_semi")
+    words = held.select("doc_id", "page", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("pos", "text"))
     column, line = F.col("pos") % 10, F.floor(F.col("pos") / 10)
     boxes = words.select("doc_id", "page", "pos", "text", (column * 30.0).alias("x0"), (line * 20.0).alias("y0"), (column * 30.0 + 25).alias("x1"), (line * 20.0 + 10).alias("y1"))
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("span"))
-    spans = docs.join(F.broadcast(items) if items.count() <= 10_000 else items, F.expr("contains(text, span)")).select("doc_id", "page", "item_id", "span")
     found = pages.span_rectangles(boxes, spans).join(spans, ["doc_id", "page", "span"])
     return found.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("rectangles"), F.sum(F.col("y1") - F.col("y0")).alias("height"))
 

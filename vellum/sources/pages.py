@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import nonblank, stripped
 from ..functions.udf import batch_udf
+from .store import cut, thin
 
 # fixed values: characters from which a page has text, image share from which it is a scan, OCR confidence that passes,
 # form rules' least length and greatest height, how far above a rule its value stands, and font sizes of values
@@ -92,16 +93,17 @@ def span_rectangles(words: DataFrame, spans: DataFrame) -> DataFrame:
 
     ``words``: doc_id, page, pos, text, x0, y0, x1, y1 in reading order; ``spans``: doc_id, page, span.  Case and white space don't count.  A span
     that isn't there as a whole is looked for by its first PREFIX_WORDS words if it has more; without a hit it has no rows.  Words are
-    put at their places in the page's text, and hits meet them by those intervals.
+    put at their places in the page's text, and hits meet them by those intervals.  Words of pages without a span are left out first.
     """
     flat = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    real = words.withColumn("w", flat(F.col("text"))).where("w <> ''")
+    asked = cut(spans.select("doc_id", "page", "span").distinct(), "asked-spans")
+    real = words.join(thin(cut(asked.select("doc_id", "page").distinct(), "asked-pages")), ["doc_id", "page"], "left_semi").withColumn("w", flat(F.col("text"))).where("w <> ''")
     before = F.coalesce(F.sum(F.length("w") + 1).over(Window.partitionBy("doc_id", "page").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = real.withColumn("at", before).withColumn("end", F.col("at") + F.length("w"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ")
     pages = real.groupBy("doc_id", "page").agg(text.alias("page_text"))
     parts = F.split(flat(F.col("span")), " ")
-    wanted = spans.select("doc_id", "page", "span").distinct().join(pages, ["doc_id", "page"]).withColumn("whole", flat(F.col("span")))
+    wanted = asked.join(pages, ["doc_id", "page"]).withColumn("whole", flat(F.col("span")))
     start = F.when(F.size(parts) > PREFIX_WORDS, F.array_join(F.slice(parts, 1, PREFIX_WORDS), " ")).otherwise(F.lit(""))
     used = wanted.withColumn("needle", F.when(F.instr("page_text", F.col("whole")) > 0, F.col("whole")).otherwise(start))
     hits = used.select("doc_id", "page", "span", F.length("needle").alias("n"), F.posexplode(_places("page_text", "needle")).alias("place", "from"))
