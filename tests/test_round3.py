@@ -76,3 +76,16 @@ def test_words_of_pages_without_spans_are_not_placed(spark):
     once = touched.value
     assert [(r["doc_id"], r["x0"], r["x1"]) for r in found.collect()] == [(7, 60.0, 85.0)]
     assert once == touched.value == 1  # spans are asked for once
+
+
+def test_one_long_chain_is_walked_by_ranges(spark, monkeypatch):
+    from vellum.operators import catalog
+
+    rows = [(i * 7 % 101, f"t{i}", "e", None, f"d{i}") for i in range(101)]
+    entries = spark.createDataFrame(rows, "id long, ts string, event string, matter_slug string, detail string")
+    want = sorted(catalog.audit_chain(entries).collect())
+    monkeypatch.setattr(catalog, "CHAIN_ROWS", 10)
+    chain = catalog.audit_chain(entries)
+    assert sorted(chain.collect()) == want and len(want) == 101
+    assert chain.rdd.getNumPartitions() > 1 and len({f.rpartition("/")[0] for f in chain.inputFiles()}) > 5
+    assert tuple(catalog.audit_verdict(chain).first()) == (101, None)

@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.keys import audit_hash
+from ..functions.udf import small_batches
+from ..sources.store import shared_path
 
 GENESIS = "genesis"
+#: About so many entries of one long chain are sorted and walked by a task; the next task goes on with the last hash.
+CHAIN_ROWS = 250_000
 # fixed value: the greatest length of a thread's title
 TITLE = 120
 
@@ -96,27 +100,50 @@ def audit_chain(entries: DataFrame) -> DataFrame:
     """Entries (id, ts, event, matter_slug, detail) with the hash chain over them in order of id.
 
     Each hash needs the one before, so a chain is walked in order: rows are sorted where their chain is, stream through in Arrow
-    batches, and only the last hash is kept.  Chains are per ``log`` if there is such a column, which spreads them over tasks.
+    batches, and only the last hash is kept.  Chains are per ``log`` if there is such a column, which spreads them over tasks.  A
+    single chain is cut into ranges of about CHAIN_ROWS entries, which are dealt out at once and walked one after the other; each is
+    written, and only its last hash goes on to the next.
     """
     log = [c for c in ("log",) if c in entries.columns]
-    names = entries.columns
+    small_batches(entries.sparkSession)
+    if not log:
+        parts = -(-entries.count() // CHAIN_ROWS)
+        if parts > 1:
+            return _long_chain(entries, parts)
     dealt = entries.repartition(*log) if log else entries.repartition(1)
-    schema = T.StructType([*entries.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())])
+    return _walked(dealt.sortWithinPartitions(*log, "id"), log, GENESIS)
+
+
+def _walked(dealt: DataFrame, log: list[str], start: str) -> DataFrame:
+    """Sorted entries with their hashes; ``start`` is the hash before a chain's first entry."""
+    schema = T.StructType([*dealt.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())])
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chain, last = None, GENESIS
+        chain, last = None, start
         for b in batches:
             prev, own = [], []
             said = [b[c].astype(object).where(b[c].notna(), "").astype(str) for c in ("ts", "event", "matter_slug", "detail")]
             for mine, *rest in zip(b[log[0]] if log else [None] * len(b), *said, strict=True):
                 if mine != chain:
-                    chain, last = mine, GENESIS
+                    chain, last = mine, start
                 prev.append(last)
                 last = hashlib.sha256("|".join([last, *rest]).encode()).hexdigest()
                 own.append(last)
             yield b.assign(prev_hash=prev, entry_hash=own)
 
-    return dealt.sortWithinPartitions(*log, "id").mapInPandas(task, schema).select(*names, "prev_hash", "entry_hash")
+    return dealt.mapInPandas(task, schema)
+
+
+def _long_chain(entries: DataFrame, parts: int) -> DataFrame:
+    spark, dealt, done = entries.sparkSession, shared_path(entries.sparkSession, "chain-ranges"), shared_path(entries.sparkSession, "chain")
+    entries.repartitionByRange(parts, "id").withColumn("__part", F.spark_partition_id()).write.partitionBy("__part").parquet(dealt)
+    last, schema = GENESIS, entries.schema
+    for k in sorted(r[0] for r in spark.read.parquet(dealt).select("__part").distinct().collect()):
+        one = spark.read.schema(schema).parquet(f"{dealt}/__part={k}").coalesce(1).sortWithinPartitions("id")
+        walked = _walked(one, [], last)
+        walked.write.parquet(f"{done}/{k}")
+        last = spark.read.schema(walked.schema).parquet(f"{done}/{k}").agg(F.max_by("entry_hash", "id")).first()[0]
+    return spark.read.schema(walked.schema).parquet(f"{done}/*")
 
 
 def audit_breaks(chain: DataFrame) -> DataFrame:
