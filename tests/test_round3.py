@@ -89,3 +89,20 @@ def test_one_long_chain_is_walked_by_ranges(spark, monkeypatch):
     assert sorted(chain.collect()) == want and len(want) == 101
     assert chain.rdd.getNumPartitions() > 1 and len({f.rpartition("/")[0] for f in chain.inputFiles()}) > 5
     assert tuple(catalog.audit_verdict(chain).first()) == (101, None)
+
+
+def test_replaced_facts_are_dealt_by_rows(spark, monkeypatch):
+    from vellum.operators import facts
+    from vellum.sources import store
+
+    def made():
+        f = spark.range(100).select((F.col("id") % 20).alias("doc_id"), F.col("id").alias("page")).unionByName(spark.createDataFrame([(None, -1)], "doc_id long, page long"))
+        docs = spark.range(18).select("id", F.lit("v").alias("digest_version"))
+        again = spark.createDataFrame([(3,), (3,), (19,)], "doc_id long")
+        return facts.replace_facts(f, docs, f.where("page = 3 or page = 19").withColumn("page", F.col("page") + 1000), again, "w")[0]
+
+    want = sorted((str(r[0]), r[1]) for r in made().collect())
+    assert len(want) == 101 - 5 + 1 and ("3", 1003) in want and ("None", -1) in want
+    monkeypatch.setattr(store, "TASK_ROWS", 10)
+    assert sorted((str(r[0]), r[1]) for r in made().collect()) == want
+    assert "REPARTITION_BY_NUM" in made()._jdf.queryExecution().executedPlan().toString()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.keys import fact_key
 from ..functions.text import located, normal_form
 from ..schemas import REVIEW_STATES
-from ..sources.store import cut
+from ..sources.store import cut, spread
 from .chunking import extraction_groups
 
 # fixed values: what a fact of each type must have, and all it can have
@@ -119,8 +119,10 @@ def digest_progress(documents: DataFrame, version: str) -> DataFrame:
 def replace_facts(facts: DataFrame, documents: DataFrame, new: DataFrame, doc_ids: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
     """Facts and documents after an extraction of ``doc_ids`` (doc_id): their facts are replaced, also by none, and they are
     stamped with the version.  A document that is gone meanwhile gets no facts back."""
-    there = doc_ids.join(documents.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").distinct()
-    rows = facts.join(there, "doc_id", "left_anti").unionByName(new.join(there, "doc_id", "left_semi").select(*facts.columns))
+    there = cut(spread(documents.select(F.col("id").alias("doc_id")), "doc_id").join(doc_ids, "doc_id").distinct(), "facts-replaced")
+    # outer and inner joins, as semi- and anti-joins are moved below the spreading
+    kept = spread(facts, "doc_id").join(there.withColumn("_read", F.lit(True)), "doc_id", "left").where("_read is null")
+    rows = kept.select(*facts.columns).unionByName(spread(new, "doc_id").join(there, "doc_id").select(*facts.columns))
     stamped = documents.join(there.select(F.col("doc_id").alias("id"), F.lit(True).alias("_read")), "id", "left")
     return rows, stamped.withColumn("digest_version", F.when(F.col("_read"), F.lit(version)).otherwise(F.col("digest_version"))).select(*documents.columns)
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Broadcast sides of up to so many thin rows; beyond it the same join shuffles.
 BROADCAST_ROWS = 500_000
+#: About so many rows of a large table are sorted by one task, however well its shuffled columns are packed.
+TASK_ROWS = 500_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -32,3 +34,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def thin(side: DataFrame) -> DataFrame:
     """``side`` as a broadcast if its count is within BROADCAST_ROWS, else as it is; it should be a written table."""
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt by columns to as many tasks as keep TASK_ROWS each, if it has more; Spark itself counts packed bytes only."""
+    parts = -(-df.count() // TASK_ROWS)
+    return df.repartition(parts, *by) if parts > 1 else df
