@@ -106,3 +106,11 @@ def test_replaced_facts_are_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setattr(store, "TASK_ROWS", 10)
     assert sorted((str(r[0]), r[1]) for r in made().collect()) == want
     assert "REPARTITION_BY_NUM" in made()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_that_nobody_asks_for_are_not_counted(spark):
+    from vellum.operators import retrieval
+
+    chunks = spark.createDataFrame([("a", 1, "Quokka quokka clause"), ("b", 2, "quokka")], "matter string, doc_id long, text string")
+    asked = spark.createDataFrame([("a", "quokka")], "matter string, term string")
+    assert [tuple(r) for r in retrieval.postings(chunks, ["doc_id"], asked=asked).select("matter", "doc_id", "term", "tf", "len").collect()] == [("a", 1, "quokka", 2, 3)]

@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import search_norm
+from ..sources.store import cut, thin
 from .dense import dense_topk
 
 # fixed values: RRF's constant, candidates of an arm, snippet lengths, limits of a result page
 RRF_K, CANDIDATES, SNIPPET, BEFORE, MOST_ROWS = 60, 20, 240, 80, 100
 # our choice of BM25's parameters
 K1, B = 1.2, 0.75
+TERM = "[a-z0-9]+"
 #: One chunk's identity.  The matter belongs to it: file names can repeat across matters.
 CHUNK_KEY = ("matter", "source_filename", "page_number", "char_start", "char_end")
 # fixed values: terms that are looked up exactly, in order of precedence
@@ -45,24 +47,28 @@ def _best(rows: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame:
 
 def terms(text: Column) -> Column:
     """Lower-case runs of letters and digits; a null text has none, so it counts as one of no length."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
-def postings(chunks: DataFrame, key: list[str], scope: str = "matter") -> DataFrame:
-    """(scope, key, term, tf, len): the inverted index; write it partitioned by scope to reuse it."""
+def postings(chunks: DataFrame, key: list[str], scope: str = "matter", asked: DataFrame | None = None) -> DataFrame:
+    """(scope, key, term, tf, len): the inverted index, or its part for the ``asked`` (scope, term); write it partitioned by scope to reuse it."""
     words = chunks.select(scope, *key, terms(F.col("text")).alias("t"))
-    return words.select(scope, *key, F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(scope, *key, "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+    words = words.select(scope, *key, F.size("t").alias("len"), F.explode("t").alias("term"))
+    words = words if asked is None else words.join(asked, [scope, "term"], "left_semi")
+    return words.groupBy(scope, *key, "term", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(questions: DataFrame, chunks: DataFrame, key: list[str], scope: str = "matter", question_key: str = "qid") -> DataFrame:
     """(question, scope, key, score) of all chunks that share a term with a question (qid, scope, query), by statistics of the scope."""
-    stats = chunks.select(scope, F.size(terms(F.col("text"))).alias("len")).groupBy(scope).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    asked = questions.select(question_key, scope, F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    posted = postings(chunks, key, scope).join(asked.select(scope, "term").distinct(), [scope, "term"], "left_semi")
-    df = posted.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"))
+    n_terms = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM))
+    stats = chunks.select(scope, n_terms.alias("len")).groupBy(scope).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    asked = cut(questions.select(question_key, scope, F.explode(F.array_distinct(terms(F.col("query")))).alias("term")), "asked")
+    # what isn't asked for goes before anything is counted or shuffled
+    posted = postings(chunks, key, scope, thin(cut(asked.select(scope, "term").distinct(), "asked-terms")))
+    df = posted.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df")).join(stats, scope)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    hits = posted.join(asked, [scope, "term"]).join(df, [scope, "term"]).join(stats, scope)
+    hits = posted.join(thin(asked), [scope, "term"]).join(df, [scope, "term"])
     return hits.groupBy(question_key, scope, *key).agg(F.sum(gain).alias("score"))
 
 
