@@ -114,3 +114,34 @@ def test_terms_that_nobody_asks_for_are_not_counted(spark):
     chunks = spark.createDataFrame([("a", 1, "Quokka quokka clause"), ("b", 2, "quokka")], "matter string, doc_id long, text string")
     asked = spark.createDataFrame([("a", "quokka")], "matter string, term string")
     assert [tuple(r) for r in retrieval.postings(chunks, ["doc_id"], asked=asked).select("matter", "doc_id", "term", "tf", "len").collect()] == [("a", 1, "quokka", 2, 3)]
+
+
+def test_an_index_is_read_once_and_its_blocks_are_full(spark, tmp_path, monkeypatch):
+    from vellum.operators import lexical_index, retrieval
+
+    monkeypatch.setattr(lexical_index, "BLOCK_BITS", 3)
+    rows = [(None if i % 4 == 3 else f"m{i % 4}", i, f"all w{i % 11} w{i % 11} " + ("rare " * (i % 5) if i % 6 else "")) for i in range(400)]
+    chunks = spark.createDataFrame(rows, "matter string, doc long, text string").coalesce(1)
+    asked = spark.createDataFrame([(q, f"m{q % 3}", f"w{q} all rare nowhere") for q in range(9)], "qid int, matter string, query string")
+    want = sorted(retrieval.bm25_topk(asked, chunks, 6, ["doc"]).collect())
+    for terms, tasks in ((2_000_000, 1), (50, 16)):
+        monkeypatch.setattr(lexical_index, "TASK_TERMS", terms)
+        path = f"file://{tmp_path}/index-{terms}"
+        lexical_index.build(chunks, path, ["doc"])
+        blocks = spark.read.parquet(f"{path}/segments/0/postings").where("term = 'all'")
+        assert blocks.agg(F.sum("n"), F.min("n")).first()[0] == 400 and blocks.count() <= 4 * (100 // 8 + 2)
+        assert len({f.rpartition("/")[2] for f in spark.read.parquet(f"{path}/segments/0/postings").inputFiles()}) >= min(2, tasks)
+        reads = []
+        whole = lexical_index.Search.postings
+        with monkeypatch.context() as m:
+            m.setattr(lexical_index.Search, "postings", lambda self: reads.append(1) or whole(self))
+            assert sorted(lexical_index.topk(asked, path, 6).collect()) == want and len(reads) == 1
+
+
+def test_an_index_has_the_terms_of_brute_force(spark):
+    from vellum.operators import lexical_index, retrieval
+
+    texts = ["İstanbul K2 ſtraße ẞa", "naïve café—au lait", "a\x00b\x1fc d", "ΑΣ Ǆx", "１２ ٣4 ⅷ", "", None, " . ", "Don't e-mail A1B2_c3", "😀x😀Y"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(retrieval.terms(F.col("text")).alias("want"), lexical_index.joined_terms(F.col("text")).alias("got"))
+    for r in rows.collect():
+        assert (r["got"]["len"], r["got"]["t"]) == (len(r["want"]), " ".join(r["want"]))
